@@ -84,13 +84,18 @@ def rouge_words(c) -> Column:
 
 
 def ngrams(arr: Column, n: int) -> Column:
-    """n-grams of a word array as strings joined by one space."""
+    """n-grams of a word array as strings joined by one space.
+
+    Built from n shifted slices zipped pairwise, so the array is read a
+    fixed number of times (a lambda indexing ``arr`` per element would
+    re-evaluate the array expression for every element)."""
     if n == 1:
         return arr
-    # sequence(1, 0) would count down, so short arrays get an empty list.
-    grams = F.transform(F.sequence(F.lit(1), F.size(arr) - n + 1),
-                        lambda i: F.array_join(F.slice(arr, i, n), " "))
-    return F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(arr) - n + 1, F.lit(0))
+    g = F.slice(arr, 1, m)
+    for k in range(1, n):
+        g = F.zip_with(g, F.slice(arr, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return g
 
 
 def score_tokens(c) -> Column:

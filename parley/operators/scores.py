@@ -22,9 +22,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from parley.functions.text import _c, meteor_tokens, ngrams, rouge_words, score_tokens
+from parley.functions.text import meteor_tokens, ngrams, rouge_words, score_tokens
 from parley.schemas import METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA
 
 
@@ -36,20 +37,31 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def rouge_n_f(hyp, ref, n: int) -> Column:
-    """ROUGE-N F of one row (set form), native array functions only."""
-    hw, rw = rouge_words(_c(hyp)), rouge_words(_c(ref))
+def rouge_n_f(hw: Column, rw: Column, n: int, null_if: Column) -> Column:
+    """ROUGE-N F from two word-array columns (set form), native only."""
     h = F.array_distinct(ngrams(hw, n))
     r = F.array_distinct(ngrams(rw, n))
     ov = F.size(F.array_intersect(h, r))
     p, rc = _ratio(ov, F.size(h)), _ratio(ov, F.size(r))
-    bad = _c(hyp).isNull() | _c(ref).isNull() | (F.size(hw) == 0) | (F.size(rw) == 0)
-    return F.when(bad, F.lit(None).cast("double")).otherwise(_f(p, rc))
+    return F.when(null_if, F.lit(None).cast("double")).otherwise(_f(p, rc))
+
+
+def _with_words(df: DataFrame, hyp: str, ref: str) -> DataFrame:
+    """Word arrays as columns, computed once per row (Catalyst keeps the
+    projection instead of inlining an expensive expression twice)."""
+    return df.withColumns({"_hw": rouge_words(F.col(hyp)), "_rw": rouge_words(F.col(ref))})
+
+
+def _null_if(hyp: str, ref: str) -> Column:
+    return (F.col(hyp).isNull() | F.col(ref).isNull() | (F.size("_hw") == 0) | (F.size("_rw") == 0))
 
 
 def rouge_n(df: DataFrame, hyp: str, ref: str, orders=(1, 2)) -> DataFrame:
     """Adds rouge_<n> columns (J-1); no shuffle, no Python."""
-    return df.withColumns({f"rouge_{n}": rouge_n_f(hyp, ref, n) for n in orders})
+    w = _with_words(df, hyp, ref)
+    bad = _null_if(hyp, ref)
+    return w.withColumns({f"rouge_{n}": rouge_n_f(F.col("_hw"), F.col("_rw"), n, bad)
+                          for n in orders}).drop("_hw", "_rw")
 
 
 def _lcs(a, b) -> int:
@@ -92,13 +104,13 @@ def _lcs_positions(a, b) -> set:
     return out
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
     """Arrow-batched LCS of two array<string> columns."""
     return pd.Series([_lcs(a, b) for a, b in zip(h, r)], dtype="int32")
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def union_lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
     """Summary-level union LCS: for each reference sentence, the union of
     its LCS positions against every generated sentence; summed."""
@@ -124,39 +136,37 @@ def _sentences(c: Column) -> Column:
 def rouge_l(df: DataFrame, hyp: str, ref: str, union: bool = False) -> DataFrame:
     """Adds rouge_l (J-2). The LCS is the one Python step (Arrow batches);
     tokenisation and the F formula stay native."""
-    hw, rw = rouge_words(F.col(hyp)), rouge_words(F.col(ref))
+    w = _with_words(df, hyp, ref)
     if union:
         lcs = union_lcs_length(_sentences(F.col(hyp)), _sentences(F.col(ref)))
     else:
-        lcs = lcs_length(hw, rw)
-    p, r = _ratio(lcs, F.size(hw)), _ratio(lcs, F.size(rw))
-    bad = F.col(hyp).isNull() | F.col(ref).isNull() | (F.size(hw) == 0) | (F.size(rw) == 0)
-    return df.withColumn("rouge_l", F.when(bad, F.lit(None).cast("double")).otherwise(_f(p, r)))
-
-
-def _exploded_tokens(df: DataFrame, key: list[str], col: str, side: str, tokens: Column) -> DataFrame:
-    return df.select(*key, F.lit(side).alias("side"),
-                     F.posexplode(tokens).alias("pos", "token"))
+        lcs = lcs_length(F.col("_hw"), F.col("_rw"))
+    w = w.withColumn("_lcs", lcs)
+    p, r = _ratio(F.col("_lcs"), F.size("_hw")), _ratio(F.col("_lcs"), F.size("_rw"))
+    out = F.when(_null_if(hyp, ref), F.lit(None).cast("double")).otherwise(_f(p, r))
+    return w.withColumn("rouge_l", out).drop("_hw", "_rw", "_lcs")
 
 
 def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, n: int = 1,
                   stems: DataFrame | None = None) -> DataFrame:
     """ROUGE-N with clipped counts (J-3): per (pair, n-gram) counts on both
-    sides, overlap = sum(least(ch, cr)). One shuffle on (pair, n-gram);
-    the optional stem table (word, stem) is joined by word."""
+    sides, overlap = sum(least(ch, cr)). One shuffle on (pair, n-gram),
+    with map-side partial counts; the optional stem table (word, stem) is
+    joined by word before n-grams are formed."""
     def side_grams(col, side):
         toks = score_tokens(F.col(col))
-        t = df.select(*key, F.lit(side).alias("side"), F.posexplode(toks).alias("pos", "token"))
         if stems is not None:
+            t = df.select(*key, F.posexplode(toks).alias("pos", "token"))
             t = (t.join(stems.select(F.col("word").alias("token"), "stem"), "token", "left")
-                  .withColumn("token", F.coalesce("stem", "token")).drop("stem"))
-        if n == 1:
-            return t.select(*key, "side", F.col("token").alias("gram"))
-        w = Window.partitionBy(*key, "side").orderBy("pos")
-        g = t.select(*key, "side", "pos", F.array_join(
-            F.array(*[F.lead("token", k).over(w) for k in range(n)]), " ").alias("gram"),
-            F.lead("token", n - 1).over(w).alias("_last"))
-        return g.where(F.col("_last").isNotNull()).select(*key, "side", "gram")
+                  .select(*key, "pos", F.coalesce("stem", "token").alias("token")))
+            toks_df = t.groupBy(*key).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
+            toks_df = df.select(*key).join(toks_df, key, "left")
+            toks = F.coalesce(F.col("t"), F.array().cast("array<string>"))
+            src = toks_df
+        else:
+            src = df
+        return src.select(*key, F.lit(side).alias("side"), F.explode(ngrams(toks, n)).alias("gram"))
 
     grams = side_grams(hyp, "h").unionByName(side_grams(ref, "r"))
     per = (grams.groupBy(*key, "gram")
@@ -231,7 +241,7 @@ def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
 BLOCK = 256
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _block_best(a: pd.Series, b: pd.Series) -> pd.Series:
     """For each vector of block ``a``, best cosine against block ``b``."""
     out = []

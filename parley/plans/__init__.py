@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from parley.plans import q_sentiment  # noqa: F401
+from parley.plans import q_scores, q_sentiment, q_text  # noqa: F401
 from parley.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

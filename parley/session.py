@@ -43,6 +43,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that yields fewer partitions than the shuffle
+    parallelism (a small file with one row group), so per-row text work
+    uses every core. Partitioning on the join key with
+    ``spark.sql.shuffle.partitions`` lets a later join on that key reuse
+    it. A large input already has enough splits and is left unchanged."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 

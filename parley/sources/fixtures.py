@@ -16,7 +16,7 @@ from parley.functions.chunk import chunk_array
 from parley.functions.parse import extract_sentiment
 from parley.functions.text import first_words, word_slice
 from parley.schemas import MODEL_IDS
-from parley.session import read_table
+from parley.session import read_table, spread
 
 
 def registry_array() -> Column:
@@ -52,7 +52,7 @@ def label_of(toxic: Column, quality: Column) -> Column:
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels as the dialogues table (+ topic, n_chars,
     lang). The join side is chosen by Catalyst/AQE from statistics."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     labels = read_table(spark, sf_dir, "labels")
     j = docs.join(labels, "doc_id", "left")
     return j.select(
@@ -70,7 +70,7 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dialogues_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dialogue per conversation: ``role: text`` lines in turn order,
     joined by newline. Aggregation is partial (map side) per conv_id."""
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = spread(read_table(spark, sf_dir, "conversations"), "conv_id")
     lines = F.struct(F.col("turn"), F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
     return (conv.groupBy("conv_id")
                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda x: x["line"]),
