@@ -32,7 +32,7 @@ def label_word(x: str) -> str:
 
 
 def cost_time(n: str, mno: str) -> str:
-    return f"CAST({n} % 97 AS DOUBLE) * 0.01 * {mno}"
+    return f"sqrt(CAST({n} % 97 AS DOUBLE) + 0.5::DOUBLE) * 0.01 * {mno}"
 
 
 def cost_memory(n: str, mno: str, did: str) -> str:
@@ -195,4 +195,28 @@ def with_views(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
+
+
+def kde_sql(src: str, keys: list[str], value: str, points: int = 200, cut: float = 3.0) -> str:
+    """Gaussian KDE per group (mirror of ``stats.kde``)."""
+    k = ", ".join(keys)
+    ks = ", ".join(f"s.{x}" for x in keys)
+    on = " AND ".join(f"s.{x} = v.{x}" for x in keys)
+    z = "((s.g0 + r.i * s.step - v.x) / s.h)"
+    return f"""
+SELECT {ks}, CAST(r.i AS BIGINT) AS point, round(s.g0 + r.i * s.step, 6) AS x,
+       round(sum(v.w * exp(-0.5::DOUBLE * {z} * {z}))
+             / (any_value(s.n) * any_value(s.h) * sqrt(2.0::DOUBLE * pi())), 6) AS density
+FROM (SELECT {k}, n, h, mn - {cut}::DOUBLE * h AS g0,
+             ((mx + {cut}::DOUBLE * h) - (mn - {cut}::DOUBLE * h)) / {points - 1}.0::DOUBLE AS step
+      FROM (SELECT {k}, count(*) AS n, stddev_samp({value}) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h,
+                   min({value}) AS mn, max({value}) AS mx
+            FROM {src} WHERE {value} IS NOT NULL GROUP BY {k}
+            HAVING count(*) >= 2 AND stddev_samp({value}) > 0)) s
+JOIN (SELECT {k}, {value} AS x, count(*) AS w FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL) v ON {on}
+CROSS JOIN range(0, {points}) r(i)
+GROUP BY {ks}, r.i, s.g0, s.step"""
