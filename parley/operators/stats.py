@@ -9,42 +9,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalise_text, space_words
+from parley.session import cut_lineage
 from parley.schemas import IQR_FACTOR, KDE_CUT, KDE_POINTS, READERS, READING_WPM
 
 
 # -- exact quantiles -----------------------------------------------------------
 
 def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: int,
-                   max_rows: int, max_levels: int = 4) -> DataFrame:
-    """Value of 0-based rank ``_r`` per group: (keys, _r, _v).
+                   levels: int) -> DataFrame:
+    """Value of 0-based rank ``_r`` per group: (keys, _r, _v), for groups
+    with very many distinct values.
 
     ``vc`` holds distinct values with counts (keys, v, c). Each level cuts
-    the candidate values of a group into about ``buckets`` ranges from
-    approximate boundaries (a mergeable sketch), counts per range, and
-    keeps only the range holding each wanted rank. When the kept ranges
-    hold at most ``max_rows`` distinct values, one window per (group, rank)
-    finds the exact value. No step holds a whole group in one task.
+    the candidate values of a (group, rank) into ``buckets`` ranges from
+    approximate boundaries (a mergeable sketch, so no task holds a group),
+    counts per range, and keeps only the range holding the wanted rank.
+    After ``levels`` levels a window per (group, rank) finds the exact value
+    among about distinct / buckets**levels candidates.
     """
-    gkeys = list(keys)
-    cand = vc.join(ranks, keys)                     # (keys, v, c, _r) rows per wanted rank
-    cand = cand.withColumn("_rel", F.col("_r"))     # rank relative to the candidate set
-    gk = gkeys + ["_r"]
-    for _ in range(max_levels):
-        fr = [i / buckets for i in range(1, buckets)]
+    gk = list(keys) + ["_r"]
+    cand = vc.join(ranks, keys).withColumn("_rel", F.col("_r"))
+    fr = [i / buckets for i in range(1, buckets)]
+    for _ in range(levels):
         bounds = cand.groupBy(*gk).agg(F.percentile_approx("v", fr, 10000).alias("_bnd"))
         cb = cand.join(bounds, gk).withColumn(
             "_b", F.size(F.filter(F.col("_bnd"), lambda x: x < F.col("v")))).drop("_bnd")
-        bstat = cb.groupBy(*gk, "_b").agg(F.sum("c").alias("_bc"), F.count("*").alias("_bd"),
-                                          F.first("_rel").alias("_rel"))
+        bstat = cb.groupBy(*gk, "_b").agg(F.sum("c").alias("_bc"), F.first("_rel").alias("_rel"))
         w = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         bstat = bstat.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
         target = bstat.where((F.col("_before") <= F.col("_rel")) &
                              (F.col("_rel") < F.col("_before") + F.col("_bc")))
-        biggest = target.agg(F.max("_bd")).first()[0]
         cand = (cb.drop("_rel").join(target.select(*gk, "_b", "_before", "_rel"), gk + ["_b"])
                   .withColumn("_rel", F.col("_rel") - F.col("_before")).drop("_b", "_before"))
-        if biggest is None or biggest <= max_rows:
-            break
     w2 = Window.partitionBy(*gk).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = cand.withColumn("_cum", F.sum("c").over(w2))
     hit = run.where((F.col("_cum") - F.col("c") <= F.col("_rel")) & (F.col("_rel") < F.col("_cum")))
@@ -52,29 +48,49 @@ def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: in
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    buckets: int = 64, max_rows: int = 1_000_000) -> DataFrame:
+                    max_distinct: int = 1_000_000, buckets: int = 256, levels: int = 2) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order
     statistics (numpy 'linear', Spark ``percentile``, DuckDB
     ``quantile_cont``): one row per group, one column per name in
-    ``probs``. NULL and NaN values are ignored."""
+    ``probs``. NULL and NaN values are ignored.
+
+    Values are first reduced to (group, value, count). Groups with at most
+    ``max_distinct`` distinct values use the exact ``percentile`` aggregate
+    weighted by the counts (its buffer holds one entry per distinct value).
+    Larger groups take the bucketed path of ``_value_at_rank``, so a hot
+    group never has to fit in one task.
+    """
     v = df.select(*keys, F.col(value).cast("double").alias("v"))
     v = v.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    vc = v.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    n = vc.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    # One pass over the input; the reduced table is written to the shared
+    # checkpoint folder, so the branches below neither recompute the input
+    # nor carry its plan.
+    vc = cut_lineage(v.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+    per = vc.groupBy(*keys).agg(F.count("*").alias("_nd"), F.sum("c").alias("_n"))
     names = list(probs)
-    parr = F.array(*[F.lit(float(probs[k])) for k in names])
-    t = n.select(*keys, "_n", F.posexplode(parr).alias("_pi", "_p"))
+    plist = [float(probs[k]) for k in names]
+
+    small = vc.join(per.where(F.col("_nd") <= max_distinct).select(*keys), keys, "left_semi")
+    qs = small.groupBy(*keys).agg(F.percentile(F.col("v"), plist, F.col("c")).alias("_q"))
+    out_small = qs.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    if per.where(F.col("_nd") > max_distinct).limit(1).count() == 0:
+        return out_small
+
+    big_groups = per.where(F.col("_nd") > max_distinct)
+    parr = F.array(*[F.lit(p) for p in plist])
+    t = big_groups.select(*keys, "_n", F.posexplode(parr).alias("_pi", "_p"))
     pos = F.col("_p") * (F.col("_n") - 1)
     t = t.select(*keys, "_pi", F.floor(pos).cast("long").alias("_lo"),
                  F.ceil(pos).cast("long").alias("_hi"), (pos - F.floor(pos)).alias("_frac"))
     ranks = t.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = _value_at_rank(vc, keys, ranks, buckets, max_rows)
+    vals = _value_at_rank(vc.join(big_groups.select(*keys), keys, "left_semi"), keys, ranks, buckets, levels)
     lo = vals.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = vals.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
     q = (t.join(lo, keys + ["_lo"]).join(hi, keys + ["_hi"])
           .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
-                                  for i, nm in enumerate(names)])
+    out_big = q.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
+                                     for i, nm in enumerate(names)])
+    return out_small.unionByName(out_big)
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
