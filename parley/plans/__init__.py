@@ -1,7 +1,7 @@
 """Registered queries: importing this package fills the registry."""
 
 from parley.plans import oracle_metrics  # noqa: F401  (CTEs first)
-from parley.plans import q_profile, q_scores, q_sentiment, q_shape, q_text  # noqa: F401
+from parley.plans import q_io, q_profile, q_scores, q_sentiment, q_shape, q_text  # noqa: F401
 from parley.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

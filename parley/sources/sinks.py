@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from parley.schemas import MODEL_IDS, SURROGATE_KEYS, TABLES
 
-CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true",
+CSV_WRITE = {"header": "true", "quote": '"', "escape": '"',
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
@@ -43,7 +43,9 @@ def append_batches(df: DataFrame, path: str, keys: list[str],
     """A-7: append only unfinished rows, partitioned by model and batch, so
     a re-run after a crash writes what is missing and nothing twice."""
     todo = pending(df, path, keys)
-    todo.write.mode("append").partitionBy(*partition_by).parquet(path)
+    # Cluster rows by the partition columns first: one file per (model,
+    # batch) folder instead of one per task and folder.
+    todo.repartition(*partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
