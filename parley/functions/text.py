@@ -72,15 +72,19 @@ def fill_template(template, text) -> Column:
     return F.replace(template, F.lit("{}"), _c(text))
 
 
+# Word of the set-based ROUGE, or a whole whitespace-only piece between two
+# dots (or a dot and an end of the text); the latter becomes an empty word.
+ROUGE_TOKEN_RE = "[^. \\t\\n\\r\\f]+|(?:^|(?<=\\.))[ \\t\\n\\r\\f]+(?=\\.|\\z)"
+
+
 def rouge_words(c) -> Column:
     """Word list of the set-based ROUGE: text cut at '.', empty pieces
     dropped, each piece's whitespace collapsed; a piece of only whitespace
-    contributes one empty word."""
-    pieces = F.filter(F.split(_c(c), "\\.", -1), lambda s: F.length(s) > 0)
-    per_piece = F.transform(
-        pieces,
-        lambda s: F.when(F.size(words(s)) == 0, F.array(F.lit(""))).otherwise(words(s)))
-    return F.flatten(per_piece)
+    contributes one empty word. Computed in one regex pass: the tokens are
+    the runs of characters other than '.' and whitespace, plus each
+    whitespace-only piece (trimmed to '')."""
+    return F.transform(F.regexp_extract_all(_c(c), F.lit(ROUGE_TOKEN_RE), 0),
+                       lambda x: F.btrim(x, F.lit(WS_CHARS)))
 
 
 def ngrams(arr: Column, n: int) -> Column:

@@ -37,18 +37,9 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def rouge_n_f(hw: Column, rw: Column, n: int, null_if: Column) -> Column:
-    """ROUGE-N F from two word-array columns (set form), native only."""
-    h = F.array_distinct(ngrams(hw, n))
-    r = F.array_distinct(ngrams(rw, n))
-    ov = F.size(F.array_intersect(h, r))
-    p, rc = _ratio(ov, F.size(h)), _ratio(ov, F.size(r))
-    return F.when(null_if, F.lit(None).cast("double")).otherwise(_f(p, rc))
-
-
 def _with_words(df: DataFrame, hyp: str, ref: str) -> DataFrame:
-    """Word arrays as columns, computed once per row (Catalyst keeps the
-    projection instead of inlining an expensive expression twice)."""
+    """Word arrays as columns, computed once per row (Catalyst keeps a
+    projection of an expensive expression that is referenced twice)."""
     return df.withColumns({"_hw": rouge_words(F.col(hyp)), "_rw": rouge_words(F.col(ref))})
 
 
@@ -57,32 +48,43 @@ def _null_if(hyp: str, ref: str) -> Column:
 
 
 def rouge_n(df: DataFrame, hyp: str, ref: str, orders=(1, 2)) -> DataFrame:
-    """Adds rouge_<n> columns (J-1); no shuffle, no Python."""
+    """Adds rouge_<n> columns (J-1); no shuffle, no Python.
+
+    Each intermediate (n-gram sets, overlap size) is its own column, so
+    every array expression runs once per row: higher-order functions get
+    no common-subexpression elimination."""
     w = _with_words(df, hyp, ref)
-    bad = _null_if(hyp, ref)
-    return w.withColumns({f"rouge_{n}": rouge_n_f(F.col("_hw"), F.col("_rw"), n, bad)
-                          for n in orders}).drop("_hw", "_rw")
+    tmp = ["_hw", "_rw"]
+    for n in orders:
+        w = w.withColumns({f"_h{n}": F.array_distinct(ngrams(F.col("_hw"), n)),
+                           f"_r{n}": F.array_distinct(ngrams(F.col("_rw"), n))})
+        w = w.withColumns({f"_o{n}": F.size(F.array_intersect(f"_h{n}", f"_r{n}")),
+                           f"_nh{n}": F.size(f"_h{n}"), f"_nr{n}": F.size(f"_r{n}")})
+        p, r = _ratio(F.col(f"_o{n}"), F.col(f"_nh{n}")), _ratio(F.col(f"_o{n}"), F.col(f"_nr{n}"))
+        w = w.withColumn(f"rouge_{n}", F.when(_null_if(hyp, ref), F.lit(None).cast("double")).otherwise(_f(p, r)))
+        tmp += [f"_h{n}", f"_r{n}", f"_o{n}", f"_nh{n}", f"_nr{n}"]
+    return w.drop(*tmp)
 
 
 def _lcs(a, b) -> int:
-    """LCS length of two token sequences; one numpy pass per token of the
-    shorter side (row update = running maximum)."""
+    """LCS length, bit-parallel (Allison-Dix / Hyyro): one bit per token of
+    the shorter side, a few integer operations per token of the longer."""
     if a is None or b is None or len(a) == 0 or len(b) == 0:
         return 0
     if len(a) < len(b):
         a, b = b, a
-    vocab: dict = {}
-    bi = np.fromiter((vocab.setdefault(w, len(vocab)) for w in b), dtype=np.int64, count=len(b))
-    ai = [vocab.get(w, -1) for w in a]
-    prev = np.zeros(len(a) + 1, dtype=np.int32)
-    av = np.asarray(ai, dtype=np.int64)
-    for x in bi:
-        t = np.where(av == x, prev[:-1] + 1, prev[1:])
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        np.maximum.accumulate(t, out=cur[1:])
-        prev = cur
-    return int(prev[-1])
+    masks: dict = {}
+    for j, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    v = full
+    for w in a:
+        m = masks.get(w)
+        if m is None:
+            continue
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return len(b) - bin(v).count("1")
 
 
 def _lcs_positions(a, b) -> set:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.chunk import chunk_array
 from parley.functions.parse import extract_sentiment
-from parley.functions.text import first_words, word_slice
+from parley.functions.text import first_words, words
 from parley.schemas import MODEL_IDS
 from parley.session import read_table, spread
 
@@ -131,13 +131,20 @@ def sentiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dialogue_id, model_id, actual_summary, generated_summary, cost):
-    model k's summary is words 1+3k .. 30+3k of the dialogue."""
-    d = dialogues(spark, sf_dir).select("dialogue_id", "dialogue_text", "actual_summary", "n_chars")
-    x = per_model(d)
+    model k's summary is words 1+3k .. 30+3k of the dialogue. The text is
+    split into words once per dialogue; the seven slices are built before
+    the rows are replicated per model."""
+    d = dialogues(spark, sf_dir).select("dialogue_id", "actual_summary", "n_chars",
+                                        words("dialogue_text").alias("_w"))
+    per = F.transform(registry_array(), lambda m: F.struct(
+        m["model_no"].alias("model_no"), m["model_id"].alias("model_id"),
+        F.array_join(F.slice(F.col("_w"), F.lit(1) + F.lit(3) * m["model_no"], F.lit(30)), " ")
+        .alias("generated_summary")))
+    x = d.select("dialogue_id", "actual_summary", "n_chars", F.explode(per).alias("_m")) \
+         .select("dialogue_id", "actual_summary", "n_chars", "_m.*")
     n, mno, did = F.col("n_chars"), F.col("model_no"), F.col("dialogue_id")
     return x.select(
-        "dialogue_id", "model_id", "actual_summary",
-        word_slice("dialogue_text", F.lit(1) + F.lit(3) * mno, 30).alias("generated_summary"),
+        "dialogue_id", "model_id", "actual_summary", "generated_summary",
         _cost_memory(n, mno, did).alias("memory_summary_usage"),
         _cost_time(n, mno).alias("time_summary_taken"),
     )
