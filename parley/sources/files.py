@@ -11,7 +11,7 @@ from parley.schemas import DIALOGUE_CSV, RESULT_CSV, RESULT_STYLE_2, SPLIT_ALIAS
 # CSV options that round-trip long texts with newlines, quotes and edge
 # whitespace.
 CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-            "mode": "FAILFAST"}
+            "nullValue": "\\N", "mode": "FAILFAST"}
 
 
 def read_dialogue_csv(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:

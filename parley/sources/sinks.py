@@ -14,7 +14,8 @@ from pyspark.sql.utils import AnalysisException
 
 from parley.schemas import MODEL_IDS, SURROGATE_KEYS, TABLES
 
-CSV_WRITE = {"header": "true", "quote": '"', "escape": '"',
+# NULL is written as \N so that an empty string survives a round trip.
+CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
@@ -49,7 +50,7 @@ def append_batches(df: DataFrame, path: str, keys: list[str],
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A-8: one CSV export (header, every field quoted, whitespace kept)."""
+    """A-8: one CSV export (header; quotes where needed; whitespace kept)."""
     df.write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
