@@ -159,3 +159,24 @@ def q_heatmap(spark, sf):
     chosen = ["mistral 7b", "gemma 7b", "llama 3 8b"]
     p = X.sentiments(spark, sf).where(F.col("model_id").isin(chosen))
     return C.confusion_cells(C.align(X.dialogues(spark, sf), p))
+
+
+@query("b13_metric_rounding", with_views("""
+SELECT model_id, CAST(round_even(CAST(accuracy * 100.0 AS DECIMAL(38, 10)), 1) AS DOUBLE) AS accuracy_pct,
+       CAST(round_even(CAST(weighted_f1 * 100.0 AS DECIMAL(38, 10)), 1) AS DOUBLE) AS f1_pct
+FROM model_metrics""", "model_metrics"))
+def q_metric_rounding(spark, sf):
+    """value x 100 to one decimal, half-even on the decimal value."""
+    m = _metrics(spark, sf)
+    return m.select("model_id", C.round_metric(F.col("accuracy")).alias("accuracy_pct"),
+                    C.round_metric(F.col("weighted_f1")).alias("f1_pct"))
+
+
+@query("e4_label_frequency", with_views("""
+SELECT model_id, generated_sentiment, CAST(count(*) AS BIGINT) AS n FROM sentiments
+GROUP BY model_id, generated_sentiment""", "sentiments"))
+def q_label_frequency(spark, sf):
+    """Frequency of each predicted label per model, all models in one
+    grouped count."""
+    s = X.sentiments(spark, sf)
+    return s.groupBy("model_id", "generated_sentiment").agg(F.count("*").cast("long").alias("n"))

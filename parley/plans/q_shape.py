@@ -182,14 +182,16 @@ SELECT l.position, l.dialogue_id, r.dialogue_id AS dialogue_id_r, r.generated_su
 FROM (SELECT dialogue_id, row_number() OVER (ORDER BY dialogue_id) AS position FROM dialogues
       WHERE dataset = 'training') l
 FULL JOIN (SELECT dialogue_id, generated_summary, row_number() OVER (ORDER BY dialogue_id) AS position
-           FROM summary_pairs WHERE model_id = 'gemma 7b' AND dialogue_id % 10 < 8) r ON l.position = r.position""",
+           FROM summary_pairs WHERE model_id = 'gemma 7b'
+             AND dialogue_id IN (SELECT dialogue_id FROM dialogues WHERE dataset = 'training')) r
+  ON l.position = r.position""",
                                          "dialogues", "summary_pairs"))
 def q_align_position(spark, sf):
     """A generated column attached by row position (both frames in id
     order), next to the key it came with."""
     left = X.dialogues(spark, sf).where(F.col("dataset") == "training").select("dialogue_id")
-    right = X.summary_pairs(spark, sf).where((F.col("model_id") == "gemma 7b") & (F.col("dialogue_id") % 10 < 8)) \
-        .select("dialogue_id", "generated_summary")
+    right = X.summary_pairs(spark, sf).where(F.col("model_id") == "gemma 7b") \
+        .join(left, "dialogue_id", "left_semi").select("dialogue_id", "generated_summary")
     out = SH.align_by_position(left, right, "dialogue_id", "dialogue_id")
     return out.select(F.col("position").cast("long").alias("position"), "dialogue_id", "dialogue_id_r",
                       "generated_summary_r")
@@ -292,3 +294,33 @@ def q_pivot(spark, sf):
         .agg(F.count(F.lit(1)).cast("long"))
     out = labels.join(counts, "sentiment", "left")
     return out.withColumnsRenamed({m: m.replace(" ", "_") for m in MODEL_IDS})
+
+
+@query("g2_chained_sort", with_views("""
+SELECT model_id, generated_sentiment, CAST(count(*) AS BIGINT) AS n FROM sentiments
+GROUP BY model_id, generated_sentiment ORDER BY model_id, generated_sentiment, n""", "sentiments"))
+def q_chained_sort(spark, sf):
+    """Three successive sorts of the source become one sort on the full key."""
+    s = X.sentiments(spark, sf).groupBy("model_id", "generated_sentiment").agg(F.count("*").cast("long").alias("n"))
+    return s.orderBy("model_id", "generated_sentiment", "n")
+
+
+@query("g4_column_concat", with_views("""
+SELECT position, """ + ", ".join(f"round(max(CASE WHEN model_id = '{m}' THEN memory_sentiment_usage END), 6) AS "
+                                 f"{m.replace(' ', '_')}" for m in MODEL_IDS) + """
+FROM (SELECT s.model_id, s.memory_sentiment_usage,
+             row_number() OVER (PARTITION BY s.model_id ORDER BY s.dialogue_id) AS position
+      FROM sentiments s JOIN (
+        SELECT model_id, q1 - 1.5::DOUBLE * (q3 - q1) AS lo, q3 + 1.5::DOUBLE * (q3 - q1) AS hi
+        FROM (SELECT model_id, quantile_cont(memory_sentiment_usage, 0.25) AS q1,
+                     quantile_cont(memory_sentiment_usage, 0.75) AS q3 FROM sentiments GROUP BY model_id)) f
+        ON s.model_id = f.model_id
+      WHERE s.memory_sentiment_usage >= f.lo AND s.memory_sentiment_usage <= f.hi)
+GROUP BY position""", "sentiments"))
+def q_column_concat(spark, sf):
+    """Outlier-free memory columns of every model set side by side (each
+    model keeps its own rows; shorter columns end in NULL)."""
+    s = X.sentiments(spark, sf).select("dialogue_id", "model_id", "memory_sentiment_usage")
+    kept = ST.remove_outliers(s, ["model_id"], "memory_sentiment_usage") \
+        .select("dialogue_id", "model_id", r6("memory_sentiment_usage").alias("memory_sentiment_usage"))
+    return SH.wide_by_position(kept, "model_id", "dialogue_id", "memory_sentiment_usage", list(MODEL_IDS))
