@@ -27,31 +27,42 @@ def align(truth: DataFrame, preds: DataFrame, key: str = KEY,
 
 def confusion_cells(aligned: DataFrame, labels=LABELS) -> DataFrame:
     """(model_id, actual, predicted, n) with every domain cell present
-    (zero cells kept) and observed out-of-domain labels as extra cells."""
+    (zero cells kept) and observed out-of-domain labels as extra cells.
+
+    One grouped count, then per model a small map of its cells (at most
+    labels^2 entries plus observed extras) from which the fixed grid is
+    filled -- no join back, so the input is read once."""
     cells = aligned.groupBy("model_id", "actual", "predicted").agg(F.count("*").alias("n"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"))
-                      for a in labels for p in labels])
-    grid = (cells.select("model_id").distinct()
-                 .select("model_id", F.explode(pairs).alias("g"))
-                 .select("model_id", "g.actual", "g.predicted"))
-    on = ["model_id", "actual", "predicted"]
-    return (grid.join(cells, on, "full")
-                .select(*on, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    per_model = cells.groupBy("model_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            F.concat_ws("\u0001", F.coalesce("actual", F.lit("\u0000")),
+                        F.coalesce("predicted", F.lit("\u0000"))), "n"))).alias("m"),
+        F.collect_list(F.struct("actual", "predicted")).alias("seen"))
+    grid = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted")) for a in labels for p in labels])
+    domain = F.array(*[F.lit(x) for x in labels])
+    extra = F.filter("seen", lambda c: ~F.array_contains(domain, c["actual"]) | ~F.array_contains(domain, c["predicted"])
+                     | c["actual"].isNull() | c["predicted"].isNull())
+    allcells = per_model.select("model_id", "m", F.explode(F.concat(grid, extra)).alias("c"))
+    key = F.concat_ws("\u0001", F.coalesce(F.col("c.actual"), F.lit("\u0000")),
+                      F.coalesce(F.col("c.predicted"), F.lit("\u0000")))
+    return allcells.select("model_id", F.col("c.actual").alias("actual"), F.col("c.predicted").alias("predicted"),
+                           F.coalesce(F.element_at("m", key), F.lit(0)).cast("long").alias("n"))
 
 
 def class_stats(cells: DataFrame) -> DataFrame:
     """Per (model, label): tp, support (true count), predicted count,
-    precision, recall, f1 (0 on a zero denominator)."""
-    row_side = cells.select("model_id", F.col("actual").alias("label"),
-                            F.col("n").alias("support"),
-                            F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp"),
-                            F.lit(0).cast("long").alias("pred"))
-    col_side = cells.select("model_id", F.col("predicted").alias("label"),
-                            F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
-                            F.col("n").alias("pred"))
-    s = (row_side.unionByName(col_side).where(F.col("label").isNotNull())
-         .groupBy("model_id", "label")
-         .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("predicted")))
+    precision, recall, f1 (0 on a zero denominator). Each cell contributes
+    to its row label and its column label through one ``explode``."""
+    both = F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
+                 F.lit(0).cast("long").alias("pred")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"),
+                 F.lit(0).cast("long").alias("tp"), F.col("n").alias("pred")))
+    x = cells.select("model_id", F.explode(both).alias("x")).select("model_id", "x.*")
+    s = (x.where(F.col("label").isNotNull())
+          .groupBy("model_id", "label")
+          .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("predicted")))
     tp, sup, pr = F.col("tp"), F.col("support"), F.col("predicted")
     return s.select(
         "model_id", "label", "tp", "support", "predicted",
@@ -63,18 +74,18 @@ def class_stats(cells: DataFrame) -> DataFrame:
 
 def model_metrics(cells: DataFrame) -> DataFrame:
     """Per model: n, accuracy, weighted F1 (by true support), macro F1
-    (over labels seen in truth or prediction)."""
-    acc = cells.groupBy("model_id").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("correct"))
+    (over labels seen in truth or prediction) -- all from the per-label
+    table, so the plan is one chain (truth rows all have a label, so the
+    sum of supports is n and the sum of tp is the number correct)."""
     cs = class_stats(cells)
     f = cs.groupBy("model_id").agg(
+        F.sum("tp").alias("correct"),
         F.sum(F.col("support") * F.col("f1")).alias("wf"),
         F.sum("support").alias("sup"),
         F.avg(F.when(F.col("support") + F.col("predicted") > 0, F.col("f1"))).alias("macro_f1"))
-    return acc.join(f, "model_id").select(
-        "model_id", F.col("n").cast("long").alias("n"),
-        (F.col("correct") / F.col("n")).alias("accuracy"),
+    return f.select(
+        "model_id", F.col("sup").cast("long").alias("n"),
+        (F.col("correct") / F.col("sup")).alias("accuracy"),
         F.when(F.col("sup") == 0, 0.0).otherwise(F.col("wf") / F.col("sup")).alias("weighted_f1"),
         "macro_f1")
 
@@ -86,13 +97,13 @@ def sentiment_metrics(truth: DataFrame, preds: DataFrame) -> DataFrame:
 
 def label_counts_table(preds: DataFrame, labels=LABELS) -> DataFrame:
     """E-17: counts per (label, model) on the fixed label rows; a label a
-    model never produced has NULL (not 0), as the pivoted source table."""
-    counts = preds.groupBy("generated_sentiment", "model_id").agg(F.count("*").alias("n"))
-    grid = (counts.select("model_id").distinct()
-            .select("model_id", F.explode(F.array(*[F.lit(x) for x in labels])).alias("sentiment")))
-    return grid.join(counts.withColumnRenamed("generated_sentiment", "sentiment"),
-                     ["model_id", "sentiment"], "left").select(
-        "sentiment", "model_id", F.col("n").cast("long").alias("total_classified"))
+    model never produced has NULL (not 0), as the pivoted source table.
+    One grouped count, then a per-model map looked up for each label."""
+    counts = preds.groupBy("model_id", "generated_sentiment").agg(F.count("*").alias("n"))
+    per_model = counts.where(F.col("generated_sentiment").isNotNull()).groupBy("model_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("generated_sentiment", "n"))).alias("m"))
+    x = per_model.select("model_id", "m", F.explode(F.array(*[F.lit(v) for v in labels])).alias("sentiment"))
+    return x.select("sentiment", "model_id", F.element_at("m", F.col("sentiment")).cast("long").alias("total_classified"))
 
 
 def round_metric(c) -> F.Column:

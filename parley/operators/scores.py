@@ -183,57 +183,58 @@ def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, n: int = 1,
 
 def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
            stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
-    """METEOR per pair (J-4), as joins and windows keyed by the pair.
-
-    Stage matching: tokens of both sides get their occurrence rank from
-    the end per (pair, token); a hypothesis token pairs with the reference
-    token of equal (pair, token, rank). Unmatched tokens go to the next
-    stage (stem table, then synonym table), where the rule repeats on the
-    mapped form. Chunks: matches ordered by hypothesis position, a new
-    chunk starts unless both positions advance by one.
+    """METEOR per pair (J-4), as one token stream keyed by the pair.
+
+    Both texts become one exploded stream of (side, pos, form). Within a
+    stage every token gets its occurrence rank from the end per (pair,
+    side, form); grouping by (pair, form, rank) then pairs the k-th last
+    hypothesis token with the k-th last reference token (a group holding
+    both sides is a match) -- an aggregation, not a join. Groups with one
+    side are the leftovers of the stage; the stem and synonym stages (input
+    tables) map their forms and repeat the rule. Chunks: matches ordered
+    by hypothesis position, a new chunk starts unless both positions
+    advance by one. Lengths come from the token arrays in the row.
     """
-    def toks(col, side):
-        return df.select(*key, F.posexplode(meteor_tokens(F.col(col))).alias("pos", "form")) \
-                 .withColumn("side", F.lit(side))
-
-    h, r = toks(hyp, "h"), toks(ref, "r")
-    lengths = (h.groupBy(*key).agg(F.count("*").alias("hyp_len"))
-               .join(r.groupBy(*key).agg(F.count("*").alias("ref_len")), key, "full"))
-
-    def stage(h, r):
-        wh = Window.partitionBy(*key, "form").orderBy(F.desc("pos"))
-        hh = h.withColumn("k", F.row_number().over(wh))
-        rr = r.withColumn("k", F.row_number().over(wh))
-        m = hh.alias("a").join(rr.alias("b"), key + ["form", "k"]).select(
-            *key, F.col("a.pos").alias("hpos"), F.col("b.pos").alias("rpos"))
-        h_left = h.join(m.select(*key, F.col("hpos").alias("pos")), key + ["pos"], "left_anti")
-        r_left = r.join(m.select(*key, F.col("rpos").alias("pos")), key + ["pos"], "left_anti")
-        return m, h_left, r_left
-
-    matches, h_left, r_left = stage(h, r)
+    base = df.select(*key, meteor_tokens(F.col(hyp)).alias("_ht"), meteor_tokens(F.col(ref)).alias("_rt"))
+    sides = F.concat(
+        F.transform("_ht", lambda t, i: F.struct(F.lit("h").alias("side"), i.alias("pos"), t.alias("form"))),
+        F.transform("_rt", lambda t, i: F.struct(F.lit("r").alias("side"), i.alias("pos"), t.alias("form"))))
+    toks = base.select(*key, F.explode(sides).alias("t")).select(*key, "t.*")
+
+    def stage(t):
+        w = Window.partitionBy(*key, "side", "form").orderBy(F.desc("pos"))
+        g = (t.withColumn("k", F.row_number().over(w))
+              .groupBy(*key, "form", "k")
+              .agg(F.max(F.when(F.col("side") == "h", F.col("pos"))).alias("hpos"),
+                   F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("rpos")))
+        matched = g.where(F.col("hpos").isNotNull() & F.col("rpos").isNotNull()).select(*key, "hpos", "rpos")
+        left = g.where(F.col("hpos").isNull() | F.col("rpos").isNull()).select(
+            *key, F.when(F.col("hpos").isNotNull(), "h").otherwise("r").alias("side"),
+            F.coalesce("hpos", "rpos").alias("pos"), "form")
+        return matched, left
+
+    matches, left = stage(toks)
     for table, src, dst in ((stems, "word", "stem"), (synonyms, "word", "synonym")):
         if table is None:
             continue
         mp = table.select(F.col(src).alias("form"), F.col(dst).alias("_to"))
-        hm = h_left.join(mp, "form", "left").withColumn("form", F.coalesce("_to", "form")).drop("_to")
-        rm = r_left.join(mp, "form", "left").withColumn("form", F.coalesce("_to", "form")).drop("_to")
-        m2, h_left, r_left = stage(hm, rm)
+        mapped = left.join(mp, "form", "left").withColumn("form", F.coalesce("_to", "form")).drop("_to")
+        m2, left = stage(mapped)
         matches = matches.unionByName(m2)
 
     wm = Window.partitionBy(*key).orderBy("hpos")
     brk = matches.select(
-        *key, "hpos", "rpos",
-        F.when((F.lag("hpos").over(wm) == F.col("hpos") - 1) & (F.lag("rpos").over(wm) == F.col("rpos") - 1),
-               F.lit(0)).otherwise(F.lit(1)).alias("new_chunk"))
+        *key, F.when((F.lag("hpos").over(wm) == F.col("hpos") - 1) & (F.lag("rpos").over(wm) == F.col("rpos") - 1),
+                     F.lit(0)).otherwise(F.lit(1)).alias("new_chunk"))
     agg = brk.groupBy(*key).agg(F.count("*").alias("m"), F.sum("new_chunk").alias("chunks"))
-    j = df.select(*key).join(lengths, key, "left").join(agg, key, "left")
+    j = base.select(*key, F.size("_ht").alias("hyp_len"), F.size("_rt").alias("ref_len")).join(agg, key, "left")
     m = F.coalesce(F.col("m"), F.lit(0)).cast("double")
     p = m / F.col("hyp_len")
     rc = m / F.col("ref_len")
     a = F.lit(METEOR_ALPHA)
     fmean = (p * rc) / (a * p + (F.lit(1.0) - a) * rc)
     pen = F.lit(METEOR_GAMMA) * F.pow(F.col("chunks") / m, F.lit(METEOR_BETA))
-    score = F.when((m == 0) | F.col("hyp_len").isNull() | F.col("ref_len").isNull(), F.lit(0.0)) \
+    score = F.when((m == 0) | (F.col("hyp_len") == 0) | (F.col("ref_len") == 0), F.lit(0.0)) \
              .otherwise((F.lit(1.0) - pen) * fmean)
     return j.select(*key, score.alias("meteor"))
 
