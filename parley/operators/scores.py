@@ -149,36 +149,43 @@ def rouge_l(df: DataFrame, hyp: str, ref: str, union: bool = False) -> DataFrame
     return w.withColumn("rouge_l", out).drop("_hw", "_rw", "_lcs")
 
 
-def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, n: int = 1,
+def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,),
                   stems: DataFrame | None = None) -> DataFrame:
-    """ROUGE-N with clipped counts (J-3): per (pair, n-gram) counts on both
-    sides, overlap = sum(least(ch, cr)). One shuffle on (pair, n-gram),
-    with map-side partial counts; the optional stem table (word, stem) is
-    joined by word before n-grams are formed."""
-    def side_grams(col, side):
-        toks = score_tokens(F.col(col))
-        if stems is not None:
-            t = df.select(*key, F.posexplode(toks).alias("pos", "token"))
-            t = (t.join(stems.select(F.col("word").alias("token"), "stem"), "token", "left")
-                  .select(*key, "pos", F.coalesce("stem", "token").alias("token")))
-            toks_df = t.groupBy(*key).agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
-            toks_df = df.select(*key).join(toks_df, key, "left")
-            toks = F.coalesce(F.col("t"), F.array().cast("array<string>"))
-            src = toks_df
-        else:
-            src = df
-        return src.select(*key, F.lit(side).alias("side"), F.explode(ngrams(toks, n)).alias("gram"))
-
-    grams = side_grams(hyp, "h").unionByName(side_grams(ref, "r"))
-    per = (grams.groupBy(*key, "gram")
+    """ROUGE-N with clipped counts (J-3) for every order in ``orders``:
+    columns ``rouge<n>_clipped``.
+
+    One stream of (order, side, n-gram) per pair; per (pair, order,
+    n-gram) the two side counts, overlap = sum(least(ch, cr)). Aggregations
+    are map-side partial. The optional stem table (word, stem) maps tokens
+    (joined by word, then re-assembled in order) before n-grams form."""
+    orders = (orders,) if isinstance(orders, int) else tuple(orders)
+    base = df.select(*key, score_tokens(F.col(hyp)).alias("_ht"), score_tokens(F.col(ref)).alias("_rt"))
+    if stems is not None:
+        sm = stems.select(F.col("word").alias("token"), "stem")
+        parts = []
+        for side in ("_ht", "_rt"):
+            t = base.select(*key, F.posexplode(side).alias("pos", "token")).join(sm, "token", "left")
+            parts.append(t.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(
+                F.struct("pos", F.coalesce("stem", "token").alias("t")))), lambda x: x["t"]).alias(side)))
+        empty = F.array().cast("array<string>")
+        base = (base.select(*key).join(parts[0], key, "left").join(parts[1], key, "left")
+                    .select(*key, F.coalesce("_ht", empty).alias("_ht"), F.coalesce("_rt", empty).alias("_rt")))
+    def tag(n, side):
+        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))
+
+    items = [F.transform(ngrams(F.col(col), n), tag(n, side))
+             for n in orders for side, col in (("h", "_ht"), ("r", "_rt"))]
+    grams = base.select(*key, F.explode(F.concat(*items)).alias("g")).select(*key, "g.*")
+    per = (grams.groupBy(*key, "n", "gram")
            .agg(F.count_if(F.col("side") == "h").alias("ch"), F.count_if(F.col("side") == "r").alias("cr")))
-    tot = per.groupBy(*key).agg(F.sum(F.least("ch", "cr")).alias("overlap"),
-                                F.sum("ch").alias("nh"), F.sum("cr").alias("nr"))
+    tot = per.groupBy(*key, "n").agg(F.sum(F.least("ch", "cr")).alias("overlap"),
+                                     F.sum("ch").alias("nh"), F.sum("cr").alias("nr"))
     p, r = _ratio(F.col("overlap"), F.col("nh")), _ratio(F.col("overlap"), F.col("nr"))
     f = F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
-    return df.select(*key).join(tot, key, "left").select(
-        *key, F.coalesce(f, F.lit(0.0)).alias(f"rouge{n}_clipped"))
+    wide = tot.groupBy(*key).agg(*[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}_clipped") for n in orders])
+    out = base.select(*key).join(wide, key, "left")
+    return out.select(*key, *[F.coalesce(F.col(f"rouge{n}_clipped"), F.lit(0.0)).alias(f"rouge{n}_clipped")
+                              for n in orders])
 
 
 def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,

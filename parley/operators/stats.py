@@ -47,25 +47,32 @@ def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: in
     return hit.select(*gk, F.col("v").alias("_v"))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, v, c): distinct non-NULL, non-NaN values per group with their
+    counts, computed in one pass and written to the shared checkpoint
+    folder, so later branches neither recompute the input nor carry its
+    plan."""
+    v = df.select(*keys, F.col(value).cast("double").alias("v"))
+    v = v.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return cut_lineage(v.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    max_distinct: int = 1_000_000, buckets: int = 256, levels: int = 2) -> DataFrame:
+                    max_distinct: int = 1_000_000, buckets: int = 256, levels: int = 2,
+                    counts: DataFrame | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order
     statistics (numpy 'linear', Spark ``percentile``, DuckDB
     ``quantile_cont``): one row per group, one column per name in
     ``probs``. NULL and NaN values are ignored.
 
-    Values are first reduced to (group, value, count). Groups with at most
-    ``max_distinct`` distinct values use the exact ``percentile`` aggregate
-    weighted by the counts (its buffer holds one entry per distinct value).
-    Larger groups take the bucketed path of ``_value_at_rank``, so a hot
-    group never has to fit in one task.
+    Values are first reduced to (group, value, count) (``value_counts``;
+    pass ``counts`` to reuse one). Groups with at most ``max_distinct``
+    distinct values use the exact ``percentile`` aggregate weighted by the
+    counts (its buffer holds one entry per distinct value). Larger groups
+    take the bucketed path of ``_value_at_rank``, so a hot group never has
+    to fit in one task.
     """
-    v = df.select(*keys, F.col(value).cast("double").alias("v"))
-    v = v.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    # One pass over the input; the reduced table is written to the shared
-    # checkpoint folder, so the branches below neither recompute the input
-    # nor carry its plan.
-    vc = cut_lineage(v.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+    vc = counts if counts is not None else value_counts(df, keys, value)
     per = vc.groupBy(*keys).agg(F.count("*").alias("_nd"), F.sum("c").alias("_n"))
     names = list(probs)
     plist = [float(probs[k]) for k in names]
@@ -94,13 +101,20 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """E-7: count, mean, std (n-1), min, 25/50/75 %, max per group."""
-    base = df.groupBy(*keys).agg(
-        F.count(value).cast("long").alias("count"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"))
-    q = group_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return base.join(q, keys, "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    """E-7: count, mean, std (n-1), min, 25/50/75 %, max per group, all
+    from one (group, value, count) table: the input is read once.
+    std = sqrt(sum c (v - mean)^2 / (n - 1)) with the mean joined back."""
+    vc = value_counts(df, keys, value)
+    m = vc.groupBy(*keys).agg(F.sum("c").alias("count"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+                              F.min("v").alias("min"), F.max("v").alias("max"))
+    dev = vc.join(m.select(*keys, "mean", "count"), keys).groupBy(*keys).agg(
+        F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("_m2"),
+        F.first("count").alias("_n"))
+    std = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
+    base = m.join(dev.select(*keys, std.alias("std")), keys)
+    q = group_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, counts=vc)
+    return base.join(q, keys, "left").select(*keys, F.col("count").cast("long").alias("count"), "mean", "std",
+                                             "min", "q25", "q50", "q75", "max")
 
 
 def long_scores(df: DataFrame, keys: list[str], metrics: list[str],

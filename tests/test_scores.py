@@ -106,7 +106,7 @@ def test_meteor_stem_stage(spark):
 
 def test_rouge_clipped(spark, pairs):
     out = {r.dialogue_id: r.rouge1_clipped for r in
-           S.rouge_clipped(pairs, ["dialogue_id", "model_id"], "hyp", "ref", 1).collect()}
+           S.rouge_clipped(pairs, ["dialogue_id", "model_id"], "hyp", "ref", (1,)).collect()}
     from collections import Counter
     for i, (h, r) in enumerate(PAIRS):
         th = [w for w in re.sub("[^a-z0-9]+", " ", h.lower()).split(" ") if w]
