@@ -27,26 +27,24 @@ def align(truth: DataFrame, preds: DataFrame, key: str = KEY,
 
 def confusion_cells(aligned: DataFrame, labels=LABELS) -> DataFrame:
     """(model_id, actual, predicted, n) with every domain cell present
-    (zero cells kept) and observed out-of-domain labels as extra cells.
+    (zero cells kept) and observed out-of-domain cells as extra rows.
 
-    One grouped count, then per model a small map of its cells (at most
-    labels^2 entries plus observed extras) from which the fixed grid is
-    filled -- no join back, so the input is read once."""
+    One grouped count. In-domain cells (at most labels^2 per model) go into
+    a small per-model map from which the fixed grid is filled; cells with
+    a label outside the domain (free text, NULL) pass through as rows, so
+    no per-model collection grows with the variety of raw outputs."""
     cells = aligned.groupBy("model_id", "actual", "predicted").agg(F.count("*").alias("n"))
-    per_model = cells.groupBy("model_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            F.concat_ws("\u0001", F.coalesce("actual", F.lit("\u0000")),
-                        F.coalesce("predicted", F.lit("\u0000"))), "n"))).alias("m"),
-        F.collect_list(F.struct("actual", "predicted")).alias("seen"))
+    in_dom = F.col("actual").isin(*labels) & F.col("predicted").isin(*labels)
+    key = lambda a, p: F.concat_ws("\u0001", a, p)
+    per_model = cells.groupBy("model_id").agg(F.map_from_entries(F.collect_list(
+        F.when(in_dom, F.struct(key(F.col("actual"), F.col("predicted")), F.col("n"))))).alias("m"))
     grid = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted")) for a in labels for p in labels])
-    domain = F.array(*[F.lit(x) for x in labels])
-    extra = F.filter("seen", lambda c: ~F.array_contains(domain, c["actual"]) | ~F.array_contains(domain, c["predicted"])
-                     | c["actual"].isNull() | c["predicted"].isNull())
-    allcells = per_model.select("model_id", "m", F.explode(F.concat(grid, extra)).alias("c"))
-    key = F.concat_ws("\u0001", F.coalesce(F.col("c.actual"), F.lit("\u0000")),
-                      F.coalesce(F.col("c.predicted"), F.lit("\u0000")))
-    return allcells.select("model_id", F.col("c.actual").alias("actual"), F.col("c.predicted").alias("predicted"),
-                           F.coalesce(F.element_at("m", key), F.lit(0)).cast("long").alias("n"))
+    filled = per_model.select("model_id", "m", F.explode(grid).alias("c")).select(
+        "model_id", F.col("c.actual").alias("actual"), F.col("c.predicted").alias("predicted"),
+        F.coalesce(F.element_at("m", key(F.col("c.actual"), F.col("c.predicted"))), F.lit(0)).cast("long").alias("n"))
+    extra = cells.where(~F.coalesce(in_dom, F.lit(False))).select(
+        "model_id", "actual", "predicted", F.col("n").cast("long").alias("n"))
+    return filled.unionByName(extra)
 
 
 def class_stats(cells: DataFrame) -> DataFrame:
@@ -100,7 +98,7 @@ def label_counts_table(preds: DataFrame, labels=LABELS) -> DataFrame:
     model never produced has NULL (not 0), as the pivoted source table.
     One grouped count, then a per-model map looked up for each label."""
     counts = preds.groupBy("model_id", "generated_sentiment").agg(F.count("*").alias("n"))
-    per_model = counts.where(F.col("generated_sentiment").isNotNull()).groupBy("model_id").agg(
+    per_model = counts.where(F.col("generated_sentiment").isin(*labels)).groupBy("model_id").agg(
         F.map_from_entries(F.collect_list(F.struct("generated_sentiment", "n"))).alias("m"))
     x = per_model.select("model_id", "m", F.explode(F.array(*[F.lit(v) for v in labels])).alias("sentiment"))
     return x.select("sentiment", "model_id", F.element_at("m", F.col("sentiment")).cast("long").alias("total_classified"))

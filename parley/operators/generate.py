@@ -44,7 +44,8 @@ def render_prompt(df: DataFrame, text: str = "dialogue_text", template: str | No
         return df.withColumn(out, fill_template(template, text))
     if prompts is None:
         prompts = prompts_table(df.sparkSession)
-    j = df.join(F.broadcast(prompts.select("model_id", "template", "parse_variant")), "model_id")
+    from parley.session import broadcast_if_small
+    j = df.join(broadcast_if_small(prompts.select("model_id", "template", "parse_variant")), "model_id")
     return j.withColumn(out, fill_template(F.col("template"), text)).drop("template")
 
 

@@ -96,9 +96,15 @@ def wide_by_position(df: DataFrame, group: str, order: str, value: str, groups:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """G-5: keep the first row per key by an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """G-5: keep the first row per key by an explicit order.
+
+    An aggregate (``min_by`` of the row) rather than a ``row_number``
+    window: partial aggregation keeps one candidate per key and task
+    before the shuffle, so a key holding a large share of the rows does
+    not land whole in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return best.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
 
 def key_lookup(df: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
@@ -115,6 +121,8 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def resolve_fk(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """D-9: resolve a foreign key against a fixed-size dimension (model
-    registry): a broadcast hash join, no shuffle of ``df``."""
-    return df.join(F.broadcast(dim), key)
+    """D-9: resolve a foreign key against a dimension (model registry): a
+    broadcast hash join when the dimension's size estimate is small, no
+    shuffle of ``df``; a shuffle join otherwise."""
+    from parley.session import broadcast_if_small
+    return df.join(broadcast_if_small(dim), key)

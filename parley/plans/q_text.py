@@ -182,12 +182,10 @@ def q_batch_means(spark, sf):
 @query("g5_first_per_key", with_views("""
 SELECT dialogue_id, model_id, summary FROM chunk_results WHERE chunk_no = 0""", "chunk_results"))
 def q_first_per_key(spark, sf):
-    """Drop duplicates by key keeping the first by an explicit order; the
-    window partition is one (dialogue, model) group of chunks."""
-    r = X.chunk_results(spark, sf)
-    w = Window.partitionBy("dialogue_id", "model_id").orderBy("chunk_no")
-    return (r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-             .select("dialogue_id", "model_id", "summary"))
+    """Drop duplicates by key keeping the first by an explicit order."""
+    from parley.operators.shaping import first_per_key
+    r = X.chunk_results(spark, sf).select("dialogue_id", "model_id", "chunk_no", "summary")
+    return first_per_key(r, ["dialogue_id", "model_id"], "chunk_no").select("dialogue_id", "model_id", "summary")
 
 
 @query("g6_distinct_partials", with_views("""

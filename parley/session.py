@@ -56,6 +56,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only when the optimizer's size estimate of ``df`` is
+    within ``max_bytes`` (exact for local registries, file-size based for
+    scans); otherwise the planner chooses a shuffle join. No job runs."""
+    from pyspark.sql import functions as F
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: do not hint
+        return df
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
