@@ -71,16 +71,22 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it. Only when it is
-    unset (local tests) a folder under the system temp dir is created and
-    registered, so ``DataFrame.checkpoint()`` works as well.
+    Uses the folder the cluster names in ``spark.checkpoint.dir`` (session
+    or context configuration) or an already registered checkpoint folder.
+    Only when none is set (local tests) a folder under the system temp dir
+    is created and registered, so ``DataFrame.checkpoint()`` works too.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = (spark.conf.get("spark.checkpoint.dir", None)
+            or sc.getConf().get("spark.checkpoint.dir", None)
+            or sc.getCheckpointDir())
     if conf:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf)
         return conf.rstrip("/")
     local = tempfile.mkdtemp(prefix="parley-scratch-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
@@ -92,8 +98,5 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a
     local checkpoint: executors may be lost)."""
-    spark = df.sparkSession
-    scratch_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
