@@ -29,22 +29,17 @@ def confusion_cells(aligned: DataFrame, labels=LABELS) -> DataFrame:
     """(model_id, actual, predicted, n) with every domain cell present
     (zero cells kept) and observed out-of-domain cells as extra rows.
 
-    One grouped count. In-domain cells (at most labels^2 per model) go into
-    a small per-model map from which the fixed grid is filled; cells with
-    a label outside the domain (free text, NULL) pass through as rows, so
-    no per-model collection grows with the variety of raw outputs."""
+    One grouped count, then each cell row emits itself plus the fixed
+    labels x labels grid with count 0, and a second grouped sum merges
+    them: a single chain (the input is read once), nothing collected per
+    model, and labels outside the domain simply stay as their own cells."""
     cells = aligned.groupBy("model_id", "actual", "predicted").agg(F.count("*").alias("n"))
-    in_dom = F.col("actual").isin(*labels) & F.col("predicted").isin(*labels)
-    key = lambda a, p: F.concat_ws("\u0001", a, p)
-    per_model = cells.groupBy("model_id").agg(F.map_from_entries(F.collect_list(
-        F.when(in_dom, F.struct(key(F.col("actual"), F.col("predicted")), F.col("n"))))).alias("m"))
-    grid = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted")) for a in labels for p in labels])
-    filled = per_model.select("model_id", "m", F.explode(grid).alias("c")).select(
-        "model_id", F.col("c.actual").alias("actual"), F.col("c.predicted").alias("predicted"),
-        F.coalesce(F.element_at("m", key(F.col("c.actual"), F.col("c.predicted"))), F.lit(0)).cast("long").alias("n"))
-    extra = cells.where(~F.coalesce(in_dom, F.lit(False))).select(
-        "model_id", "actual", "predicted", F.col("n").cast("long").alias("n"))
-    return filled.unionByName(extra)
+    zero = F.lit(0).cast("long")
+    grid = [F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), zero.alias("n"))
+            for a in labels for p in labels]
+    own = F.struct(F.col("actual"), F.col("predicted"), F.col("n").cast("long").alias("n"))
+    x = cells.select("model_id", F.explode(F.array(own, *grid)).alias("c")).select("model_id", "c.*")
+    return x.groupBy("model_id", "actual", "predicted").agg(F.sum("n").cast("long").alias("n"))
 
 
 def class_stats(cells: DataFrame) -> DataFrame:

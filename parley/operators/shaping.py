@@ -45,18 +45,19 @@ def ordinal(df: DataFrame, order: str, parts: tuple[str, ...] = (), width: int =
     (or the whole table) into one task.
 
     Rows are bucketed by ``order // width``; a bucket holds at most
-    ``width`` rows because the key is a unique integer. Bucket sizes are
-    counted (a small table), turned into offsets by a window over the
-    buckets, and each row's position is its bucket's offset plus its
-    ``row_number`` inside the bucket. Also returns ``_total`` rows per part.
+    ``width`` rows because the key is a unique integer. A ``row_number``
+    runs inside each bucket; the bucket sizes (its maximum) are turned into
+    offsets by a window over the small table of buckets, and a row's
+    position is its bucket's offset plus its number. Counts come from the
+    ranked stream itself, so the input is shuffled once (the exchange is
+    reused). Also returns ``_total`` rows per part.
     """
     k = df.withColumn("_ob", F.floor(F.col(order) / F.lit(width)))
-    counts = k.groupBy(*parts, "_ob").agg(F.count("*").alias("_oc"))
+    ranked = k.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts, "_ob").orderBy(order)))
+    counts = ranked.groupBy(*parts, "_ob").agg(F.max("_rn").alias("_oc"))
     w = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*parts, "_ob", F.coalesce(F.sum("_oc").over(w), F.lit(0)).alias("_off"),
                          F.sum("_oc").over(Window.partitionBy(*parts)).alias("_total"))
-    w2 = Window.partitionBy(*parts, "_ob").orderBy(order)
-    ranked = k.withColumn("_rn", F.row_number().over(w2))
     return (ranked.join(offs, [*parts, "_ob"])
                   .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
                   .drop("_ob", "_rn", "_off"))
