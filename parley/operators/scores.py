@@ -301,3 +301,24 @@ def bert_score(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
         F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("bert_recall"))
     p, r = F.col("bert_precision"), F.col("bert_recall")
     return side_avg.withColumn("bert_f1", F.lit(2.0) * p * r / (p + r))
+
+
+def score_summaries(pairs: DataFrame, key: list[str], hyp: str = "generated_summary",
+                    ref: str = "actual_summary", token_vectors: DataFrame | None = None,
+                    stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """J-6: every score of every (dialogue, model) pair in one table:
+    rouge_1, rouge_2, rouge_l (row-local), meteor (keyed by the pair), and
+    bert_precision / bert_recall / bert_f1 when ``token_vectors`` (pair_id =
+    the pair's key, side, token_no, vector) are given, else NULL."""
+    scored = rouge_l(rouge_n(pairs, hyp, ref), hyp, ref)
+    out = scored.join(meteor(pairs, key, hyp, ref, stems=stems, synonyms=synonyms), key, "left")
+    if token_vectors is not None:
+        b = bert_score(token_vectors)
+        if len(key) == 1:
+            b = b.withColumnRenamed("pair_id", key[0])
+        else:
+            b = b.select(*[F.col("pair_id")[k].alias(k) for k in key],
+                         "bert_precision", "bert_recall", "bert_f1")
+        return out.join(b, key, "left")
+    return out.withColumns({c: F.lit(None).cast("double")
+                            for c in ("bert_precision", "bert_recall", "bert_f1")})
