@@ -173,9 +173,13 @@ def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,)
     def tag(n, side):
         return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))
 
+    # one sentinel per pair (order 0) keeps pairs without any n-gram in the
+    # stream, so the result needs no join back to the pair table
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("x").alias("side"),
+                                F.lit(None).cast("string").alias("gram")))
     items = [F.transform(ngrams(F.col(col), n), tag(n, side))
              for n in orders for side, col in (("h", "_ht"), ("r", "_rt"))]
-    grams = base.select(*key, F.explode(F.concat(*items)).alias("g")).select(*key, "g.*")
+    grams = base.select(*key, F.explode(F.concat(sentinel, *items)).alias("g")).select(*key, "g.*")
     per = (grams.groupBy(*key, "n", "gram")
            .agg(F.count_if(F.col("side") == "h").alias("ch"), F.count_if(F.col("side") == "r").alias("cr")))
     tot = per.groupBy(*key, "n").agg(F.sum(F.least("ch", "cr")).alias("overlap"),
@@ -183,59 +187,74 @@ def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,)
     p, r = _ratio(F.col("overlap"), F.col("nh")), _ratio(F.col("overlap"), F.col("nr"))
     f = F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
     wide = tot.groupBy(*key).agg(*[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}_clipped") for n in orders])
-    out = base.select(*key).join(wide, key, "left")
-    return out.select(*key, *[F.coalesce(F.col(f"rouge{n}_clipped"), F.lit(0.0)).alias(f"rouge{n}_clipped")
-                              for n in orders])
+    return wide.select(*key, *[F.coalesce(F.col(f"rouge{n}_clipped"), F.lit(0.0)).alias(f"rouge{n}_clipped")
+                               for n in orders])
 
 
 def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
            stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """METEOR per pair (J-4), as one token stream keyed by the pair.
 
-    Both texts become one exploded stream of (side, pos, form). Within a
-    stage every token gets its occurrence rank from the end per (pair,
-    side, form); grouping by (pair, form, rank) then pairs the k-th last
-    hypothesis token with the k-th last reference token (a group holding
-    both sides is a match) -- an aggregation, not a join. Groups with one
-    side are the leftovers of the stage; the stem and synonym stages (input
-    tables) map their forms and repeat the rule. Chunks: matches ordered
-    by hypothesis position, a new chunk starts unless both positions
-    advance by one. Lengths come from the token arrays in the row.
+    Both texts become one exploded stream of (side, pos, form), led by one
+    sentinel row per pair that carries the two token counts (so pairs with
+    no match, or no tokens, stay in the stream and the pair table is read
+    once). Within a stage every token gets its occurrence rank from the end
+    per (pair, side, form); grouping by (pair, form, rank) then pairs the
+    k-th last hypothesis token with the k-th last reference token (a group
+    holding both sides is a match) -- an aggregation, not a join. Groups
+    with one side are the stage's leftovers; the stem and synonym stages
+    (input tables) map their forms and repeat the rule. Chunks: matches
+    ordered by hypothesis position, a new chunk starts unless both
+    positions advance by one.
     """
     base = df.select(*key, meteor_tokens(F.col(hyp)).alias("_ht"), meteor_tokens(F.col(ref)).alias("_rt"))
+    null_i = F.lit(None).cast("int")
+    sentinel = F.array(F.struct(F.lit("x").alias("side"), F.lit(-1).alias("pos"),
+                                F.lit(None).cast("string").alias("form"),
+                                F.size("_ht").alias("hl"), F.size("_rt").alias("rl")))
     sides = F.concat(
-        F.transform("_ht", lambda t, i: F.struct(F.lit("h").alias("side"), i.alias("pos"), t.alias("form"))),
-        F.transform("_rt", lambda t, i: F.struct(F.lit("r").alias("side"), i.alias("pos"), t.alias("form"))))
+        sentinel,
+        F.transform("_ht", lambda t, i: F.struct(F.lit("h").alias("side"), i.alias("pos"), t.alias("form"),
+                                                 null_i.alias("hl"), null_i.alias("rl"))),
+        F.transform("_rt", lambda t, i: F.struct(F.lit("r").alias("side"), i.alias("pos"), t.alias("form"),
+                                                 null_i.alias("hl"), null_i.alias("rl"))))
     toks = base.select(*key, F.explode(sides).alias("t")).select(*key, "t.*")
 
     def stage(t):
         w = Window.partitionBy(*key, "side", "form").orderBy(F.desc("pos"))
-        g = (t.withColumn("k", F.row_number().over(w))
-              .groupBy(*key, "form", "k")
-              .agg(F.max(F.when(F.col("side") == "h", F.col("pos"))).alias("hpos"),
-                   F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("rpos")))
-        matched = g.where(F.col("hpos").isNotNull() & F.col("rpos").isNotNull()).select(*key, "hpos", "rpos")
-        left = g.where(F.col("hpos").isNull() | F.col("rpos").isNull()).select(
-            *key, F.when(F.col("hpos").isNotNull(), "h").otherwise("r").alias("side"),
-            F.coalesce("hpos", "rpos").alias("pos"), "form")
-        return matched, left
-
-    matches, left = stage(toks)
+        return (t.withColumn("k", F.row_number().over(w))
+                 .groupBy(*key, "form", "k")
+                 .agg(F.max(F.when(F.col("side") == "h", F.col("pos"))).alias("hpos"),
+                      F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("rpos"),
+                      F.max("hl").alias("hl"), F.max("rl").alias("rl")))
+
+    def leftovers(g):
+        one = (F.col("hpos").isNull() != F.col("rpos").isNull())
+        return g.where(one).select(*key, F.when(F.col("hpos").isNotNull(), "h").otherwise("r").alias("side"),
+                                   F.coalesce("hpos", "rpos").alias("pos"), "form",
+                                   null_i.alias("hl"), null_i.alias("rl"))
+
+    matched = F.col("hpos").isNotNull() & F.col("rpos").isNotNull()
+    g = stage(toks)
+    rows = g.where(matched | F.col("hl").isNotNull()).select(*key, "hpos", "rpos", "hl", "rl")
+    left = leftovers(g)
     for table, src, dst in ((stems, "word", "stem"), (synonyms, "word", "synonym")):
         if table is None:
             continue
         mp = table.select(F.col(src).alias("form"), F.col(dst).alias("_to"))
         mapped = left.join(mp, "form", "left").withColumn("form", F.coalesce("_to", "form")).drop("_to")
-        m2, left = stage(mapped)
-        matches = matches.unionByName(m2)
-
-    wm = Window.partitionBy(*key).orderBy("hpos")
-    brk = matches.select(
-        *key, F.when((F.lag("hpos").over(wm) == F.col("hpos") - 1) & (F.lag("rpos").over(wm) == F.col("rpos") - 1),
-                     F.lit(0)).otherwise(F.lit(1)).alias("new_chunk"))
-    agg = brk.groupBy(*key).agg(F.count("*").alias("m"), F.sum("new_chunk").alias("chunks"))
-    j = base.select(*key, F.size("_ht").alias("hyp_len"), F.size("_rt").alias("ref_len")).join(agg, key, "left")
-    m = F.coalesce(F.col("m"), F.lit(0)).cast("double")
+        g2 = stage(mapped)
+        rows = rows.unionByName(g2.where(matched).select(*key, "hpos", "rpos", "hl", "rl"))
+        left = leftovers(g2)
+
+    wm = Window.partitionBy(*key).orderBy(F.col("hpos").asc_nulls_first())
+    new_chunk = F.when((F.lag("hpos").over(wm) == F.col("hpos") - 1) & (F.lag("rpos").over(wm) == F.col("rpos") - 1),
+                       F.lit(0)).otherwise(F.lit(1))
+    brk = rows.select(*key, "hpos", "hl", "rl", new_chunk.alias("new_chunk"))
+    agg = brk.groupBy(*key).agg(
+        F.count("hpos").alias("m"), F.sum(F.when(F.col("hpos").isNotNull(), F.col("new_chunk"))).alias("chunks"),
+        F.max("hl").alias("hyp_len"), F.max("rl").alias("ref_len"))
+    m = F.col("m").cast("double")
     p = m / F.col("hyp_len")
     rc = m / F.col("ref_len")
     a = F.lit(METEOR_ALPHA)
@@ -243,7 +262,7 @@ def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
     pen = F.lit(METEOR_GAMMA) * F.pow(F.col("chunks") / m, F.lit(METEOR_BETA))
     score = F.when((m == 0) | (F.col("hyp_len") == 0) | (F.col("ref_len") == 0), F.lit(0.0)) \
              .otherwise((F.lit(1.0) - pen) * fmean)
-    return j.select(*key, score.alias("meteor"))
+    return agg.select(*key, score.alias("meteor"))
 
 
 # -- BERTScore -----------------------------------------------------------------
