@@ -14,7 +14,6 @@ import re
 import resource
 import time
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,7 +159,3 @@ def run_cost(df: DataFrame, run: str = "model_id", order: str = "dialogue_id") -
 def sentiment_prompts(df: DataFrame, text: str = "dialogue_text") -> DataFrame:
     return render_prompt(df, text=text, template=SENTIMENT_PROMPT)
 
-
-def batch_frame(pdf: pd.DataFrame, size: int):
-    for s in range(0, len(pdf), size):
-        yield pdf.iloc[s:s + size]

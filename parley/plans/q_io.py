@@ -13,7 +13,7 @@ from parley.functions.parse import extract_sentiment
 from parley.functions.text import first_words
 from parley.plans.oracle_views import with_views
 from parley.plans.registry import query
-from parley.schemas import DIALOGUE_CSV, MODEL_IDS, SENTIMENTS
+from parley.schemas import MODEL_IDS, SENTIMENTS
 from parley.session import fresh_path
 from parley.sources import files as FI
 from parley.sources import fixtures as X
@@ -227,5 +227,3 @@ def q_run_metrics(spark, sf):
     SK.write_run_metrics(m, path)
     return FI.read_run_metrics(spark, path)
 
-
-assert DIALOGUE_CSV is not None

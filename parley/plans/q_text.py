@@ -3,14 +3,13 @@ parsing (B-7, B-8, C-2, C-3, G-5, G-6, I-1..I-10, E-15, E-16)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as TX
 from parley.functions.parse import extract_summary, length_bounds
 from parley.operators import chunking as CH
 from parley.operators import generate as G
-from parley.plans.oracle_views import VIEWS, _view, chunk_list, strip, with_views, words
+from parley.plans.oracle_views import VIEWS, _view, chunk_list, strip, with_views, words  # noqa: F401
 from parley.plans.registry import query
 from parley.schemas import SUMMARY_PROMPTS
 from parley.sources import fixtures as X
@@ -269,5 +268,3 @@ def q_run_cost(spark, sf):
     r = G.run_cost(s)
     return r.select("model_id", *[r6(c).alias(c) for c in r.columns if c != "model_id"])
 
-
-assert "chunks" in VIEWS
