@@ -46,18 +46,29 @@ def ordinal(df: DataFrame, order: str, parts: tuple[str, ...] = (), width: int =
 
     Rows are bucketed by ``order // width``; a bucket holds at most
     ``width`` rows because the key is a unique integer. A ``row_number``
-    runs inside each bucket; the bucket sizes (its maximum) are turned into
-    offsets by a window over the small table of buckets, and a row's
-    position is its bucket's offset plus its number. Counts come from the
-    ranked stream itself, so the input is shuffled once (the exchange is
-    reused). Also returns ``_total`` rows per part.
+    runs inside each bucket, and the bucket sizes (its maximum, taken from
+    the ranked stream, so the input is shuffled once) become offsets in two
+    levels: buckets are grouped ``width`` at a time into super-buckets,
+    offsets of super-buckets come from a window over their (small) count
+    table and offsets of buckets from a window inside their super-bucket.
+    A row's position is the sum of both offsets and its number. Also
+    returns ``_total`` rows per part.
     """
     k = df.withColumn("_ob", F.floor(F.col(order) / F.lit(width)))
     ranked = k.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts, "_ob").orderBy(order)))
-    counts = ranked.groupBy(*parts, "_ob").agg(F.max("_rn").alias("_oc"))
-    w = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*parts, "_ob", F.coalesce(F.sum("_oc").over(w), F.lit(0)).alias("_off"),
-                         F.sum("_oc").over(Window.partitionBy(*parts)).alias("_total"))
+    counts = (ranked.groupBy(*parts, "_ob").agg(F.max("_rn").alias("_oc"))
+                    .withColumn("_sb", F.floor(F.col("_ob") / F.lit(width))))
+    before = Window.unboundedPreceding
+    sb = counts.groupBy(*parts, "_sb").agg(F.sum("_oc").alias("_sc"))
+    sb = sb.select(*parts, "_sb",
+                   F.coalesce(F.sum("_sc").over(Window.partitionBy(*parts).orderBy("_sb").rowsBetween(before, -1)),
+                              F.lit(0)).alias("_soff"),
+                   F.sum("_sc").over(Window.partitionBy(*parts)).alias("_total"))
+    boff = counts.select(*parts, "_sb", "_ob", F.coalesce(
+        F.sum("_oc").over(Window.partitionBy(*parts, "_sb").orderBy("_ob").rowsBetween(before, -1)),
+        F.lit(0)).alias("_boff"))
+    offs = boff.join(sb, [*parts, "_sb"]).select(*parts, "_ob", (F.col("_soff") + F.col("_boff")).alias("_off"),
+                                                 "_total")
     return (ranked.join(offs, [*parts, "_ob"])
                   .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
                   .drop("_ob", "_rn", "_off"))
