@@ -45,12 +45,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan that yields fewer partitions than the shuffle
+    """Hash-partition a scan that yields fewer partitions than the
     parallelism (a small file with one row group), so per-row text work
-    uses every core. Partitioning on the join key with
-    ``spark.sql.shuffle.partitions`` lets a later join on that key reuse
-    it. A large input already has enough splits and is left unchanged."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    uses every core. Frames spread on the same key line up, so a later join
+    between them on that key needs no further shuffle. A large input
+    already has enough splits and is left unchanged."""
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= n:
         return df
     return df.repartition(n, *keys)
