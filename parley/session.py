@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's executors (once per context), so
+    functions that run in Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_parley_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        fd, path = tempfile.mkstemp(prefix="parley-", suffix=".zip")    # read by the driver's file server only
+        with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(here):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("parley", os.path.relpath(full, here)))
+        sc.addPyFile(path)
+        sc._parley_shipped = True
     return spark
 
 
