@@ -5,8 +5,8 @@ runs transducers over the text: homoglyphs (full-width and look-alike
 letters and digits) become ASCII, spelled digits become digits, "at" and
 "dot" disguises become signs. Every normalised character carries the
 source span it came from, so an identifier found in the normalised text
-maps back to exact source offsets. Added spans are those that overlap no
-base span of their kind.
+maps back to exact source offsets. Added spans are those that lie in no
+base span of their kind; one may reach beyond a base span.
 
 Offsets count code points, ends exclusive. Edge cases: null and empty
 texts have no spans; every row is judged by itself, so repeated rows and
@@ -104,11 +104,13 @@ _SPELLED = re.compile(rf"\b(?:plus[ ,-]+)?{_W}(?:[ ,-]+(?:(?:dot|point)[ ,-]+)?{
 _SPELLED_HINT = re.compile(rf"\b{_W}[ ,-]+{_W}\b", re.I)
 _ATOM = re.compile(rf"\b(plus|dot|point|{_W})\b", re.I)
 
-#: "name [at] host [dot] tld": bracketed signs anywhere, bare words only
-#: when both an "at" and a "dot" stand between single words.
+#: Endings that an address spelled in bare words must have.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|eu|uk|de|fr|es|it|nl|ch|at|be|pl|ru|br|jp|cn|in|ca|au"
+#: "name [at] host [dot] tld": bracketed signs anywhere; bare words only
+#: with an "at", a "dot" and a known ending between single words.
 _BRACKET = re.compile(r"[ \t]{0,3}(?:\[ ?(at|dot) ?\]|\( ?(at|dot) ?\)|\{ ?(at|dot) ?\}|<(at|dot)>)[ \t]{0,3}", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}([ ]at[ ])[A-Za-z0-9-]{1,63}"
-                   r"((?:[ ]dot[ ][A-Za-z0-9-]{1,63})+)", re.I)
+                   rf"((?:[ ]dot[ ][A-Za-z0-9-]{{1,63}})*[ ]dot[ ](?:{ENDINGS}))\b", re.I)
 _BARE_DOT = re.compile(r"[ ]dot[ ]", re.I)
 
 
@@ -179,8 +181,8 @@ def _word_edits(t: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(t: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers of the normalised text that no base span of their kind
-    touches, in source offsets."""
+    """Identifiers of the normalised text that lie in no base span of
+    their kind, in source offsets."""
     first = _homoglyph_edits(t)
     one = rewrite(t, first) if first else Mapped(t)
     second = _word_edits(one.text)
@@ -191,7 +193,7 @@ def added_spans(t: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
     taken = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in KINDS}
     for kind, s, e in identifiers(two.text):
         s, e = one.source(*two.source(s, e))
-        if e > s and not any(a < e and s < b for a, b in taken[kind]):
+        if e > s and not any(a <= s and e <= b for a, b in taken[kind]):
             found.append((kind, s, e))
     return found
 

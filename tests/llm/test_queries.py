@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import langid, mixing, ngram_join, packing, pii, spotsigs, suffix_dedup, token_rollup, topk, warc
 from parley.llm.queries import QUERIES, tokenizer
@@ -73,11 +74,9 @@ def _brute_top(rows, k=5, every=50):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(c) for c in np.round(rng.normal(size=6) * (5 if i % 9 else 0.1), 1)]) for i in range(400)]
-    rows += [(401, None), (402, [1.0, None, 0, 0, 0, 0]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6),
+    rows += [(401, None), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6),
              (405, rows[3][1]), (406, rows[3][1]), (3, rows[3][1]), (450, []), (500, [0.0] * 6), (501, []), (550, [1.0, 2.0]), (600, [9.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dist", __import__("pyspark").sql.functions.lit(1))
-    is_q = df["vec_id"] % 50 == 0
-    from pyspark.sql import functions as F
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as dist", "2 as shard")
     is_q = F.col("vec_id") % 50 == 0
     want = _brute_top(rows)
     assert collect(topk.top_k(df, is_q, 5)) == want
@@ -289,7 +288,7 @@ def shingles(t, n):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute_components(rows, n, percent):
+def brute_components(rows, n, percent, with_group=False):
     sets = [shingles(t, n) for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
@@ -301,7 +300,8 @@ def brute_components(rows, n, percent):
     for (d, _), s in zip(rows, label):
         if d is not None:
             least[s] = min(least.get(s, d), d)
-    return sorted(((d, len(x), least.get(s)) for (d, _), x, s in zip(rows, sets, label)), key=str)
+    out = [(d, len(x), least.get(s), s) for (d, _), x, s in zip(rows, sets, label)]
+    return sorted(out if with_group else [x[:3] for x in out], key=str)
 
 
 @pytest.mark.parametrize("n,percent,task", [(4, 85, ngram_join.TASK_SHINGLES), (5, 80, 100)])
@@ -331,13 +331,12 @@ def test_ngram_join_dense_group(spark):
 
 def test_keep_one(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    comp = brute_components(rows, 5, 80)
+    comp = brute_components(rows, 5, 80, True)
     out = ngram_join.keep_one(odd, 5, 80)
     assert out.columns == odd.columns
-    got = out.collect()
-    empty = sum(1 for _, n, _ in comp if n == 0)
-    assert len(got) == len({c for _, n, c in comp if n}) + empty
-    assert {r.doc_id for r in got if shingles(r.text, 5)} == {c for _, n, c in comp if n}
+    got = Counter(r.doc_id for r in out.collect())
+    groups = {(g, c) for _, n, c, g in comp if n}
+    assert got == Counter(c for _, c in groups) + Counter(d for d, n, _, _ in comp if n == 0)
     assert ngram_join.classes(odd.limit(0), 4, 85).count() == 0
 
 
