@@ -115,6 +115,23 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{scratch_dir(spark)}/{stem}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark drops a finished execution's shuffle files when this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    """Write a step's result below the shared folder and read it again, so
+    later steps start from the table; the step's shuffle files go at once."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, stem), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a
     local checkpoint: executors may be lost)."""
