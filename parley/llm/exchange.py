@@ -1,12 +1,12 @@
 """Which keys of a corpus occur in more than one document.
 
 Texts are written once as *pieces*: runs of whole documents of about a
-megabyte, each row with its piece and its place in it. Every piece sends
-its distinct keys, packed, to key buckets; a bucket finds the keys that
-two documents hold and answers each piece with those of its own. What
-comes back meets the piece's texts in a cogroup by piece. A key that a
-third of all documents hold is thus one entry for each piece, in and out,
-and no task holds more than a bucket or a piece.
+megabyte, one row each, compressed. Every piece sends its distinct keys,
+packed, to key buckets; a bucket finds the keys that two documents hold
+and answers each piece with those of its own. What comes back meets the
+piece in a cogroup by piece. A key that a third of all documents hold is
+thus one entry for each piece, in and out, and no task holds more than a
+bucket or a few pieces; whatever moves texts moves them compressed.
 
 A bucket keeps 47 bits of a key; equal bits of different keys only make a
 key look shared, which costs work and changes no result.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.session import fresh_path
+from parley.session import stored
 
 U64 = np.uint64
 PIECE_BYTES = 1 << 20
@@ -36,37 +36,58 @@ HOT_PIECES = 1024
 KeysFn = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def write_pieces(docs: DataFrame, columns: str = "", compute=None, carry: bool = False, stem: str = "pieces"
-                 ) -> DataFrame:
-    """piece, row, doc_id, text, n_bytes and what ``compute(bytes,
-    offsets, texts)`` gives as ``columns``; a null text is empty. With
-    ``carry`` also the columns of docs as they are, as c0, c1, ..."""
-    spark = docs.sparkSession
-    names = [c.split()[0] for c in columns.split(",")] if columns else []
-    carried = [f"c{i}" for i in range(len(docs.columns))] if carry else []
+def write_pieces(docs: DataFrame, compute=None, columns: tuple[tuple[str, str], ...] = (), carry: bool = False) -> DataFrame:
+    """One row per piece: piece, n_bytes, blob, and for its documents the
+    arrays doc_id and ``columns`` (name, type), which ``compute(bytes,
+    offsets)`` gives. The blob holds the documents themselves, compressed:
+    doc_id and text, with ``carry`` the other columns of docs too."""
+    names = [n for n, _ in columns]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                      *([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)
+                         if not _is_own(docs.schema.fields[i])] if carry else []))
 
     def run(batches):
         from pyspark import TaskContext
         piece = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, texts = b.column(0), b.column(1).fill_null("")
-            for lo, hi, data, off in tv.pieces(texts, PIECE_BYTES):
-                n = hi - lo
-                more = compute(data, off, texts.slice(lo, n)) if compute else []
+            for lo, hi, data, off in tv.pieces(b.column(1), PIECE_BYTES):
+                part = b.slice(lo, hi - lo)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(part)
+                more = compute(data, off) if compute else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, piece, np.int64)), pa.array(np.arange(n, dtype=np.int32)),
-                     ids.slice(lo, n), texts.slice(lo, n), pa.array(np.diff(off).astype(np.int64)), *more,
-                     *[b.column(2 + i).slice(lo, n) for i in range(len(carried))]],
-                    ["piece", "row", "doc_id", "text", "n_bytes", *names, *carried])
+                    [pa.array([piece], pa.int64()), pa.array([len(data)], pa.int64()),
+                     pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                     pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                     *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in more]],
+                    ["piece", "n_bytes", "blob", "doc_id", *names])
                 piece += 1
 
-    schema = "piece long, row int, doc_id long, text string, n_bytes long" + (", " + columns if columns else "")
-    schema += "".join(f", {c} {f.dataType.simpleString()}" for c, f in zip(carried, docs.schema))
-    path = fresh_path(spark, stem)
-    own = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carried)]
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
-     .mapInArrow(run, schema).write.parquet(path))
-    return spark.read.schema(schema).parquet(path)
+    schema = "piece long, n_bytes long, blob binary, doc_id array<long>" + "".join(f", {n} array<{t}>" for n, t in columns)
+    return stored(own.mapInArrow(run, schema), "pieces")
+
+
+def _is_own(field) -> bool:
+    return (field.name, field.dataType.simpleString()) in (("doc_id", "bigint"), ("text", "string"))
+
+
+def open_piece(table: pa.Table) -> pa.RecordBatch | None:
+    """The documents of the piece in a one-row table; None without one."""
+    if not table.num_rows:
+        return None
+    return pa.ipc.open_stream(table.column("blob")[0].as_buffer()).read_next_batch()
+
+
+def rows(table: DataFrame, *columns: str) -> DataFrame:
+    """piece, row, doc_id and columns of every document, without texts."""
+    return (table.select("piece", F.posexplode(F.arrays_zip("doc_id", *columns)).alias("row", "x"))
+            .select("piece", "row", "x.doc_id", *[f"x.{c}" for c in columns]))
+
+
+def carried(batch: pa.RecordBatch, schema) -> list[pa.Array]:
+    """The columns of docs, as they were, in the order of ``schema``."""
+    return [batch.column(f.name if _is_own(f) else f"c{i}") for i, f in enumerate(schema)]
 
 
 def bucket_count(table: DataFrame, at_least: int = 12) -> int:
@@ -95,11 +116,9 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int
     hold (packed; the lowest bit marks a hot key)."""
     def send(batches):
         for b in batches:
-            pieces = b.column(0).to_numpy()
-            rows = b.column(1)
-            cuts = np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]]).tolist() + [len(pieces)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                for a, _, data, off in tv.pieces(b.column(2).slice(lo, hi - lo), 2 * PIECE_BYTES):
+            for piece, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                texts = pa.ipc.open_stream(blob.as_buffer()).read_next_batch().column("text")
+                for _, _, data, off in tv.pieces(texts, 1 << 62):           # the piece as one
                     key, row = keys_fn(data, off)
                     if not len(key):
                         continue
@@ -116,7 +135,7 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int
                     at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                     ends = np.r_[at[1:], len(where)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(where[at].astype(np.int32)), pa.array(np.full(len(at), pieces[lo], np.int64)),
+                        [pa.array(where[at].astype(np.int32)), pa.array(np.full(len(at), piece, np.int64)),
                          pa.array([pack48(vals[s:e]) for s, e in zip(at, ends)], pa.binary())],
                         ["bucket", "piece", "vals"])
 
@@ -142,7 +161,7 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int
                          "bucket": pa.array(np.full(len(at), t.column("bucket")[0].as_py(), np.int32)),
                          "vals": pa.array([pack48(out[s:e]) for s, e in zip(at, ends)], pa.binary())})
 
-    up = table.select("piece", "row", "text").mapInArrow(send, "bucket int, piece long, vals binary")
+    up = table.select("piece", "blob").mapInArrow(send, "bucket int, piece long, vals binary")
     return up.groupBy("bucket").applyInArrow(answer, "piece long, bucket int, vals binary")
 
 
@@ -167,10 +186,3 @@ def member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
     return sorted_keys[at] == x, at
 
-
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written:
-    it does so when the driver's garbage is collected."""
-    import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

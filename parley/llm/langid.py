@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.session import fresh_path
+from parley.session import stored
 
 #: Labelled rows the text model is fitted on, in order of a hash of the id.
 FIT_ROWS = 4000
@@ -129,7 +129,6 @@ def identify(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ()) -> D
     """rows (row_id, text, host, domain, suffix, declared, kept columns)
     -> row_id, kept columns, lang, posterior, text_lang, trigrams,
     rejected."""
-    spark = rows.sparkSession
     langs, k = model.langs, len(model.langs)
     cols = ["row_id", "host", "domain", "suffix", "declared", *keep]
 
@@ -145,9 +144,8 @@ def identify(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ()) -> D
 
     chosen = rows.select(*cols, F.col("text").cast("string").alias("text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    path = fresh_path(spark, "likelihoods")
-    chosen.mapInArrow(score, f"{ddl}, ll array<double>, trigrams long, letters long, text_lang string").write.parquet(path)
-    got = spark.read.parquet(path)
+    got = stored(chosen.mapInArrow(score, f"{ddl}, ll array<double>, trigrams long, letters long, text_lang string"),
+                 "likelihoods")
 
     def counts(*by: str) -> DataFrame:
         """n_<lang> for each value of ``by``: verdicts of rows with text."""
@@ -224,10 +222,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, lang and whatever else) without the
     rows whose language is not told. The rejected rows' keys are written
     first, so Spark knows their size when it plans the join."""
-    spark = docs.sparkSession
     key = F.xxhash64("doc_id", "source", "text")
     rows = from_documents(docs).withColumn("key", F.xxhash64("row_id", "host", "text"))
-    path = fresh_path(spark, "rejected")
-    (identify(rows, fit_text_model(docs), ("key",)).where("rejected").select("key").distinct().write.parquet(path))
-    rejected = spark.read.schema("key long").parquet(path)
+    rejected = stored(identify(rows, fit_text_model(docs), ("key",)).where("rejected").select("key").distinct(), "rejected")
     return docs.join(rejected, key == rejected["key"], "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.session import fresh_path
+from parley.session import stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -134,12 +134,9 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 def measure(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size (+ kept columns), written once to the shared
     folder, so texts are read once."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "sizes")
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                 F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
-     .write.parquet(path))
-    return spark.read.parquet(path)
+    return stored(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep), "sizes")
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS) -> list[dict]:

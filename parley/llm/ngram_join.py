@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from parley.llm import exchange as ex
 from parley.llm import textvec as tv
 from parley.llm.graph import components
-from parley.session import fresh_path
+from parley.session import stored
 
 U64 = np.uint64
 TASK_SHINGLES = 400_000
@@ -190,7 +190,7 @@ def signature_links(sets: list[np.ndarray], percent: int, side: np.ndarray | Non
 def _candidates(table: DataFrame, n_words: int, percent: int, buckets: int) -> DataFrame:
     """Sets that may have a partner: node (128-bit name as text), size,
     hashes (binary), keys shared among their first f + 1."""
-    copies = (table.where("n_shingles > 0").groupBy("set_a", "set_b")
+    copies = (ex.rows(table, "n_shingles", "set_a", "set_b").where("n_shingles > 0").groupBy("set_a", "set_b")
               .agg(F.min(F.struct(F.col("piece"), F.col("row"))).alias("kept")))
     firsts = copies.select(F.col("kept.piece").alias("piece"), F.col("kept.row").alias("row"))
     kept = firsts.groupBy("piece").agg(F.sort_array(F.collect_list("row")).alias("rows"))   # rows of one piece
@@ -202,8 +202,9 @@ def _candidates(table: DataFrame, n_words: int, percent: int, buckets: int) -> D
         shared, _ = ex.open_answers(rt, buckets)
         firsts = {r for x in rt.column("rows").to_pylist() if x for r in x}
         out = {"set_a": [], "set_b": [], "size": [], "hashes": [], "keys": []}
-        left = left.filter(pa.array([r in firsts for r in left.column("row").to_pylist()], pa.bool_()))
-        for _, _, data, off in tv.pieces(left.column("text")):
+        batch = ex.open_piece(left)
+        texts = batch.column("text").take(pa.array(sorted(firsts), pa.int64())) if batch is not None else pa.array([], pa.string())
+        for _, _, data, off in tv.pieces(texts):
             rows = len(off) - 1
             h, r = shingle_sets(data, off, n_words)
             n, a, b = set_names(h, r, rows)
@@ -225,12 +226,9 @@ def _candidates(table: DataFrame, n_words: int, percent: int, buckets: int) -> D
                          "size": pa.array(out["size"], pa.int64()), "hashes": pa.array(out["hashes"], pa.binary()),
                          "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
 
-    got = (table.select("piece", "row", "text").groupBy("piece").cogroup(right.groupBy("piece"))
+    got = (table.select("piece", "blob").groupBy("piece").cogroup(right.groupBy("piece"))
            .applyInArrow(pick, "set_a long, set_b long, size long, hashes binary, keys array<long>"))
-    spark = table.sparkSession
-    path = fresh_path(spark, "candidates")
-    got.select(_node().alias("node"), "size", "hashes", "keys").write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(got.select(_node().alias("node"), "size", "hashes", "keys"), "candidates")
 
 
 def _node():
@@ -277,10 +275,7 @@ def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int)
 
 def links(table: DataFrame, n_words: int, percent: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """(u, v) node names of spanning links between different sets."""
-    spark = table.sparkSession
-    buckets = ex.bucket_count(table)
-    cand = _candidates(table, n_words, percent, buckets)
-    ex.release(spark)
+    cand = _candidates(table, n_words, percent, ex.bucket_count(table))
     by_key = cand.select(F.explode("keys").alias("key"), "node")
     hub = by_key.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
     edges = by_key.join(hub.select("key", "hub"), "key").select(F.col("node").alias("u"), F.col("hub").alias("v"))
@@ -295,20 +290,18 @@ def links(table: DataFrame, n_words: int, percent: int, task_shingles: int = TAS
         return pa.table({"u": pa.array([names[i] for i, _ in found], pa.string()),
                          "v": pa.array([names[j] for _, j in found], pa.string())})
 
-    path = fresh_path(spark, "links")
-    dealt.groupBy("task").applyInArrow(traverse, "u string, v string").write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(dealt.groupBy("task").applyInArrow(traverse, "u string, v string"), "links")
 
 
 def _labelled(docs: DataFrame, n_words: int, percent: int, task_shingles: int, carry: bool
               ) -> tuple[DataFrame, DataFrame]:
     """(pieces of docs, (node, label) of every set that has a link)."""
-    def compute(data, off, _):
+    def compute(data, off):
         h, r = shingle_sets(data, off, n_words)
         n, a, b = set_names(h, r, len(off) - 1)
         return [pa.array(n.astype(np.int64)), pa.array(a), pa.array(b)]
 
-    table = ex.write_pieces(docs, "n_shingles long, set_a long, set_b long", compute, carry)
+    table = ex.write_pieces(docs, compute, (("n_shingles", "long"), ("set_a", "long"), ("set_b", "long")), carry)
     return table, components(links(table, n_words, percent, task_shingles))
 
 
@@ -316,7 +309,7 @@ def classes(docs: DataFrame, n_words: int, percent: int, task_shingles: int = TA
     """doc_id, n_shingles, component_id (smallest id reachable by links)
     and set_name of every document."""
     table, found = _labelled(docs, n_words, percent, task_shingles, False)
-    ids = table.select("doc_id", "n_shingles", _node().alias("node"))
+    ids = ex.rows(table, "n_shingles", "set_a", "set_b").select("doc_id", "n_shingles", _node().alias("node"))
     some = ids.where("n_shingles > 0")
     sets = some.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = sets.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -331,11 +324,20 @@ def keep_one(docs: DataFrame, n_words: int, percent: int, task_shingles: int = T
     """``docs``, with one row of each component: the smallest doc_id (of
     equal ids the first stored). Rows without words all stay."""
     table, found = _labelled(docs, n_words, percent, task_shingles, True)
-    some = table.where("n_shingles > 0").select(
+    every = ex.rows(table, "n_shingles", "set_a", "set_b")
+    some = every.where("n_shingles > 0").select(
         F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "piece", "row").alias("at"), _node().alias("node"))
     sets = some.groupBy("node").agg(F.min("at").alias("at"))
     best = (sets.join(found, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
             .agg(F.min("at").alias("at")))
-    kept = best.select("at.piece", "at.row").union(table.where("n_shingles = 0").select("piece", "row"))
-    return (table.join(kept, ["piece", "row"], "left_semi")
-            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    kept = (best.select("at.piece", "at.row").union(every.where("n_shingles = 0").select("piece", "row"))
+            .groupBy("piece").agg(F.collect_list("row").alias("rows")))         # rows of one piece
+    schema = docs.schema
+
+    def take(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = ex.open_piece(left)
+        at = pa.array(sorted(r for x in right.column("rows").to_pylist() for r in x), pa.int64())
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(ex.carried(batch, schema), schema.names)]).take(at)
+
+    kept = stored(kept, "kept")
+    return (table.select("piece", "blob").groupBy("piece").cogroup(kept.groupBy("piece")).applyInArrow(take, schema))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from parley.llm import textvec as tv
-from parley.session import fresh_path
+from parley.session import stored
 
 U64 = np.uint64
 CHAIN, STEP = 2, 1
@@ -234,11 +234,8 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     under the rarest of their signatures of which a like set must hold
     one; links are cut to those that join something new."""
     from parley.llm.graph import components
-    spark = prints.sparkSession
     sets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    path = fresh_path(spark, "prints")
-    sets.where("fingerprint <> ''").write.parquet(path)
-    sets = spark.read.parquet(path)
+    sets = stored(sets.where("fingerprint <> ''"), "prints")
 
     @pandas_udf("array<string>")
     def split(f: pd.Series) -> pd.Series:

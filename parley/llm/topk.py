@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import fresh_path
+from parley.session import stored
 
 PIVOTS = 48
 #: Bounded sample, in order of a hash of the id, from which pivots are
@@ -120,9 +120,9 @@ def fit_pivots(sample: np.ndarray, n_pivots: int, rounds: int = 6) -> np.ndarray
 
 
 def build_index(data: DataFrame, pivots: np.ndarray, top: float, dim: int, shards: int,
-                path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every vector, keyed (pivot, distance), as sorted annulus blocks
-    written to ``path``: shard, pivot, lo, hi, ids, vectors (binary).
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every vector, keyed (pivot, distance), as a stored table of sorted
+    annulus blocks: shard, pivot, lo, hi, ids, vectors (binary).
     Range partitions on (pivot, distance, id) split a hot pivot and a hot
     distance alike."""
     def key(it):
@@ -151,8 +151,7 @@ def build_index(data: DataFrame, pivots: np.ndarray, top: float, dim: int, shard
     out = (keyed.repartitionByRange(shards, "pivot", "dist", "vec_id")
            .sortWithinPartitions("pivot", "dist", "vec_id")
            .mapInPandas(blocks, "shard int, pivot int, lo double, hi double, ids binary, vecs binary"))
-    out.write.mode("overwrite").parquet(path)
-    return data.sparkSession.read.parquet(path)
+    return stored(out, "annuli")
 
 
 def _search(dim: int, k: int, pivots: np.ndarray, top: float):
@@ -191,9 +190,7 @@ def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col:
     """(query_id, rank, vec_id, score): the k best other rows of every row
     for which ``is_query`` (a Column over vec_id) holds."""
     spark = vectors.sparkSession
-    path = fresh_path(spark, "vectors")
-    quantise(vectors, id_col, vec_col, scale).withColumn("dim", F.size("vec")).write.parquet(path)
-    data = spark.read.parquet(path)
+    data = stored(quantise(vectors, id_col, vec_col, scale).withColumn("dim", F.size("vec")), "vectors")
     norm = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     shape = data.groupBy("dim").agg(
         F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("top"),
@@ -209,7 +206,7 @@ def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col:
         pivots = fit_pivots(_augment(s, top), n_pivots)
         shards = max(1, math.ceil(row["n"] / shard_rows))
         groups = max(1, math.ceil(row["queries"] / query_group))
-        index = build_index(of_dim, pivots, top, dim, shards, fresh_path(spark, "annuli"))
+        index = build_index(of_dim, pivots, top, dim, shards)
 
         def bound(it, s=s, s_id=s_id, dim=dim):
             """A lower bound of the k-th score: the k-th within the sample."""
