@@ -29,8 +29,6 @@ U64 = np.uint64
 PIECE_BYTES = 1 << 20
 #: Bytes of text for each key bucket.
 BUCKET_BYTES = 16 << 20
-#: A key that more pieces hold than this is called hot.
-HOT_PIECES = 1024
 
 #: (bytes, row offsets) -> (keys, row of each)
 KeysFn = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -111,9 +109,9 @@ def fold(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> U64(17)) * U64(buckets) + keys % U64(buckets)
 
 
-def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int = HOT_PIECES) -> DataFrame:
+def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int) -> DataFrame:
     """piece, bucket, vals: for each piece its keys that two documents
-    hold (packed; the lowest bit marks a hot key)."""
+    hold, each with the number of pieces that hold it (47 and 16 bits)."""
     def send(batches):
         for b in batches:
             for piece, blob in zip(b.column(0).to_pylist(), b.column(1)):
@@ -150,7 +148,7 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int
         n = np.diff(np.r_[first, len(key)])
         two = (n >= 2) | (np.maximum.reduceat(v[order] & U64(1), first) > 0)
         keep = np.repeat(two, n)
-        out = (key << U64(1)) | np.repeat(n > hot_pieces, n).astype(U64)
+        out = (key << U64(16)) | np.repeat(np.minimum(n, 0xFFFF), n).astype(U64)
         out, to = out[keep], whose[order][keep]
         order = np.argsort(to, kind="stable")
         out, to = out[order], to[order]
@@ -159,24 +157,24 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int, hot_pieces: int
         piece = t.column("piece").to_numpy()
         return pa.table({"piece": pa.array(piece[to[at]], pa.int64()),
                          "bucket": pa.array(np.full(len(at), t.column("bucket")[0].as_py(), np.int32)),
-                         "vals": pa.array([pack48(out[s:e]) for s, e in zip(at, ends)], pa.binary())})
+                         "vals": pa.array([out[s:e].tobytes() for s, e in zip(at, ends)], pa.binary())})
 
     up = table.select("piece", "blob").mapInArrow(send, "bucket int, piece long, vals binary")
     return up.groupBy("bucket").applyInArrow(answer, "piece long, bucket int, vals binary")
 
 
 def open_answers(right: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted folded keys, hot flag of each) of one piece's answers."""
-    parts, hot = [np.zeros(0, U64)], [np.zeros(0, bool)]
+    """(sorted folded keys, pieces that hold each) of one piece's answers."""
+    parts, held = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for b, v in zip(right.column("bucket").to_pylist(), right.column("vals").to_pylist()):
         if b is None or v is None or b < 0:
             continue
-        x = unpack48(v)
-        parts.append((x >> U64(1)) * U64(buckets) + U64(b))
-        hot.append((x & U64(1)).astype(bool))
-    k, h = np.concatenate(parts), np.concatenate(hot)
+        x = np.frombuffer(v, U64)
+        parts.append((x >> U64(16)) * U64(buckets) + U64(b))
+        held.append((x & U64(0xFFFF)).astype(np.int64))
+    k, n = np.concatenate(parts), np.concatenate(held)
     order = np.argsort(k)
-    return k[order], h[order]
+    return k[order], n[order]
 
 
 def member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import cut_lineage
+from parley.session import stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and the small-star step until nothing
     changes; each round is an aggregate and a join on the node (a hot node
-    is a skewed join side, which AQE splits) and is checkpointed, so
+    is a skewed join side, which AQE splits) whose result is stored, so
     lineage stays short and a lost executor costs one round at most.
     """
-    e = cut_lineage(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
+    e = stored(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(_least(down), "u")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = cut_lineage(small)
+        e = stored(small, "edges")
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(

@@ -44,7 +44,8 @@ from parley.llm.graph import components
 from parley.session import stored
 
 U64 = np.uint64
-TASK_SHINGLES = 400_000
+#: Shingles of the sets that one task holds, about.
+TASK_SHINGLES = 2_000_000
 LEAF, FAN = 8, 8
 
 
@@ -115,10 +116,10 @@ def _prefix_keys(n_words: int, percent: int):
     return keys
 
 
-def signature_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def signature_links(sets: list[np.ndarray], percent: int, role: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links (index pairs) among sorted hash arrays: two sets in
-    one component of all links are joined by those returned. With ``side``
-    only pairs of different sides count."""
+    one component of all links are joined by those returned. With ``role``
+    only pairs of roles that meet count."""
     m = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     if m < 2:
@@ -126,7 +127,7 @@ def signature_links(sets: list[np.ndarray], percent: int, side: np.ndarray | Non
     first = np.array([x[0] for x in sets], U64)
     order = np.lexsort((first, np.floor(np.log(size) * 4)))
     sets, size = [sets[i] for i in order], size[order]
-    side = None if side is None else side[order]
+    role = None if role is None else role[order]
     bits = 1 << min(15, max(8, int(2 * size.max() - 1).bit_length()))
     words = bits // 64
     maps = np.zeros((m, words), U64)
@@ -166,7 +167,7 @@ def signature_links(sets: list[np.ndarray], percent: int, side: np.ndarray | Non
         if (i != j or level) and joined(level, i, j):
             continue
         if level == 0:
-            if i == j or (side is not None and side[i] == side[j]):
+            if i == j or (role is not None and not _MEET[role[i], role[j]]):
                 continue
             x, y = sets[i], sets[j]
             inter = len(np.intersect1d(x, y, assume_unique=True))
@@ -235,8 +236,18 @@ def _node():
     return F.concat(F.lpad(F.hex("set_a"), 16, "0"), F.lpad(F.hex("set_b"), 16, "0"))
 
 
+#: Pairs of roles whose sets a task compares. A task of a large group holds
+#: a block of a size class (0), another block of the class (2) and a block
+#: of the next class (1); 3: the block alone, which meets itself.
+_MEET = np.zeros((4, 4), bool)
+for _a, _b in ((3, 3), (3, 1), (0, 2), (0, 1)):
+    _MEET[_a, _b] = _MEET[_b, _a] = True
+
+
 def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int) -> DataFrame:
-    """node, hashes, task, side for every task a set belongs to."""
+    """node, hashes, task, role for every task a set belongs to. A group
+    that fits is a task; of a larger one, each block of a size class meets
+    every block of its class and of the next, so sets of like size meet."""
     x = cand.select("node", "size").join(groups, "node")
     x = x.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(100.0 / (percent - 0.1)))).cast("int"))
     per_class = x.groupBy("label", "cls").agg(F.sum("size").alias("w"), F.count("*").alias("members"))
@@ -247,29 +258,23 @@ def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int)
     classes = (per_class.join(up, ["label", "cls"], "left").join(down, ["label", "cls"], "left")
                .join(whole.where("all > 1"), "label"))
     x = x.join(classes, ["label", "cls"])
-    i = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-    x = x.withColumn("i", i)
-
-    def task(c, a, d, b):
-        return F.concat_ws(":", F.col("label"), c, a, d, b)
-
-    def to(n):
-        return F.sequence(F.lit(0), n - 1)
-
-    empty = F.expr("cast(array() as array<struct<task:string,side:int>>)")
-    c = F.col("cls").cast("string")
-    own = F.transform(to(F.col("s")), lambda j: F.struct(
-        task(c, F.least("i", j).cast("string"), c, F.greatest("i", j).cast("string")).alias("task"),
-        F.lit(-1).alias("side")))
-    above = F.when(F.col("s_up").isNull(), empty).otherwise(F.transform(to(F.col("s_up")), lambda j: F.struct(
-        task(c, F.col("i").cast("string"), (F.col("cls") + 1).cast("string"), j.cast("string")).alias("task"),
-        F.lit(0).alias("side"))))
-    under = F.when(F.col("s_down").isNull(), empty).otherwise(F.transform(to(F.col("s_down")), lambda j: F.struct(
-        task((F.col("cls") - 1).cast("string"), j.cast("string"), c, F.col("i").cast("string")).alias("task"),
-        F.lit(1).alias("side"))))
-    one = F.array(F.struct(F.col("label").alias("task"), F.lit(-1).alias("side")))
-    tasks = F.when(F.col("total") <= task_shingles, one).otherwise(F.concat(own, above, under))
-    dealt = x.select("node", F.explode(tasks).alias("t")).select("node", "t.task", "t.side")
+    x = x.withColumn("i", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+
+    def to(n):                              # 0 .. n-1, or nothing
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def entry(c, i, j, role):
+        text = F.concat_ws(":", F.col("label"), c.cast("string"), i.cast("string"), j.cast("string"))
+        return F.struct(text.alias("task"), role.cast("int").alias("role"))
+
+    c, i = F.col("cls"), F.col("i")
+    own = F.transform(to(F.greatest("s", F.coalesce("s_up", F.lit(0)))),
+                      lambda j: entry(c, i, j, F.when(i == j, 3).otherwise(0)))
+    other = F.transform(to(i), lambda k: entry(c, k, i, F.lit(2)))
+    below = F.transform(to(F.coalesce("s_down", F.lit(0))), lambda k: entry(c - 1, k, i, F.lit(1)))
+    one = F.array(F.struct(F.col("label").alias("task"), F.lit(3).alias("role")))
+    tasks = F.when(F.col("total") <= task_shingles, one).otherwise(F.concat(own, other, below))
+    dealt = x.select("node", F.explode(tasks).alias("t")).select("node", "t.task", "t.role")
     return dealt.join(cand.select("node", "hashes"), "node")
 
 
@@ -285,8 +290,8 @@ def links(table: DataFrame, n_words: int, percent: int, task_shingles: int = TAS
     def traverse(t: pa.Table) -> pa.Table:
         names = t.column("node").to_pylist()
         sets = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
-        side = t.column("side").to_numpy()
-        found = signature_links(sets, percent, side if (side >= 0).any() else None)
+        role = t.column("role").to_numpy()
+        found = signature_links(sets, percent, None if (role == 3).all() else role)
         return pa.table({"u": pa.array([names[i] for i, _ in found], pa.string()),
                          "v": pa.array([names[j] for _, j in found], pa.string())})
 
