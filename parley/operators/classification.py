@@ -93,8 +93,8 @@ def label_counts_table(preds: DataFrame, labels=LABELS) -> DataFrame:
     model never produced has NULL (not 0), as the pivoted source table.
     One grouped count, then a per-model map looked up for each label."""
     counts = preds.groupBy("model_id", "generated_sentiment").agg(F.count("*").alias("n"))
-    per_model = counts.where(F.col("generated_sentiment").isin(*labels)).groupBy("model_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("generated_sentiment", "n"))).alias("m"))
+    known = F.when(F.col("generated_sentiment").isin(*labels), F.struct("generated_sentiment", "n"))
+    per_model = counts.groupBy("model_id").agg(F.map_from_entries(F.collect_list(known)).alias("m"))
     x = per_model.select("model_id", "m", F.explode(F.array(*[F.lit(v) for v in labels])).alias("sentiment"))
     return x.select("sentiment", "model_id", F.element_at("m", F.col("sentiment")).cast("long").alias("total_classified"))
 

@@ -38,13 +38,17 @@ def prompts_table(spark) -> DataFrame:
 def render_prompt(df: DataFrame, text: str = "dialogue_text", template: str | None = None,
                   prompts: DataFrame | None = None, out: str = "prompt") -> DataFrame:
     """I-3: one prompt per row. Either one template for all rows, or the
-    per-model template joined from the (fixed-size, broadcast) registry."""
+    per-model template: a literal map of the fixed registry (no join), or a
+    join with the ``prompts`` given."""
     if template is not None:
         return df.withColumn(out, fill_template(template, text))
     if prompts is None:
-        prompts = prompts_table(df.sparkSession)
-    from parley.session import broadcast_if_small
-    j = df.join(broadcast_if_small(prompts.select("model_id", "template", "parse_variant")), "model_id")
+        entry = F.create_map(*[x for m, (t, _, v) in SUMMARY_PROMPTS.items()
+                               for x in (F.lit(m), F.struct(F.lit(t).alias("template"), F.lit(v).alias("parse_variant")))])
+        j = (df.where(F.col("model_id").isin(*SUMMARY_PROMPTS)).withColumn("_p", F.element_at(entry, F.col("model_id")))
+             .select(*df.columns, "_p.template", "_p.parse_variant"))
+    else:
+        j = df.join(prompts.select("model_id", "template", "parse_variant"), "model_id")
     return j.withColumn(out, fill_template(F.col("template"), text)).drop("template")
 
 
@@ -88,12 +92,12 @@ def generate(df: DataFrame, generator, prompt: str = "prompt", out: str = "outpu
 # -- deterministic stand-ins for a model (for tests and reproducible runs) ----
 
 class LeadWords:
-    """Echoes the prompt, then the first ``n`` words after its first line
-    (the dialogue part of a summary prompt)."""
+    """Echoes the prompt, then the words after its first line (the dialogue
+    part of a summary prompt): all, or the first ``n``."""
 
     deterministic = True
 
-    def __init__(self, n: int = 10):
+    def __init__(self, n: int | None = None):
         self.n = n
 
     def __call__(self, prompts: list[str]) -> list[str]:

@@ -319,7 +319,9 @@ def bert_score(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
         F.avg(F.when(F.col("side") == "cand", F.col("best"))).alias("bert_precision"),
         F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("bert_recall"))
     p, r = F.col("bert_precision"), F.col("bert_recall")
-    return side_avg.withColumn("bert_f1", F.lit(2.0) * p * r / (p + r))
+    f1 = F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
+    # a pair with one side only keeps its row, with NULL scores
+    return sizes.select("pair_id").distinct().join(side_avg.withColumn("bert_f1", f1), "pair_id", "left")
 
 
 def score_summaries(pairs: DataFrame, key: list[str], hyp: str = "generated_summary",

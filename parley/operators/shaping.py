@@ -133,8 +133,6 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def resolve_fk(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """D-9: resolve a foreign key against a dimension (model registry): a
-    broadcast hash join when the dimension's size estimate is small, no
-    shuffle of ``df``; a shuffle join otherwise."""
-    from parley.session import broadcast_if_small
-    return df.join(broadcast_if_small(dim), key)
+    """D-9: resolve a foreign key against a dimension; the planner chooses
+    the join by the dimension's size."""
+    return df.join(dim, key)

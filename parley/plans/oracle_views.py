@@ -166,7 +166,7 @@ SELECT dialogue_id, unnest(range(0, len(c))) AS chunk_no, unnest(c) AS chunk_tex
 
 _view("chunk_results", ("chunks", "models"), f"""
 SELECT c.dialogue_id, m.model_id, c.chunk_no,
-       array_to_string({words('c.chunk_text')}[1:10], ' ') AS summary,
+       array_to_string({words('c.chunk_text')}, ' ') AS summary,
        CAST(floor(c.dialogue_id / 25) AS BIGINT) AS batch_id,
        {cost_time('length(c.chunk_text)', 'm.model_no')} AS time_taken,
        {cost_memory('length(c.chunk_text)', 'm.model_no', 'c.dialogue_id')} AS memory_usage

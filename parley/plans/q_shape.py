@@ -120,12 +120,15 @@ def q_optional_key(spark, sf):
                     F.try_element_at("m", F.lit("rougeLsum")).alias("rougeLsum"))
 
 
-@query("b12_placeholder_label")
+@query("b12_placeholder_label", with_views("""
+SELECT dialogue_id, (((dialogue_id % 1000003) * 2654435761 % 4294967296) >> 16) % 3 AS label FROM dialogues""",
+                                          "dialogues"))
 def q_placeholder(spark, sf):
-    """Uniform random 0/1/2 placeholder label (seeded; rows-only check:
-    values depend on the partitioning, the distribution is tested)."""
+    """Evenly spread 0/1/2 placeholder label: a mix of the id, the same
+    under any partitioning."""
     d = X.dialogues(spark, sf).select("dialogue_id")
-    return d.withColumn("label", F.floor(F.rand(42) * 3).cast("long"))
+    mixed = (F.col("dialogue_id") % 1000003) * F.lit(2654435761) % F.lit(4294967296)
+    return d.withColumn("label", F.shiftright(mixed, 16) % 3)
 
 
 @query("b14_ntile_parts", with_views("""

@@ -15,7 +15,7 @@ SELECT c.dialogue_id,
        CASE ((length(d.dialogue_text) + {len(SENTIMENT_PROMPT) - 2}) % 3) - 1
             WHEN -1 THEN 'negative' WHEN 0 THEN 'neutral' ELSE 'positive' END AS sentiment,
        c.summary
-FROM (SELECT dialogue_id, string_agg(array_to_string({words('chunk_text')}[1:10], ' '), chr(10) ORDER BY chunk_no)
+FROM (SELECT dialogue_id, string_agg(array_to_string({words('chunk_text')}, ' '), chr(10) ORDER BY chunk_no)
                AS summary
       FROM chunks GROUP BY dialogue_id) c
 JOIN dialogues d ON c.dialogue_id = d.dialogue_id""", "chunks", "dialogues")

@@ -117,7 +117,7 @@ def q_prompts(spark, sf):
 
 _view("raw_summaries", ("chunk_prompts",), f"""
 SELECT dialogue_id, chunk_no, model_id, parse_variant,
-       prompt || ' ' || array_to_string({words('chunk_text')}[1:10], ' ') || chr(10) || 'Note: end.' AS output
+       prompt || ' ' || array_to_string({words('chunk_text')}, ' ') || chr(10) || 'Note: end.' AS output
 FROM chunk_prompts""")
 
 _SUMMARY_CASE = f"""
@@ -134,7 +134,7 @@ def q_extract_summary(spark, sf):
     + a trailing line)."""
     ch = X.per_model(CH.split_dialogue(X.dialogues(spark, sf)))
     pr = G.render_prompt(ch, text="chunk_text")
-    raw = pr.withColumn("output", F.concat(F.col("prompt"), F.lit(" "), TX.first_words("chunk_text", 10),
+    raw = pr.withColumn("output", F.concat(F.col("prompt"), F.lit(" "), F.array_join(TX.words("chunk_text"), " "),
                                            F.lit("\nNote: end.")))
     s = F.when(F.col("parse_variant") == "rest", extract_summary("output", "rest")) \
          .otherwise(extract_summary("output", "first_line"))
@@ -202,7 +202,7 @@ def q_distinct_partials(spark, sf):
 
 _view("lead_summaries", ("chunks",), f"""
 SELECT dialogue_id, chunk_no,
-       array_to_string({words("chunk_text || chr(10) || 'Summary:'")}[1:10], ' ') AS summary
+       array_to_string({words("chunk_text || chr(10) || 'Summary:'")}, ' ') AS summary
 FROM chunks""")
 
 
@@ -214,7 +214,7 @@ def q_generate(spark, sf):
     template, _, variant = SUMMARY_PROMPTS["falcon 7b"]
     ch = CH.split_dialogue(X.dialogues(spark, sf))
     pr = G.render_prompt(ch, text="chunk_text", template=template)
-    g = G.generate(pr.select("dialogue_id", "chunk_no", "prompt"), G.LeadWords(10))
+    g = G.generate(pr.select("dialogue_id", "chunk_no", "prompt"), G.LeadWords())
     return g.select("dialogue_id", "chunk_no", extract_summary("output", variant).alias("summary"))
 
 
@@ -223,7 +223,7 @@ SELECT dialogue_id, 'falcon 7b' AS model_id, string_agg(summary, '' ORDER BY chu
 FROM lead_summaries GROUP BY dialogue_id""", "lead_summaries"))
 def q_summarise_long(spark, sf):
     s = G.summarise_long(X.dialogues(spark, sf).select("dialogue_id", "dialogue_text"),
-                         G.LeadWords(10), "falcon 7b")
+                         G.LeadWords(), "falcon 7b")
     return s.select("dialogue_id", "model_id", "summary")
 
 

@@ -43,7 +43,7 @@ SENTIMENT_PROMPT = (
 SENTIMENT_PROMPT_ZEPHYR = (
     "Given the following dialogue, output a single digit representing the sentiment label: "
     "-1 for negative, 0 for neutral, and 1 for positive. Do not provide any additional "
-    " text or explanation.\n\n{}\n\nSentiment:\n"
+    " text or explanation. \n\n{}\n\nSentiment:\n"
 )
 # Chunking and batching defaults of the summary jobs.
 MAX_DIALOGUE_CHARS = 1024

@@ -36,6 +36,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+#: Bytes of an Arrow batch: whole texts make row counts a poor measure.
+ARROW_BATCH = "8m"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """A session ready for this package's functions in Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return ship_package(spark)
 
 
@@ -76,25 +86,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast hint only when the optimizer's size estimate of ``df`` is
-    within ``max_bytes`` (exact for local registries, file-size based for
-    scans); otherwise the planner chooses a shuffle join. No job runs."""
-    from pyspark.sql import functions as F
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: do not hint
-        return df
-    return F.broadcast(df) if size <= max_bytes else df
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (session
     or context configuration) or an already registered checkpoint folder.
-    Only when none is set (local tests) a folder under the system temp dir
-    is created and registered, so ``DataFrame.checkpoint()`` works too.
+    Only when none is set and the session runs in one process (local tests)
+    a folder under the system temp dir is created and registered, so
+    ``DataFrame.checkpoint()`` works too; on a cluster that is an error.
     """
     sc = spark.sparkContext
     conf = (spark.conf.get("spark.checkpoint.dir", None)
@@ -104,6 +103,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf)
         return conf.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="parley-scratch-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -166,13 +166,13 @@ def chunks(spark: SparkSession, sf_dir: str, max_length: int = 1024) -> DataFram
 
 
 def chunk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-chunk generation results of every model: first ten words of the
-    chunk as summary, cost from the chunk length, batches of 25 dialogues."""
+    """Per-chunk generation results of every model: the words of the chunk
+    as summary, cost from the chunk length, batches of 25 dialogues."""
     c = per_model(chunks(spark, sf_dir))
     n, mno, did = F.length("chunk_text"), F.col("model_no"), F.col("dialogue_id")
     return c.select(
         "dialogue_id", "model_id", "chunk_no",
-        first_words("chunk_text", 10).alias("summary"),
+        F.array_join(words("chunk_text"), " ").alias("summary"),
         F.floor(did / 25).alias("batch_id"),
         _cost_time(n, mno).alias("time_taken"),
         _cost_memory(n, mno, did).alias("memory_usage"),

@@ -110,11 +110,13 @@ def bulk_load(df: DataFrame, table: str, base: str, datasets: tuple[str, ...] |
 
 
 def upsert_labels(dialogues: DataFrame, labels: DataFrame, key: str = "dialogue_id",
-                  col: str = "actual_sentiment") -> DataFrame:
+                  col: str = "actual_sentiment", order: str | None = None) -> DataFrame:
     """A-14: new label where one exists for the key, old label otherwise;
-    unmatched label ids are ignored. One left join instead of a lookup per
-    row; the caller rewrites the table (or MERGEs where supported)."""
-    new = labels.select(key, F.col(col).alias("_new"))
+    unmatched label ids are ignored. Of several labels for a key the last
+    by ``order`` counts (without one, the largest). One left join instead
+    of a lookup per row; the caller rewrites the table (or MERGEs)."""
+    pick = F.max_by(col, order) if order else F.max(col)
+    new = labels.groupBy(key).agg(pick.alias("_new"))
     j = dialogues.join(new, key, "left")
     return j.withColumn(col, F.coalesce("_new", col)).drop("_new")
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from parley.functions.chunk import chunk_array
 from parley.functions.parse import extract_summary, extract_sentiment
 from parley.functions.text import fill_template
-from parley.schemas import MAX_DIALOGUE_CHARS, SENTIMENT_PROMPT
+from parley.schemas import GENERATION_BATCH, MAX_DIALOGUE_CHARS, SENTIMENT_PROMPT
 
 _WS = re.compile(r"[ \t\n\r\f]+")
 
@@ -31,7 +31,7 @@ _WS = re.compile(r"[ \t\n\r\f]+")
 class ServiceEcho:
     """Deterministic stand-in for the hosted model: a sentiment prompt gets
     ``Sentiment: <len(prompt) % 3 - 1>`` after the echoed prompt; any other
-    input gets ``Summarization:`` + blank line + its first ten words."""
+    input gets ``Summarization:`` + blank line + its words."""
 
     deterministic = True
 
@@ -42,7 +42,7 @@ class ServiceEcho:
                 out.append(f"{p} {len(p) % 3 - 1}")
             else:
                 ws = [w for w in _WS.split(p) if w]
-                out.append("Summarization:\n\n" + " ".join(ws[:10]))
+                out.append("Summarization:\n\n" + " ".join(ws))
         return out
 
 
@@ -54,7 +54,8 @@ def _generate_rows(generator):
             prompts = list(pdf["sentiment_prompt"])
             chunks = [list(c) for c in pdf["chunks"]]
             flat = [c for cs in chunks for c in cs]
-            outs = generator(prompts + flat)
+            ask = prompts + flat
+            outs = [o for s in range(0, len(ask), GENERATION_BATCH) for o in generator(ask[s:s + GENERATION_BATCH])]
             sent, rest = outs[: len(prompts)], outs[len(prompts):]
             grouped, i = [], 0
             for cs in chunks:

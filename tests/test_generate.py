@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from parley.operators import generate as G
-from parley.session import broadcast_if_small
 
 
 def test_generate_batches_of_25(spark):
@@ -31,9 +30,8 @@ def test_lead_words_and_teacher(spark):
     assert G.LengthTeacher()(["ab", "abc"]) == ["positive", "negative"]
 
 
-def test_broadcast_if_small(spark):
-    small = spark.createDataFrame([(1, "a")], "k int, v string")
-    plan = spark.range(10).withColumnRenamed("id", "k").join(broadcast_if_small(small), "k")
-    assert "Broadcast" in plan._jdf.queryExecution().executedPlan().toString()
-    big = spark.range(0, 10_000_000)
-    assert broadcast_if_small(big, max_bytes=1024) is big
+def test_registry_prompts_need_no_join(spark):
+    df = spark.createDataFrame([(1, "falcon 7b", "hi"), (2, "unknown", "hi")], "k int, model_id string, t string")
+    out = G.render_prompt(df, text="t")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, "hi" in r.prompt) for r in out.collect()] == [(1, True)]

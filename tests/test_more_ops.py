@@ -45,3 +45,21 @@ def test_annotate_distinct_parts(spark):
     once = annotate(df, ServiceEcho(), distinct_parts=True).first()
     assert full.summary.count("\n") == 2 and "\n" not in once.summary
     assert full.sentiment in ("negative", "neutral", "positive")
+
+
+def test_rows_are_not_lost(spark):
+    """Pairs with one side, opposite vectors, repeated labels and models
+    without a known label keep their rows."""
+    from parley.operators import classification, scores
+    from parley.sources import sinks
+    tok = spark.createDataFrame([(1, "cand", 1, [1.0, 0.0]), (1, "ref", 2, [0.0, 1.0]), (2, "cand", 3, [1.0, 0.0])],
+                                "pair_id long, side string, token_no long, vector array<double>")
+    got = {r.pair_id: r for r in scores.bert_score(tok).collect()}
+    assert got[1].bert_f1 == 0.0 and got[2].bert_f1 is None
+    d = spark.createDataFrame([(1, "old"), (2, "old")], "dialogue_id long, actual_sentiment string")
+    lab = spark.createDataFrame([(1, "b", 1), (1, "a", 2)], "dialogue_id long, actual_sentiment string, at int")
+    assert sorted(tuple(r) for r in sinks.upsert_labels(d, lab, order="at").collect()) == [(1, "a"), (2, "old")]
+    assert sorted(tuple(r) for r in sinks.upsert_labels(d, lab).collect()) == [(1, "b"), (2, "old")]
+    p = spark.createDataFrame([("m", "odd"), ("n", "neutral")], "model_id string, generated_sentiment string")
+    t = classification.label_counts_table(p).collect()
+    assert len(t) == 6 and [r.total_classified for r in t if r.model_id == "m"] == [None] * 3

@@ -1,4 +1,4 @@
-"""Chunker and parsers against small Python rules written here."""
+"""Chunker and parsers: expected values and properties."""
 
 import random
 import re
@@ -9,67 +9,55 @@ from parley.functions.chunk import chunk_array
 from parley.functions.parse import extract_sentiment, extract_summary, length_bounds
 from parley.functions.text import normalise_text, rouge_words, words
 
-
-def rule_chunks(text, max_length=1024):
-    """The greedy newline packing, as a plain Python rule."""
-    if len(text) <= max_length:
-        return [text]
-    out, cur = [], ""
-    for part in text.split("\n"):
-        if len(cur) + len(part) < max_length:
-            cur += part + "\n"
-        else:
-            out.append(cur.strip(" \t\n\r\f"))
-            cur = part + "\n"
-    if cur:
-        out.append(cur.strip(" \t\n\r\f"))
-    return out
-
-
-def rule_sentiment_v1(out):
-    low = out.lower()
-    m = re.search(r"sentiment:[ \t\n\r\f]*(1|0|-1)\b", low)
-    if m:
-        return {"-1": "negative", "0": "neutral", "1": "positive"}[m.group(1)]
-    m = re.search(r"sentiment:.*(positive|neutral|negative)", low, re.DOTALL)
-    return m.group(1) if m else "neutral"
-
-
-EDGE_TEXTS = [
-    "",
-    "a" * 1024,
-    "a" * 1025,
-    "x" * 1100 + "\nshort line\nother",
-    "y" * 5000,
-    ("line of text\n" * 120),
-    ("para " * 50 + "\n") * 30,
-    "first\n" + "z" * 2000 + "\nlast",
-    "Summary: inside the dialogue\n" + "w " * 700,
-]
-
-
-def test_chunker_matches_rule(spark):
+LIMIT = 1024
+EXPECTED = {
+    "": [""],
+    "a" * 1024: ["a" * 1024],
+    "a" * 1025: ["", "a" * 1025],
+    "y" * 5000: ["", "y" * 5000],
+    "x" * 1100 + "\nshort line\nother": ["", "x" * 1100, "short line\nother"],
+    "first\n" + "z" * 2000 + "\nlast": ["first", "z" * 2000, "last"],
+    "a\n" * 511 + "bb": ["a\n" * 511 + "bb"],
+    "a\n" * 511 + "bcd": [("a\n" * 511).strip(), "bcd"],
+}
+
+
+def test_chunker_expected_chunks(spark):
+    df = spark.createDataFrame(list(EXPECTED.items()), "t string, want array<string>")
+    for r in df.select("t", "want", chunk_array("t").alias("got")).collect():
+        assert list(r.got) == list(r.want), r.t[:20]
+
+
+def check_chunks(text, chunks):
+    """Lines stay whole and in order; a chunk of several lines is under the
+    limit; the line after a chunk would not have fitted."""
+    if len(text) <= LIMIT:
+        assert chunks == [text]
+        return
+    assert "\n".join(c for i, c in enumerate(chunks) if c or i) == text
+    for c in chunks:
+        assert len(c) < LIMIT or "\n" not in c
+    for a, b in zip(chunks, chunks[1:]):
+        assert len(a) + bool(a) + len(b.split("\n")[0]) >= LIMIT
+
+
+def test_chunker_properties(spark):
     rnd = random.Random(7)
-    texts = list(EDGE_TEXTS)
-    for _ in range(60):
-        lines = ["".join(rnd.choice("abc de\t") for _ in range(rnd.randint(0, 400)))
-                 for _ in range(rnd.randint(1, 30))]
-        texts.append("\n".join(lines))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    got = {r.id: list(r.c) for r in df.select("id", chunk_array("t").alias("c")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == rule_chunks(t), i
+    texts = ["\n".join("".join(rnd.choice("abcde") for _ in range(rnd.choice([1, 30, 200, 400, 1500])))
+                       for _ in range(rnd.randint(1, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chunk_array("t").alias("c")).collect():
+        check_chunks(r.t, list(r.c))
 
 
 def test_chunker_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.select("doc_id", "text", chunk_array("text").alias("c")).collect()
     assert rows
-    for r in rows:
-        assert list(r.c) == rule_chunks(r.text)
-        # chunks restore the text modulo stripped whitespace
-        ws = re.compile(r"[ \t\n\r\f]+")
+    ws = re.compile(r"[ \t\n\r\f]+")
+    for r in rows:      # chunks restore the text but for stripped white space
         assert ws.sub("", "".join(r.c)) == ws.sub("", r.text)
+        assert all(len(c) < LIMIT or "\n" not in c for c in r.c) or len(r.text) <= LIMIT
 
 
 def test_sentiment_v1_expected_labels(spark):
@@ -86,7 +74,7 @@ def test_sentiment_v1_expected_labels(spark):
     }
     df = spark.createDataFrame(list(cases.items()), "out string, want string")
     for r in df.select("out", "want", extract_sentiment("out", "v1").alias("got")).collect():
-        assert r.got == r.want == rule_sentiment_v1(r.out), r.out
+        assert r.got == r.want, r.out
 
 
 def test_sentiment_variants(spark):
@@ -116,17 +104,8 @@ def test_words_and_bounds(spark):
     assert r[0].n == "a b c"
 
 
-def rule_rouge_words(text):
-    out = []
-    for piece in text.split("."):
-        if len(piece) > 0:
-            ws = [w for w in re.split(r"[ \t\n\r\f]+", piece) if w]
-            out.extend(ws if ws else [""])
-    return out
-
-
-def test_rouge_words_rule(spark):
-    texts = ["a. b", "a. . b", "end. ", "  . x", "", "...", "x.\n.y z", "one two. three"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [list(r.w) for r in df.select(rouge_words(F.col("t")).alias("w")).collect()]
-    assert got == [rule_rouge_words(t) for t in texts]
+def test_rouge_words(spark):
+    want = {"a. b": ["a", "b"], "a. . b": ["a", "", "b"], "end. ": ["end", ""], "  . x": ["", "x"], "": [], "...": [],
+            "x.\n.y z": ["x", "", "y", "z"], "one two. three": ["one", "two", "three"]}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: list(r.w) for r in df.select("t", rouge_words(F.col("t")).alias("w")).collect()} == want
