@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import langid, mixing, ngram_join, packing, pii
 from parley.llm.queries import tokenizer
-from parley.session import fresh_path, read_table
+from parley.session import fresh_path, prepare, read_table
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -56,8 +56,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer(), with_ids=False).drop("ids")
 
 
+def _prepared(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+    return run_stage
+
+
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
           ("mix_sources", mix), ("pack", pack)]
+STAGES = [(name, _prepared(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block_
     placed = place(with_source(sizes, sources), block_words)
     slots = draw(docs.sparkSession, sources, shard_slots, seed)
     mixed = (pieces(placed.select("doc_id", "sid", "start", "size", *keep), block_words)
-             .join(slots, ["sid", "block"])
+             .join(slots.hint("merge"), ["sid", "block"])       # slots grow with the corpus: no broadcast
              .select("shard", "pass", "doc_id", "sid", "start", "size", "block", "first", "last", *keep))
     return placed, mixed
 
