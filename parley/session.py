@@ -40,12 +40,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 #: Bytes of an Arrow batch: whole texts make row counts a poor measure.
-ARROW_BATCH = "8m"
+ARROW_BATCH = "2m"
+#: Rows the Parquet reader decodes at once: a batch of whole texts is one
+#: array on the heap, grown by doubling.
+READ_ROWS = "512"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """A session ready for this package's functions in Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     return ship_package(spark)
 
 
