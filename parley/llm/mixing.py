@@ -244,31 +244,25 @@ def taken(docs: DataFrame, **params) -> DataFrame:
             .union(placed.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"))))
 
 
-def cutter():
-    """Column function (text, [(first, last) word ranges]) -> those words
-    with the white space between them; separate ranges are joined by a
-    space. The whole range gives the text as it is."""
-    import re
-
-    from pyspark.sql.functions import pandas_udf
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-
-    def one(text, ranges, size):
-        runs: list[list[int]] = []
-        for a, b in sorted((r["first"], r["last"]) for r in ranges):
-            if runs and runs[-1][1] >= a:
-                runs[-1][1] = max(b, runs[-1][1])
-            else:
-                runs.append([a, b])
-        if runs == [[0, size]]:
-            return text
-        at = [m.span() for m in word.finditer(text)]
-        return " ".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
-
-    @pandas_udf("string")
-    def cut(text: pd.Series, ranges: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([one(t, r, s) for t, r, s in zip(text, ranges, size)], dtype=object)
-    return cut
+#: A word with the white space before it.
+LED_WORD = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
+LEAD = "^[\\x20\\x09-\\x0D]+"
+
+
+def cut(text, words, ranges, size):
+    """Column: the words of the ranges (ordered, without overlap) with the
+    white space between them; ranges that do not touch are joined by a
+    space. All ``size`` words give the text as it is. ``words``: the text's
+    words, each with the white space before it."""
+    def piece(r, i):
+        got = F.array_join(F.slice(words, r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int")), "")
+        before = F.get(ranges, i - 1)
+        bare = F.regexp_replace(got, LEAD, "")
+        return F.when(i == 0, bare).when(before["last"] == r["first"], got).otherwise(F.concat(F.lit(" "), bare))
+    held = F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    # size(words) also keeps the word list a column of its own: it is read
+    # more than once, so it is not computed anew for each range
+    return F.when(held >= size, text).when(F.size(words) > 0, F.array_join(F.transform(ranges, piece), ""))
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
@@ -283,11 +277,12 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     placed, mixed = mix_documents(docs.select("doc_id", "source", "text", key.alias(name)), keep=(name,), **params)
     del placed
     taken_ = (mixed.groupBy(name, "sid", "start", "pass")
-              .agg(F.collect_list(F.struct("first", "last")).alias("ranges"), F.max("size").alias("size"))
+              .agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"), F.max("size").alias("size"))
               .select(name, F.struct("ranges", "size").alias(name + "r")))
     with_key = docs.withColumn(name, key).dropDuplicates([name])
-    out = with_key.join(taken_, name)
-    out = out.withColumn("text", cutter()(F.col("text"), F.col(name + "r.ranges"), F.col(name + "r.size")))
+    out = with_key.hint("merge").join(taken_, name)     # texts are never broadcast
+    out = out.withColumn(name + "w", F.regexp_extract_all("text", F.lit(LED_WORD), F.lit(0)))
+    out = out.withColumn("text", cut(F.col("text"), F.col(name + "w"), F.col(name + "r.ranges"), F.col(name + "r.size")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
