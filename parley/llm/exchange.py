@@ -63,7 +63,7 @@ def write_pieces(docs: DataFrame, compute=None, columns: tuple[tuple[str, str],
                 piece += 1
 
     schema = "piece long, n_bytes long, blob binary, doc_id array<long>" + "".join(f", {n} array<{t}>" for n, t in columns)
-    return stored(own.mapInArrow(run, schema), "pieces")
+    return stored(own.mapInArrow(tv.tidy(run), schema), "pieces")
 
 
 def _is_own(field) -> bool:
@@ -159,7 +159,7 @@ def shared_keys(table: DataFrame, keys_fn: KeysFn, buckets: int) -> DataFrame:
                          "bucket": pa.array(np.full(len(at), t.column("bucket")[0].as_py(), np.int32)),
                          "vals": pa.array([out[s:e].tobytes() for s, e in zip(at, ends)], pa.binary())})
 
-    up = table.select("piece", "blob").mapInArrow(send, "bucket int, piece long, vals binary")
+    up = table.select("piece", "blob").mapInArrow(tv.tidy(send), "bucket int, piece long, vals binary")
     return up.groupBy("bucket").applyInArrow(answer, "piece long, bucket int, vals binary")
 
 

@@ -32,6 +32,8 @@ from parley.session import stored
 #: Labelled rows the text model is fitted on, in order of a hash of the id.
 FIT_ROWS = 4000
 FEATURES = 1 << 15
+#: Bytes of text scored at once: a trigram takes some hundred bytes meanwhile.
+PIECE_BYTES = 1 << 18
 #: Trigrams of one text count as at most so many independent ones.
 EFFECTIVE = 60.0
 SMOOTH_HOST = 20.0
@@ -83,7 +85,7 @@ class TextModel:
         out = np.zeros((len(col), len(self.langs)))
         n = np.zeros(len(col), np.int64)
         letters = np.zeros(len(col), np.int64)
-        for lo, hi, data, off in tv.pieces(col):
+        for lo, hi, data, off in tv.pieces(col, PIECE_BYTES):
             sums = np.r_[0, np.cumsum(_LETTER[data])]
             letters[lo:hi] = sums[off[1:]] - sums[off[:-1]]
             f, row = trigrams(data, off)
@@ -144,7 +146,7 @@ def identify(rows: DataFrame, model: TextModel, keep: tuple[str, ...] = ()) -> D
 
     chosen = rows.select(*cols, F.col("text").cast("string").alias("text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    got = stored(chosen.mapInArrow(score, f"{ddl}, ll array<double>, trigrams long, letters long, text_lang string"),
+    got = stored(chosen.mapInArrow(tv.tidy(score), f"{ddl}, ll array<double>, trigrams long, letters long, text_lang string"),
                  "likelihoods")
 
     def counts(*by: str) -> DataFrame:

@@ -292,6 +292,8 @@ def links(table: DataFrame, n_words: int, percent: int, task_shingles: int = TAS
         sets = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
         role = t.column("role").to_numpy()
         found = signature_links(sets, percent, None if (role == 3).all() else role)
+        del sets
+        tv.release()
         return pa.table({"u": pa.array([names[i] for i, _ in found], pa.string()),
                          "v": pa.array([names[j] for _, j in found], pa.string())})
 

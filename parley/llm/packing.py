@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import textvec as tv
+
 END = 1
 #: Words whose ids a Python worker keeps; beyond it starts anew.
 CACHE_WORDS = 600_000
@@ -184,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = Tru
             yield out()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-               .mapInArrow(run, SCHEMA)
+               .mapInArrow(tv.tidy(run), SCHEMA)

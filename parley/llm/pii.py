@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import textvec as tv
+
 KINDS = ("email", "ip", "card", "phone")
 
 _AT_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -224,7 +226,7 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.string()), pa.array(every, pa.string())],
                                              ["doc_id", "base", "spans"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-               .mapInArrow(run, "doc_id long, base string, spans string")
+               .mapInArrow(tv.tidy(run), "doc_id long, base string, spans string")
 
 
 def masker():

@@ -7,6 +7,7 @@ whatever the size of the Arrow batch. One row is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,26 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _pow: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again
+    by later steps and would keep the most that any step took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):           # not the GNU C library
+        pass
+
+
+def tidy(fn):
+    """``fn`` of an iterator of batches, releasing memory at its end."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64)."""
     x = x.astype(U64, copy=True)
