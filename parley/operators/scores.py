@@ -7,9 +7,10 @@ Definitions (written contract; see README):
   F=2PR/(P+R+1e-8). NULL when either text is NULL or has no words.
 * ROUGE-L: L = LCS of the same word lists; P=L/|hyp|, R=L/|ref|, F as above.
 * ROUGE with clipped counts: lower case, [^a-z0-9] separates tokens,
-  optional stem table; overlap = sum of min(count_h, count_r) per n-gram.
+  optional stems; overlap = sum of min(count_h, count_r) per n-gram. NULL
+  when either text is NULL or has no tokens; METEOR likewise.
 * METEOR: lower-case word/punctuation tokens; stages exact -> stem ->
-  synonym (tables given as input); within a stage the k-th occurrence from
+  synonym (rules or tables given as input); within a stage the k-th occurrence from
   the end in the hypothesis pairs with the k-th from the end in the
   reference; chunks are runs adjacent in both texts.
 * BERTScore: P = mean over candidate tokens of the best cosine against the
@@ -18,14 +19,18 @@ Definitions (written contract; see README):
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from parley.functions.text import meteor_tokens, ngrams, rouge_words, score_tokens
+from parley.operators.shaping import SALTS
 from parley.schemas import METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA
 
 
@@ -149,120 +154,131 @@ def rouge_l(df: DataFrame, hyp: str, ref: str, union: bool = False) -> DataFrame
     return w.withColumn("rouge_l", out).drop("_hw", "_rw", "_lcs")
 
 
+def _overlaps(orders: tuple[int, ...]):
+    """Arrow UDF: sum of min(count_h, count_r) over the n-grams, per order."""
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def overlaps(h: pd.Series, r: pd.Series) -> pd.Series:
+        def one(a, b):
+            if a is None or b is None:
+                return None
+            a, b = list(a), list(b)
+            return [sum((Counter(zip(*[a[k:] for k in range(n)])) & Counter(zip(*[b[k:] for k in range(n)]))).values())
+                    for n in orders]
+        return pd.Series([one(a, b) for a, b in zip(h, r)], dtype=object)
+    return overlaps
+
+
+def _mapped(base: DataFrame, key: list[str], table: DataFrame | Callable[[Column], Column],
+            src: str, dst: str, cols: dict[str, str]) -> DataFrame:
+    """Adds token arrays (``cols``: input array -> new array) with every token
+    replaced by its form, or kept where it has none.
+
+    ``table`` is a rule (Column -> Column), applied in the row, or a table
+    with one form per word. A table is joined by (word, salt): its rows are
+    repeated per salt, so a frequent word is never one task's work."""
+    if callable(table):
+        return base.withColumns({b: F.transform(F.col(a), table) for a, b in cols.items()})
+    words = table.select(F.col(src).alias("token"), F.col(dst).alias("_to"),
+                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+
+    def tag(side: str):
+        return lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token"))
+
+    items = [F.transform(F.coalesce(F.col(a), F.array().cast("array<string>")), tag(b)) for a, b in cols.items()]
+    toks = base.select(*key, F.explode(F.concat(*items)).alias("t")).select(*key, "t.*")
+    toks = toks.withColumn("_salt", F.pmod(F.xxhash64(*key, "pos"), F.lit(SALTS)).cast("int"))
+    form = F.struct("pos", F.coalesce("_to", "token").alias("form"))
+    forms = (toks.join(words, ["token", "_salt"], "left").groupBy(*key)
+             .agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == b, form))),
+                                lambda x: x["form"]).alias(b) for b in cols.values()]))
+    return base.join(forms, key, "left")
+
+
 def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,),
-                  stems: DataFrame | None = None) -> DataFrame:
+                  stems: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
     """ROUGE-N with clipped counts (J-3) for every order in ``orders``:
     columns ``rouge<n>_clipped``.
 
-    One stream of (order, side, n-gram) per pair; per (pair, order,
-    n-gram) the two side counts, overlap = sum(least(ch, cr)). Aggregations
-    are map-side partial. The optional stem table (word, stem) maps tokens
-    (joined by word, then re-assembled in order) before n-grams form."""
+    Both token lists of a pair are in its row; one Arrow UDF counts the
+    overlaps of all orders, so nothing is shuffled. ``stems`` maps tokens
+    before n-grams form: a rule on columns, or a table (word, stem). NULL
+    where a text is NULL or has no tokens."""
     orders = (orders,) if isinstance(orders, int) else tuple(orders)
     base = df.select(*key, score_tokens(F.col(hyp)).alias("_ht"), score_tokens(F.col(ref)).alias("_rt"))
+    h, r = "_ht", "_rt"
     if stems is not None:
-        sm = stems.select(F.col("word").alias("token"), "stem")
-        parts = []
-        for side in ("_ht", "_rt"):
-            t = base.select(*key, F.posexplode(side).alias("pos", "token")).join(sm, "token", "left")
-            parts.append(t.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(
-                F.struct("pos", F.coalesce("stem", "token").alias("t")))), lambda x: x["t"]).alias(side)))
-        empty = F.array().cast("array<string>")
-        base = (base.select(*key).join(parts[0], key, "left").join(parts[1], key, "left")
-                    .select(*key, F.coalesce("_ht", empty).alias("_ht"), F.coalesce("_rt", empty).alias("_rt")))
-    def tag(n, side):
-        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))
-
-    # one sentinel per pair (order 0) keeps pairs without any n-gram in the
-    # stream, so the result needs no join back to the pair table
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("x").alias("side"),
-                                F.lit(None).cast("string").alias("gram")))
-    items = [F.transform(ngrams(F.col(col), n), tag(n, side))
-             for n in orders for side, col in (("h", "_ht"), ("r", "_rt"))]
-    grams = base.select(*key, F.explode(F.concat(sentinel, *items)).alias("g")).select(*key, "g.*")
-    per = (grams.groupBy(*key, "n", "gram")
-           .agg(F.count_if(F.col("side") == "h").alias("ch"), F.count_if(F.col("side") == "r").alias("cr")))
-    tot = per.groupBy(*key, "n").agg(F.sum(F.least("ch", "cr")).alias("overlap"),
-                                     F.sum("ch").alias("nh"), F.sum("cr").alias("nr"))
-    p, r = _ratio(F.col("overlap"), F.col("nh")), _ratio(F.col("overlap"), F.col("nr"))
-    f = F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
-    wide = tot.groupBy(*key).agg(*[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}_clipped") for n in orders])
-    return wide.select(*key, *[F.coalesce(F.col(f"rouge{n}_clipped"), F.lit(0.0)).alias(f"rouge{n}_clipped")
-                               for n in orders])
+        base = _mapped(base, key, stems, "word", "stem", {"_ht": "_hs", "_rt": "_rs"})
+        h, r = "_hs", "_rs"
+    w = base.select(*key, F.size("_ht").alias("_hl"), F.size("_rt").alias("_rl"),
+                    _overlaps(orders)(F.col(h), F.col(r)).alias("_o"))
+    out = {}
+    for i, n in enumerate(orders):
+        p = _ratio(F.col("_o")[i], F.greatest(F.col("_hl") - n + 1, F.lit(0)))
+        rc = _ratio(F.col("_o")[i], F.greatest(F.col("_rl") - n + 1, F.lit(0)))
+        f = F.when(p + rc == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * rc / (p + rc))
+        out[f"rouge{n}_clipped"] = F.when((F.col("_hl") > 0) & (F.col("_rl") > 0), f)
+    return w.select(*key, *[c.alias(name) for name, c in out.items()])
+
+
+def _matches_chunks(forms) -> list[int]:
+    """[matches, chunks] of one pair; ``forms`` holds the (hypothesis,
+    reference) forms of each stage. The hypothesis is walked from its end
+    and takes the last free reference token of the same form."""
+    hfree, rfree = range(len(forms[0][0]) - 1, -1, -1), range(len(forms[0][1]))
+    match: dict[int, int] = {}
+    for h, r in forms:
+        at: dict = {}
+        for j in rfree:
+            at.setdefault(r[j], []).append(j)
+        rest = []
+        for i in hfree:
+            free = at.get(h[i])
+            if free:
+                match[i] = free.pop()
+            else:
+                rest.append(i)
+        hfree, rfree = rest, sorted(j for free in at.values() for j in free)
+    chunks = sum(1 for i, j in match.items() if match.get(i - 1) != j - 1)
+    return [len(match), chunks]
+
+
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def _meteor_counts(forms: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """Columns: the hypothesis's and the reference's forms, stage by stage."""
+    for cols in forms:
+        out = []
+        for row in zip(*cols):
+            if any(x is None for x in row):
+                out.append(None)
+            else:
+                out.append(_matches_chunks([(row[k], row[k + 1]) for k in range(0, len(row), 2)]))
+        yield pd.Series(out, dtype=object)
 
 
 def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
-           stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
-    """METEOR per pair (J-4), as one token stream keyed by the pair.
-
-    Both texts become one exploded stream of (side, pos, form), led by one
-    sentinel row per pair that carries the two token counts (so pairs with
-    no match, or no tokens, stay in the stream and the pair table is read
-    once). Within a stage every token gets its occurrence rank from the end
-    per (pair, side, form); grouping by (pair, form, rank) then pairs the
-    k-th last hypothesis token with the k-th last reference token (a group
-    holding both sides is a match) -- an aggregation, not a join. Groups
-    with one side are the stage's leftovers; the stem and synonym stages
-    (input tables) map their forms and repeat the rule. Chunks: matches
-    ordered by hypothesis position, a new chunk starts unless both
-    positions advance by one.
-    """
-    base = df.select(*key, meteor_tokens(F.col(hyp)).alias("_ht"), meteor_tokens(F.col(ref)).alias("_rt"))
-    null_i = F.lit(None).cast("int")
-    sentinel = F.array(F.struct(F.lit("x").alias("side"), F.lit(-1).alias("pos"),
-                                F.lit(None).cast("string").alias("form"),
-                                F.size("_ht").alias("hl"), F.size("_rt").alias("rl")))
-    sides = F.concat(
-        sentinel,
-        F.transform("_ht", lambda t, i: F.struct(F.lit("h").alias("side"), i.alias("pos"), t.alias("form"),
-                                                 null_i.alias("hl"), null_i.alias("rl"))),
-        F.transform("_rt", lambda t, i: F.struct(F.lit("r").alias("side"), i.alias("pos"), t.alias("form"),
-                                                 null_i.alias("hl"), null_i.alias("rl"))))
-    toks = base.select(*key, F.explode(sides).alias("t")).select(*key, "t.*")
-
-    def stage(t):
-        w = Window.partitionBy(*key, "side", "form").orderBy(F.desc("pos"))
-        return (t.withColumn("k", F.row_number().over(w))
-                 .groupBy(*key, "form", "k")
-                 .agg(F.max(F.when(F.col("side") == "h", F.col("pos"))).alias("hpos"),
-                      F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("rpos"),
-                      F.max("hl").alias("hl"), F.max("rl").alias("rl")))
-
-    def leftovers(g):
-        one = (F.col("hpos").isNull() != F.col("rpos").isNull())
-        return g.where(one).select(*key, F.when(F.col("hpos").isNotNull(), "h").otherwise("r").alias("side"),
-                                   F.coalesce("hpos", "rpos").alias("pos"), "form",
-                                   null_i.alias("hl"), null_i.alias("rl"))
-
-    matched = F.col("hpos").isNotNull() & F.col("rpos").isNotNull()
-    g = stage(toks)
-    rows = g.where(matched | F.col("hl").isNotNull()).select(*key, "hpos", "rpos", "hl", "rl")
-    left = leftovers(g)
-    for table, src, dst in ((stems, "word", "stem"), (synonyms, "word", "synonym")):
-        if table is None:
-            continue
-        mp = table.select(F.col(src).alias("form"), F.col(dst).alias("_to"))
-        mapped = left.join(mp, "form", "left").withColumn("form", F.coalesce("_to", "form")).drop("_to")
-        g2 = stage(mapped)
-        rows = rows.unionByName(g2.where(matched).select(*key, "hpos", "rpos", "hl", "rl"))
-        left = leftovers(g2)
-
-    wm = Window.partitionBy(*key).orderBy(F.col("hpos").asc_nulls_first())
-    new_chunk = F.when((F.lag("hpos").over(wm) == F.col("hpos") - 1) & (F.lag("rpos").over(wm) == F.col("rpos") - 1),
-                       F.lit(0)).otherwise(F.lit(1))
-    brk = rows.select(*key, "hpos", "hl", "rl", new_chunk.alias("new_chunk"))
-    agg = brk.groupBy(*key).agg(
-        F.count("hpos").alias("m"), F.sum(F.when(F.col("hpos").isNotNull(), F.col("new_chunk"))).alias("chunks"),
-        F.max("hl").alias("hyp_len"), F.max("rl").alias("ref_len"))
-    m = F.col("m").cast("double")
-    p = m / F.col("hyp_len")
-    rc = m / F.col("ref_len")
+           stems: DataFrame | Callable[[Column], Column] | None = None,
+           synonyms: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
+    """METEOR per pair (J-4): columns ``key`` and ``meteor``.
+
+    Both token lists of a pair are in its row; one Arrow UDF pairs them
+    stage by stage (exact, stems, synonyms of stems) and counts matches and
+    chunks, so nothing is shuffled unless a stage is given as a table.
+    NULL where a text is NULL or has no tokens."""
+    base = df.select(*key, meteor_tokens(F.col(hyp)).alias("_h0"), meteor_tokens(F.col(ref)).alias("_r0"))
+    at = 0
+    for table, dst in ((stems, "stem"), (synonyms, "synonym")):
+        if table is not None:
+            base = _mapped(base, key, table, "word", dst, {f"_h{at}": f"_h{at + 1}", f"_r{at}": f"_r{at + 1}"})
+            at += 1
+    w = base.select(*key, F.size("_h0").alias("_hl"), F.size("_r0").alias("_rl"),
+                    _meteor_counts(*[F.col(f"_{side}{k}") for k in range(at + 1) for side in "hr"]).alias("_mc"))
+    m = F.col("_mc")[0].cast("double")
+    p, rc = m / F.col("_hl"), m / F.col("_rl")
     a = F.lit(METEOR_ALPHA)
     fmean = (p * rc) / (a * p + (F.lit(1.0) - a) * rc)
-    pen = F.lit(METEOR_GAMMA) * F.pow(F.col("chunks") / m, F.lit(METEOR_BETA))
-    score = F.when((m == 0) | (F.col("hyp_len") == 0) | (F.col("ref_len") == 0), F.lit(0.0)) \
-             .otherwise((F.lit(1.0) - pen) * fmean)
-    return agg.select(*key, score.alias("meteor"))
+    pen = F.lit(METEOR_GAMMA) * F.pow(F.col("_mc")[1] / m, F.lit(METEOR_BETA))
+    score = F.when(m == 0, F.lit(0.0)).otherwise((F.lit(1.0) - pen) * fmean)
+    return w.select(*key, F.when((F.col("_hl") > 0) & (F.col("_rl") > 0), score).alias("meteor"))
 
 
 # -- BERTScore -----------------------------------------------------------------
@@ -326,13 +342,17 @@ def bert_score(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def score_summaries(pairs: DataFrame, key: list[str], hyp: str = "generated_summary",
                     ref: str = "actual_summary", token_vectors: DataFrame | None = None,
-                    stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+                    stems: DataFrame | Callable[[Column], Column] | None = None,
+                    synonyms: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
     """J-6: every score of every (dialogue, model) pair in one table:
-    rouge_1, rouge_2, rouge_l (row-local), meteor (keyed by the pair), and
+    rouge_1, rouge_2, rouge_l, meteor (all row-local), and
     bert_precision / bert_recall / bert_f1 when ``token_vectors`` (pair_id =
     the pair's key, side, token_no, vector) are given, else NULL."""
     scored = rouge_l(rouge_n(pairs, hyp, ref), hyp, ref)
-    out = scored.join(meteor(pairs, key, hyp, ref, stems=stems, synonyms=synonyms), key, "left")
+    if isinstance(stems, DataFrame) or isinstance(synonyms, DataFrame):
+        out = scored.join(meteor(pairs, key, hyp, ref, stems=stems, synonyms=synonyms), key, "left")
+    else:
+        out = meteor(scored, scored.columns, hyp, ref, stems=stems, synonyms=synonyms)
     if token_vectors is not None:
         b = bert_score(token_vectors)
         if len(key) == 1:

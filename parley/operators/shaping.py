@@ -38,6 +38,20 @@ def flatten_struct(df: DataFrame, col: str) -> DataFrame:
     return df.select(*rest, f"{col}.*")
 
 
+#: Copies of a table with few rows per group, so that a group's rows are dealt over tasks.
+SALTS = 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` joined to a table with few rows per group (statistics, a
+    registry). The group table is repeated per salt and rows take theirs
+    from the columns ``by``: a group with a third of all rows is dealt over
+    ``SALTS`` tasks instead of one."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def ordinal(df: DataFrame, order: str, parts: tuple[str, ...] = (), width: int = 4096,
             name: str = "position") -> DataFrame:
     """1-based position of each row within ``parts`` by the unique integer

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalise_text, space_words
+from parley.operators.shaping import join_groups
 from parley.session import cut_lineage
 from parley.schemas import IQR_FACTOR, KDE_CUT, KDE_POINTS, READERS, READING_WPM
 
@@ -17,8 +18,7 @@ from parley.schemas import IQR_FACTOR, KDE_CUT, KDE_POINTS, READERS, READING_WPM
 
 def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: int,
                    levels: int) -> DataFrame:
-    """Value of 0-based rank ``_r`` per group: (keys, _r, _v), for groups
-    with very many distinct values.
+    """Value of 0-based rank ``_r`` per group: (keys, _r, _v).
 
     ``vc`` holds distinct values with counts (keys, v, c). Each level cuts
     the candidate values of a (group, rank) into ``buckets`` ranges from
@@ -28,11 +28,11 @@ def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: in
     among about distinct / buckets**levels candidates.
     """
     gk = list(keys) + ["_r"]
-    cand = vc.join(ranks, keys).withColumn("_rel", F.col("_r"))
+    cand = join_groups(vc, ranks, keys, ["v"]).withColumn("_rel", F.col("_r"))
     fr = [i / buckets for i in range(1, buckets)]
     for _ in range(levels):
         bounds = cand.groupBy(*gk).agg(F.percentile_approx("v", fr, 10000).alias("_bnd"))
-        cb = cand.join(bounds, gk).withColumn(
+        cb = join_groups(cand, bounds, gk, ["v"]).withColumn(
             "_b", F.size(F.filter(F.col("_bnd"), lambda x: x < F.col("v")))).drop("_bnd")
         bstat = cb.groupBy(*gk, "_b").agg(F.sum("c").alias("_bc"), F.first("_rel").alias("_rel"))
         w = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,63 +58,53 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    max_distinct: int = 1_000_000, buckets: int = 256, levels: int = 2,
-                    counts: DataFrame | None = None) -> DataFrame:
+                    buckets: int = 256, levels: int = 1, counts: DataFrame | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order
     statistics (numpy 'linear', Spark ``percentile``, DuckDB
     ``quantile_cont``): one row per group, one column per name in
     ``probs``. NULL and NaN values are ignored.
 
     Values are first reduced to (group, value, count) (``value_counts``;
-    pass ``counts`` to reuse one). Groups with at most ``max_distinct``
-    distinct values use the exact ``percentile`` aggregate weighted by the
-    counts (its buffer holds one entry per distinct value). Larger groups
-    take the bucketed path of ``_value_at_rank``, so a hot group never has
-    to fit in one task.
+    pass ``counts`` to reuse one); ``_value_at_rank`` then finds the order
+    statistics, at every size alike: a task holds at most about one
+    ``buckets ** levels``-th of a group's distinct values.
     """
     vc = counts if counts is not None else value_counts(df, keys, value)
-    per = vc.groupBy(*keys).agg(F.count("*").alias("_nd"), F.sum("c").alias("_n"))
-    names = list(probs)
-    plist = [float(probs[k]) for k in names]
-
-    small = vc.join(per.where(F.col("_nd") <= max_distinct).select(*keys), keys, "left_semi")
-    qs = small.groupBy(*keys).agg(F.percentile(F.col("v"), plist, F.col("c")).alias("_q"))
-    out_small = qs.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    if per.where(F.col("_nd") > max_distinct).limit(1).count() == 0:
-        return out_small
-
-    big_groups = per.where(F.col("_nd") > max_distinct)
-    parr = F.array(*[F.lit(p) for p in plist])
-    t = big_groups.select(*keys, "_n", F.posexplode(parr).alias("_pi", "_p"))
+    per = vc.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    parr = F.array(*[F.lit(float(p)) for p in probs.values()])
+    t = per.select(*keys, "_n", F.posexplode(parr).alias("_pi", "_p"))
     pos = F.col("_p") * (F.col("_n") - 1)
     t = t.select(*keys, "_pi", F.floor(pos).cast("long").alias("_lo"),
                  F.ceil(pos).cast("long").alias("_hi"), (pos - F.floor(pos)).alias("_frac"))
     ranks = t.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = _value_at_rank(vc.join(big_groups.select(*keys), keys, "left_semi"), keys, ranks, buckets, levels)
+    vals = _value_at_rank(vc, keys, ranks, buckets, levels)
     lo = vals.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = vals.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
     q = (t.join(lo, keys + ["_lo"]).join(hi, keys + ["_hi"])
           .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    out_big = q.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
-                                     for i, nm in enumerate(names)])
-    return out_small.unionByName(out_big)
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
+                                  for i, name in enumerate(probs)])
 
 
-def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """E-7: count, mean, std (n-1), min, 25/50/75 %, max per group, all
-    from one (group, value, count) table: the input is read once.
+def moments(vc: DataFrame, keys: list[str]) -> DataFrame:
+    """count, mean, std (n-1), min, max per group of a (keys, v, c) table;
     std = sqrt(sum c (v - mean)^2 / (n - 1)) with the mean joined back."""
-    vc = value_counts(df, keys, value)
     m = vc.groupBy(*keys).agg(F.sum("c").alias("count"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
                               F.min("v").alias("min"), F.max("v").alias("max"))
-    dev = vc.join(m.select(*keys, "mean", "count"), keys).groupBy(*keys).agg(
-        F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("_m2"),
-        F.first("count").alias("_n"))
-    std = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
-    base = m.join(dev.select(*keys, std.alias("std")), keys)
+    d = F.col("v") - F.col("mean")
+    dev = (join_groups(vc, m.select(*keys, "mean"), keys, ["v"])
+           .groupBy(*keys).agg(F.sum(F.col("c") * d * d).alias("_m2")))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_m2") / (F.col("count") - 1)))
+    return m.join(dev, keys).select(*keys, "count", "mean", std.alias("std"), "min", "max")
+
+
+def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """E-7: count, mean, std (n-1), min, 25/50/75 %, max per group, all
+    from one (group, value, count) table: the input is read once."""
+    vc = value_counts(df, keys, value)
     q = group_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, counts=vc)
-    return base.join(q, keys, "left").select(*keys, F.col("count").cast("long").alias("count"), "mean", "std",
-                                             "min", "q25", "q50", "q75", "max")
+    return moments(vc, keys).join(q, keys, "left").select(
+        *keys, F.col("count").cast("long").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def long_scores(df: DataFrame, keys: list[str], metrics: list[str],
@@ -130,9 +120,9 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """F-1: numpy 'auto' bins per group (width = min of Sturges and
     Freedman-Diaconis, Sturges when the IQR is 0), counts per bin with the
     last edge inclusive, empty bins kept. (keys, bin, lo, hi, n)."""
-    v = df.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
-    st = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    q = group_quantiles(v, keys, "x", {"q25": 0.25, "q75": 0.75})
+    vc = value_counts(df, keys, value)
+    st = vc.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    q = group_quantiles(df, keys, value, {"q25": 0.25, "q75": 0.75}, counts=vc)
     st = st.join(q, keys)
     n, mn, mx = F.col("n"), F.col("mn"), F.col("mx")
     ptp = mx - mn
@@ -143,7 +133,7 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     lo = F.when(ptp == 0, mn - 0.5).otherwise(mn)
     hi = F.when(ptp == 0, mx + 0.5).otherwise(mx)
     edges = st.select(*keys, nb.alias("nb"), lo.alias("lo"), hi.alias("hi"))
-    j = v.join(edges, keys)
+    j = join_groups(vc, edges, keys, ["v"]).withColumnRenamed("v", "x")
     edge = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / F.col("nb"))
     b0 = F.least(F.floor((F.col("x") - F.col("lo")) * (F.col("nb") / (F.col("hi") - F.col("lo")))),
                  F.col("nb") - 1)
@@ -151,7 +141,7 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     j = j.withColumn("b", F.when(F.col("x") < edge(F.col("b")), F.col("b") - 1).otherwise(F.col("b")))
     j = j.withColumn("b", F.when((F.col("x") >= edge(F.col("b") + 1)) & (F.col("b") != F.col("nb") - 1),
                                  F.col("b") + 1).otherwise(F.col("b")))
-    counts = j.groupBy(*keys, "b").agg(F.count("*").alias("cnt"))
+    counts = j.groupBy(*keys, "b").agg(F.sum("c").alias("cnt"))
     grid = edges.select(*keys, "nb", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
     out = grid.join(counts, keys + ["b"], "left")
     return out.select(*keys, F.col("b").cast("long").alias("bin"), edge(F.col("b")).alias("lo"),
@@ -170,16 +160,15 @@ def kde(df: DataFrame, keys: list[str], value: str, points: int = KDE_POINTS,
     sums are partial aggregates (map side), so the shuffle carries at most
     groups x points rows per task. Groups with n < 2 or sd = 0 give no rows.
     """
-    v = df.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
-    vc = v.groupBy(*keys, "x").agg(F.count("*").alias("w"))
-    st = v.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"),
-                              F.min("x").alias("mn"), F.max("x").alias("mx"))
+    vc = value_counts(df, keys, value)
+    st = moments(vc, keys).select(*keys, F.col("count").alias("n"), F.col("std").alias("sd"),
+                                  F.col("min").alias("mn"), F.col("max").alias("mx"))
     st = st.where((F.col("n") >= 2) & (F.col("sd") > 0))
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     st = st.select(*keys, "n", h.alias("h"), (F.col("mn") - F.lit(cut) * h).alias("g0"),
                    (F.col("mx") + F.lit(cut) * h).alias("g1"))
     step = (F.col("g1") - F.col("g0")) / F.lit(points - 1)
-    j = vc.join(st, keys).select(*keys, "x", "w", "n", "h", "g0", step.alias("step"),
+    j = join_groups(vc, st, keys, ["v"]).select(*keys, F.col("v").alias("x"), F.col("c").alias("w"), "n", "h", "g0", step.alias("step"),
                                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     gx = F.col("g0") + F.col("i") * F.col("step")
     z = (gx - F.col("x")) / F.col("h")
@@ -195,8 +184,9 @@ def kde(df: DataFrame, keys: list[str], value: str, points: int = KDE_POINTS,
 
 # -- box statistics / outliers ---------------------------------------------------
 
-def fences(df: DataFrame, keys: list[str], value: str, factor: float = IQR_FACTOR) -> DataFrame:
-    q = group_quantiles(df, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+def fences(df: DataFrame, keys: list[str], value: str, factor: float = IQR_FACTOR,
+           counts: DataFrame | None = None) -> DataFrame:
+    q = group_quantiles(df, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, counts=counts)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*keys, "q1", "q2", "q3", (F.col("q1") - F.lit(factor) * iqr).alias("lo_fence"),
                     (F.col("q3") + F.lit(factor) * iqr).alias("hi_fence"))
@@ -204,14 +194,15 @@ def fences(df: DataFrame, keys: list[str], value: str, factor: float = IQR_FACTO
 
 def box_stats(df: DataFrame, keys: list[str], value: str, factor: float = IQR_FACTOR) -> DataFrame:
     """F-3: quartiles, whisker ends (most extreme observation inside the
-    fences) and the number of fliers, per group."""
-    f = fences(df, keys, value, factor)
-    x = F.col(value)
-    j = df.select(*keys, x.cast("double").alias(value)).where(x.isNotNull()).join(f, keys)
+    fences) and the number of fliers, per group, from one table of value
+    counts."""
+    vc = value_counts(df, keys, value)
+    f = fences(df, keys, value, factor, counts=vc)
+    x = F.col("v")
     inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    agg = j.groupBy(*keys).agg(F.min(F.when(inside, x)).alias("whisker_lo"),
-                               F.max(F.when(inside, x)).alias("whisker_hi"),
-                               F.count_if(~inside).cast("long").alias("n_fliers"))
+    agg = join_groups(vc, f, keys, ["v"]).groupBy(*keys).agg(
+        F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("c"))).cast("long").alias("n_fliers"))
     return f.join(agg, keys).select(*keys, "q1", "q2", "q3", "whisker_lo", "whisker_hi", "n_fliers")
 
 
@@ -219,7 +210,7 @@ def remove_outliers(df: DataFrame, keys: list[str], value: str, factor: float =
     """C-6: keep rows with q1 - 1.5 IQR <= x <= q3 + 1.5 IQR of their group.
     The fence table has one row per group and is joined back."""
     f = fences(df, keys, value, factor).select(*keys, "lo_fence", "hi_fence")
-    j = df.join(f, keys)
+    j = join_groups(df, f, keys, df.columns)
     return j.where((F.col(value) >= F.col("lo_fence")) & (F.col(value) <= F.col("hi_fence"))) \
             .drop("lo_fence", "hi_fence")
 

@@ -47,18 +47,13 @@ def sentiment_v1(x: str) -> str:
             f"ELSE 'positive' END) WHEN {word} <> '' THEN {word} ELSE 'neutral' END")
 
 
-def lcs(h: str, r: str) -> str:
-    return (f"list_reduce({h}, lambda prev, x: list_reduce(range(1, len({r}) + 1), "
-            f"lambda row, j: list_append(row, CASE WHEN x = {r}[j] THEN prev[j] + 1 "
-            f"ELSE greatest(prev[j + 1], row[j]) END), [0]), "
-            f"list_transform(range(0, len({r}) + 1), lambda q: 0))[-1]")
-
-
 def ngrams(w: str, n: int) -> str:
     if n == 1:
         return w
-    parts = " || ' ' || ".join(f"{w}[i + {k}]" for k in range(n))
-    return f"list_transform(range(1, len({w}) - {n - 2}), lambda i: {parts})"
+    pairs = f"list_zip({w}[:-2], {w}[2:])"
+    if n != 2:
+        raise ValueError("orders 1 and 2 only")
+    return f"CASE WHEN len({w}) < 2 THEN []::VARCHAR[] ELSE list_transform({pairs}, lambda g: g[1] || ' ' || g[2]) END"
 
 
 def f_score(p: str, r: str) -> str:
@@ -84,7 +79,7 @@ _view("dialogues", (), f"""
 SELECT d.doc_id AS dialogue_id,
        CASE d.doc_id % 10 WHEN 8 THEN 'test' WHEN 9 THEN 'valid' ELSE 'training' END AS dataset,
        d.source AS topic, d.text AS dialogue_text,
-       array_to_string({words('d.text')}[1:30], ' ') AS actual_summary,
+       array_to_string({words('d.text')}, ' ') AS actual_summary,
        CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive'
             WHEN l.quality = 0 THEN 'neutral' END AS actual_sentiment,
        d.n_chars, d.lang
@@ -117,12 +112,16 @@ SELECT dialogue_id, model_id,
 FROM raw_outputs""")
 
 _view("summary_pairs", ("dialogues", "models"), f"""
-SELECT d.dialogue_id, m.model_id, d.actual_summary,
-       array_to_string({words('d.dialogue_text')}[1 + 3 * m.model_no : 30 + 3 * m.model_no], ' ')
-         AS generated_summary,
-       {cost_memory('d.n_chars', 'm.model_no', 'd.dialogue_id')} AS memory_summary_usage,
-       {cost_time('d.n_chars', 'm.model_no')} AS time_summary_taken
-FROM dialogues d CROSS JOIN models m""")
+SELECT dialogue_id, model_id, actual_summary,
+       CASE (dialogue_id + model_no) % 41 WHEN 0 THEN NULL WHEN 1 THEN ''
+         ELSE array_to_string(w[cut + 1 :] || w[: cut], ' ') END AS generated_summary,
+       {cost_memory('n_chars', 'model_no', 'dialogue_id')} AS memory_summary_usage,
+       {cost_time('n_chars', 'model_no')} AS time_summary_taken
+FROM (SELECT *, CAST(floor(len(w) * model_no / 10) AS BIGINT) AS cut
+      FROM (SELECT d.dialogue_id, d.n_chars, d.actual_summary, m.model_id, m.model_no,
+                   [CASE WHEN (i - 1 + d.dialogue_id) % (m.model_no + 3) = 1 THEN x || 's' ELSE x END
+                    FOR x, i IN d.w IF (i - 1 + d.dialogue_id) % (m.model_no + 3) <> 0] AS w
+            FROM (SELECT *, {words('dialogue_text')} AS w FROM dialogues) d CROSS JOIN models m))""")
 
 _view("summary_words", ("summary_pairs",), f"""
 SELECT *, {rouge_words('generated_summary')} AS hw, {rouge_words('actual_summary')} AS rw
@@ -130,22 +129,60 @@ FROM summary_pairs""")
 
 
 def _rouge_n_sql(n: int) -> str:
-    h = f"list_distinct({ngrams('hw', n)})"
-    r = f"list_distinct({ngrams('rw', n)})"
-    ov = f"len(list_intersect({h}, {r}))"
     return (f"CASE WHEN generated_summary IS NULL OR actual_summary IS NULL OR len(hw) = 0 OR len(rw) = 0 "
-            f"THEN NULL ELSE {f_score(ratio(ov, f'len({h})'), ratio(ov, f'len({r})'))} END")
+            f"THEN NULL ELSE {f_score(ratio(f'o{n}', f'h{n}'), ratio(f'o{n}', f'r{n}'))} END")
+
 
+# LCS in words of LIMB bits: for each token of the generated text, a mask of
+# its places in the reference; v + (v & mask) carries over the limbs.
+LIMB = 120
 
-_view("summaries", ("summary_words",), f"""
-SELECT dialogue_id, model_id, actual_summary, generated_summary,
-       memory_summary_usage, time_summary_taken,
-       {_rouge_n_sql(1)} AS rouge_1,
-       {_rouge_n_sql(2)} AS rouge_2,
+_view("ref_masks", ("summary_words",), f"""
+SELECT n.dialogue_id, n.w, list(coalesce(b.mask, 0::HUGEINT) ORDER BY n.limb) AS mask
+FROM (SELECT dialogue_id, w, unnest(range(0, (any_value(n) + {LIMB - 1}) // {LIMB})) AS limb
+      FROM (SELECT dialogue_id, len(rw) AS n, unnest(rw) AS w FROM summary_words WHERE model_id = '{MODEL_IDS[0]}')
+      GROUP BY dialogue_id, w) n
+LEFT JOIN (SELECT dialogue_id, w, p // {LIMB} AS limb, bit_or(1::HUGEINT << CAST(p % {LIMB} AS INTEGER)) AS mask
+           FROM (SELECT dialogue_id, unnest(rw) AS w, unnest(range(0, len(rw))) AS p FROM summary_words
+                 WHERE model_id = '{MODEL_IDS[0]}')
+           GROUP BY ALL) b
+ON n.dialogue_id = b.dialogue_id AND n.w = b.w AND n.limb = b.limb
+GROUP BY n.dialogue_id, n.w""")
+
+_SUM = "(v[j] + (v[j] & m[j]) + s.c)"
+_FULL = f"((1::HUGEINT << {LIMB}) - 1)"
+
+_view("lcs_lengths", ("summary_words", "ref_masks"), f"""
+SELECT dialogue_id, model_id,
+       n - CAST(list_sum(list_transform(range(1, len(v) + 1), lambda j:
+           bit_count(v[j] & CASE WHEN j * {LIMB} <= n THEN {_FULL}
+                                 ELSE (1::HUGEINT << CAST(n - (j - 1) * {LIMB} AS INTEGER)) - 1 END))) AS BIGINT) AS lcs
+FROM (SELECT dialogue_id, model_id, n, list_reduce(ms, lambda v, m:
+        list_reduce(range(1, len(m) + 1), lambda s, j:
+          {{'c': {_SUM} >> {LIMB}, 'o': list_append(s.o, ({_SUM} & {_FULL}) | (v[j] - (v[j] & m[j])))}},
+          {{'c': 0::HUGEINT, 'o': []::HUGEINT[]}}).o,
+        list_transform(range(0, (n + {LIMB - 1}) // {LIMB}), lambda q: {_FULL})) AS v
+      FROM (SELECT h.dialogue_id, h.model_id, any_value(h.n) AS n, list(k.mask ORDER BY h.p) AS ms
+            FROM (SELECT dialogue_id, model_id, len(rw) AS n, unnest(hw) AS w, unnest(range(0, len(hw))) AS p
+                  FROM summary_words) h
+            JOIN ref_masks k ON h.dialogue_id = k.dialogue_id AND h.w = k.w
+            GROUP BY h.dialogue_id, h.model_id))""")
+
+_view("rouge_n", ("summary_words",), f"""
+SELECT *, {_rouge_n_sql(1)} AS rouge_1, {_rouge_n_sql(2)} AS rouge_2
+FROM (SELECT *, len(g1) AS h1, len(q1) AS r1, len(g1) + len(q1) - len(list_distinct(g1 || q1)) AS o1,
+             len(g2) AS h2, len(q2) AS r2, len(g2) + len(q2) - len(list_distinct(g2 || q2)) AS o2
+      FROM (SELECT *, list_distinct(hw) AS g1, list_distinct(rw) AS q1,
+                   list_distinct({ngrams('hw', 2)}) AS g2, list_distinct({ngrams('rw', 2)}) AS q2
+            FROM summary_words))""")
+
+_view("summaries", ("rouge_n", "lcs_lengths"), f"""
+SELECT s.dialogue_id, s.model_id, actual_summary, generated_summary,
+       memory_summary_usage, time_summary_taken, rouge_1, rouge_2,
        CASE WHEN generated_summary IS NULL OR actual_summary IS NULL OR len(hw) = 0 OR len(rw) = 0
-            THEN NULL ELSE {f_score(ratio(lcs('hw', 'rw'), 'len(hw)'), ratio(lcs('hw', 'rw'), 'len(rw)'))}
+            THEN NULL ELSE {f_score(ratio('coalesce(l.lcs, 0)', 'len(hw)'), ratio('coalesce(l.lcs, 0)', 'len(rw)'))}
        END AS rouge_l
-FROM summary_words""")
+FROM rouge_n s LEFT JOIN lcs_lengths l ON s.dialogue_id = l.dialogue_id AND s.model_id = l.model_id""")
 
 
 def chunk_list(text: str, limit: int = 1024) -> str:

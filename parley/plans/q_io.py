@@ -10,7 +10,7 @@ from parley.operators import chunking as CH
 from parley.operators import classification as C
 from parley.operators.quality import check_constraints
 from parley.functions.parse import extract_sentiment
-from parley.functions.text import first_words
+from parley.functions.text import words
 from parley.plans.oracle_views import with_views
 from parley.plans.registry import query
 from parley.schemas import MODEL_IDS, SENTIMENTS
@@ -153,7 +153,7 @@ WITH d AS (SELECT dialogue_id, dataset, dialogue_text, actual_summary, actual_se
            UNION ALL
            SELECT dialogue_id, 'training', dialogue_text,
                   array_to_string(list_filter(regexp_split_to_array(dialogue_text, '[ \\t\\n\\r\\f]+'),
-                                              lambda w: w <> '')[1:30], ' '), NULL FROM dialogues_conv),
+                                              lambda w: w <> ''), ' '), NULL FROM dialogues_conv),
 s AS (SELECT dialogue_id, model_id,
              trim(string_split(replace(raw_output, chr(10) || chr(10), '$#$#$#'), '$#$#$#')[-1],
                   ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS generated_sentiment FROM raw_outputs),
@@ -180,7 +180,7 @@ def q_constraints(spark, sf):
     d = X.dialogues(spark, sf).select("dialogue_id", "dataset", "dialogue_text", "actual_summary", "actual_sentiment")
     conv = X.dialogues_conv(spark, sf).select(
         "dialogue_id", F.lit("training").alias("dataset"), "dialogue_text",
-        first_words("dialogue_text", 30).alias("actual_summary"), F.lit(None).cast("string").alias("actual_sentiment"))
+        F.array_join(words("dialogue_text"), " ").alias("actual_summary"), F.lit(None).cast("string").alias("actual_sentiment"))
     raw = X.raw_outputs(spark, sf).select(
         *KEY, F.replace(F.col("raw_output"), F.lit("\n\n"), F.lit("$#$#$#")).alias("raw_output"))
     s = raw.select(*KEY, extract_sentiment("raw_output", "v3").alias("generated_sentiment"))

@@ -86,8 +86,7 @@ def q_load_layout(spark, sf):
     """The 12-column load layout of scored summaries (BERTScore columns
     stay NULL without token embeddings of the summaries)."""
     s = X.summaries(spark, sf)
-    m = S.meteor(X.summary_pairs(spark, sf), KEY, "generated_summary", "actual_summary")
-    j = SH.add_constant(s.join(m, KEY), bert_precision=(None, "double"), bert_recall=(None, "double"),
+    j = SH.add_constant(S.meteor(s, s.columns, "generated_summary", "actual_summary"), bert_precision=(None, "double"), bert_recall=(None, "double"),
                         bert_f1=(None, "double"))
     return j.select(*[r6(c).alias(c) if c in ("rouge_1", "rouge_2", "rouge_l", "meteor", "memory_summary_usage",
                                               "time_summary_taken") else F.col(c) for c in _LOAD_LAYOUT])

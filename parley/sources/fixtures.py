@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.chunk import chunk_array
 from parley.functions.parse import extract_sentiment
-from parley.functions.text import first_words, words
+from parley.functions.text import words
 from parley.schemas import MODEL_IDS
 from parley.session import read_table, spread
 
@@ -60,7 +60,7 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
         split_of(F.col("doc_id")).alias("dataset"),
         F.col("source").alias("topic"),
         F.col("text").alias("dialogue_text"),
-        first_words("text", 30).alias("actual_summary"),
+        F.array_join(words("text"), " ").alias("actual_summary"),
         label_of(F.col("toxic"), F.col("quality")).alias("actual_sentiment"),
         F.col("n_chars"),
         F.col("lang"),
@@ -130,21 +130,28 @@ def sentiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dialogue_id, model_id, actual_summary, generated_summary, cost):
-    model k's summary is words 1+3k .. 30+3k of the dialogue. The text is
-    split into words once per dialogue; the seven slices are built before
-    the rows are replicated per model."""
-    d = dialogues(spark, sf_dir).select("dialogue_id", "actual_summary", "n_chars",
-                                        words("dialogue_text").alias("_w"))
-    per = F.transform(registry_array(), lambda m: F.struct(
-        m["model_no"].alias("model_no"), m["model_id"].alias("model_id"),
-        F.array_join(F.slice(F.col("_w"), F.lit(1) + F.lit(3) * m["model_no"], F.lit(30)), " ")
-        .alias("generated_summary")))
-    x = d.select("dialogue_id", "actual_summary", "n_chars", F.explode(per).alias("_m")) \
-         .select("dialogue_id", "actual_summary", "n_chars", "_m.*")
+    """(dialogue_id, model_id, actual_summary, generated_summary, cost).
+
+    Model k's summary is the whole dialogue with changes over its full
+    length: one word in k+3 is left out, one gets an ``s``, and the first
+    k/10 of what remains moves to the end. One summary in 41 is NULL, one
+    empty."""
+    d = dialogues(spark, sf_dir).select("dialogue_id", "actual_summary", "n_chars", words("dialogue_text").alias("_w"))
+    x = per_model(d)
     n, mno, did = F.col("n_chars"), F.col("model_no"), F.col("dialogue_id")
+
+    def changed(w: Column, i: Column) -> Column:
+        turn = (i + did) % (mno + 3)
+        return F.when(turn == 0, F.lit(None).cast("string")).when(turn == 1, F.concat(w, F.lit("s"))).otherwise(w)
+
+    x = x.withColumn("_w", F.filter(F.transform("_w", changed), lambda w: w.isNotNull()))
+    x = x.withColumn("_cut", F.floor(F.size("_w") * mno / 10).cast("int"))
+    moved = F.concat(F.slice("_w", F.col("_cut") + 1, F.size("_w")), F.slice("_w", F.lit(1), F.col("_cut")))
+    missing = (did + mno) % 41
     return x.select(
-        "dialogue_id", "model_id", "actual_summary", "generated_summary",
+        "dialogue_id", "model_id", "actual_summary",
+        F.when(missing == 0, F.lit(None).cast("string")).when(missing == 1, F.lit(""))
+        .otherwise(F.array_join(moved, " ")).alias("generated_summary"),
         _cost_memory(n, mno, did).alias("memory_summary_usage"),
         _cost_time(n, mno).alias("time_summary_taken"),
     )

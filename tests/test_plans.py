@@ -9,7 +9,7 @@ WRITES = {"a1_read_dialogue_csv", "a5_scan_table", "a6_read_results_csv", "a7_ap
           "k1_annotate_stream"}
 # must be fully JVM-side (no Python evaluation nodes)
 NATIVE = ["e11_sentiment_metrics", "e12_confusion_matrix", "e13_class_metrics", "i7_extract_sentiment",
-          "i2_split_dialogue", "j1_rouge_n", "j3_rouge_clipped", "j4_meteor", "e5_duplicate_dialogues",
+          "i2_split_dialogue", "j1_rouge_n", "e5_duplicate_dialogues",
           "f2_kde", "f1_histogram", "d7_wide_by_position", "b14_ntile_parts", "e15_reassemble_chunks",
           "a13_check_constraints", "g8_pivot"]
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
@@ -41,6 +41,15 @@ def test_native_queries_have_no_python(spark, name):
     assert not [p for p in PYTHON_NODES if p in plan]
 
 
+@pytest.mark.parametrize("name", ["j1_rouge_n", "j2_rouge_l", "j3_rouge_clipped", "j3_rouge_stemmed", "j4_meteor",
+                                  "j4_meteor_stems", "j6_score_summaries"])
+def test_scores_stay_in_the_row(spark, name):
+    """Scoring itself shuffles nothing: no exchange above the pair table."""
+    plan = _plan(spark, name)
+    above = plan[:plan.rindex("Generate")]
+    assert "Exchange" not in above and "Join" not in above
+
+
 def test_flagship_prunes_columns(spark):
     plan = _plan(spark, "e11_sentiment_metrics")
     # the truth side reads only the key column of documents

@@ -96,6 +96,41 @@ def test_meteor_exact_stage(spark, pairs):
         assert out[i] == pytest.approx(meteor_rule(h, r), abs=1e-12)
 
 
+def test_missing_texts_give_null_scores(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "a", None), (3, "", "a"), (4, "a", " "), (5, "a", "a")],
+                               "dialogue_id long, generated_summary string, actual_summary string")
+    got = {r.dialogue_id: r for r in S.score_summaries(df, ["dialogue_id"]).collect()}
+    clipped = {r.dialogue_id: r.rouge1_clipped for r in
+               S.rouge_clipped(df, ["dialogue_id"], "generated_summary", "actual_summary").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert all(got[i].meteor is None and clipped[i] is None for i in (1, 2, 3, 4))
+    assert all(got[i].rouge_1 is None for i in (1, 2, 3))
+    assert got[5].meteor == pytest.approx(0.5) and clipped[5] == 1.0
+
+
+def test_meteor_synonym_stage_and_rules(spark):
+    key = ["dialogue_id", "model_id"]
+    df = spark.createDataFrame([(1, "m", "big dogs run", "large dog run"), (2, "m", None, "x")],
+                               "dialogue_id long, model_id string, h string, r string")
+    stems = spark.createDataFrame([("dogs", "dog")], "word string, stem string")
+    syn = spark.createDataFrame([("big", "large")], "word string, synonym string")
+    table = {r.dialogue_id: r.meteor for r in S.meteor(df, key, "h", "r", stems=stems, synonyms=syn).collect()}
+    rule = {r.dialogue_id: r.meteor for r in S.meteor(
+        df, key, "h", "r", stems=lambda t: F.regexp_replace(t, "s\\z", ""),
+        synonyms=lambda t: F.when(t == "big", "large").otherwise(t)).collect()}
+    want = (1 - 0.5 * (1 / 3) ** 3) * 1.0        # all three match, in one chunk
+    assert table[1] == pytest.approx(want) and rule[1] == pytest.approx(want)
+    assert table[2] is None and rule[2] is None
+
+
+def test_rouge_clipped_stems(spark):
+    df = spark.createDataFrame([(1, "cats sit", "cat sits")], "dialogue_id long, h string, r string")
+    stems = spark.createDataFrame([("cats", "cat"), ("sits", "sit")], "word string, stem string")
+    for s in (stems, lambda t: F.regexp_replace(t, "s\\z", "")):
+        r = S.rouge_clipped(df, ["dialogue_id"], "h", "r", (1, 2), stems=s).first()
+        assert (r.rouge1_clipped, r.rouge2_clipped) == (1.0, 1.0)
+
+
 def test_meteor_stem_stage(spark):
     df = spark.createDataFrame([(1, "m", "cats running", "cat runs")], "dialogue_id long, model_id string, h string, r string")
     stems = spark.createDataFrame([("cats", "cat"), ("cat", "cat"), ("running", "run"), ("runs", "run")],
