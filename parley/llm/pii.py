@@ -103,7 +103,8 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 _W = "(?:" + "|".join(DIGIT_WORDS) + ")"
 #: Four digit words or more in a row, perhaps with "plus" or "dot" between.
 _SPELLED = re.compile(rf"\b(?:plus[ ,-]+)?{_W}(?:[ ,-]+(?:(?:dot|point)[ ,-]+)?{_W}){{3,}}\b", re.I)
-_SPELLED_HINT = re.compile(rf"\b{_W}[ ,-]+{_W}\b", re.I)
+#: The first pair of whatever _SPELLED matches, "dot" between or not.
+_SPELLED_HINT = re.compile(rf"\b{_W}[ ,-]+(?:(?:dot|point)[ ,-]+)?{_W}\b", re.I)
 _ATOM = re.compile(rf"\b(plus|dot|point|{_W})\b", re.I)
 
 #: Endings that an address spelled in bare words must have.

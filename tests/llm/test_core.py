@@ -228,6 +228,12 @@ def test_disguises_map_back(text, span):
         assert not any(k == kind and a <= s and e <= b for k, a, b in base)
 
 
+@pytest.mark.parametrize("address", ["eight dot eight dot eight dot eight", "one point one dot one, dot zero"])
+def test_single_digit_parts_spelled_alone(address):
+    text = f"the server is {address} today"
+    assert pii.find(text) == ([], [("ip", 14, 14 + len(address))])
+
+
 def test_plain_prose_gains_nothing():
     assert pii.find("Look at the dot on the map at noon. One of two, three.") == ([], [])
     assert pii.find(None) == ([], []) and pii.find("") == ([], [])
