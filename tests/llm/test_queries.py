@@ -469,3 +469,27 @@ def test_rollup_is_idempotent(spark):
     assert collect(r.totals(drop_empty=True)) == [("a", "en", "t", 2, 11)]
     with pytest.raises(ValueError):
         r.commit("../x", one)
+
+
+def test_rollup_outlives_its_object(spark):
+    ddl = "source string, lang string, tokenizer string, op string, old_tokens long, new_tokens long"
+    row = lambda n: spark.createDataFrame([("a", "en", "t", "insert", None, n)], ddl)
+    path = fresh_path(spark, "r")
+    again = lambda: token_rollup.Rollup(spark, path)
+    totals = lambda: [tuple(x)[3:] for x in again().totals().collect()]
+    first = again()
+    first.commit("1", row(5))
+    assert totals() == [(1, 5)]
+    again().commit("2", row(7))
+    again().commit("1", row(6))                         # replaced by another run
+    assert totals() == [(2, 13)] and [tuple(x)[3:] for x in first.totals().collect()] == [(2, 13)]
+    again().compact()
+    again().commit("2", row(7))                         # replayed after folding
+    first.commit("1", row(6))
+    assert totals() == [(2, 13)]
+    again().commit("3", row(1))
+    assert totals() == [(3, 14)]
+    first.compact()
+    again().compact()
+    again().commit("1", row(6))
+    assert totals() == [(3, 14)]
