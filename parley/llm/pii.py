@@ -2,8 +2,9 @@
 
 Base spans come from four patterns on the text as it is. The method then
 runs transducers over the text: homoglyphs (full-width and look-alike
-letters and digits) become ASCII, spelled digits become digits, "at" and
-"dot" disguises become signs. Every normalised character carries the
+letters and digits) become ASCII, "at" and "dot" disguises become signs, spelled digits
+become digits, each by itself where its neighbours, disguised or not, make
+an address or a number. Every normalised character carries the
 source span it came from, so an identifier found in the normalised text
 maps back to exact source offsets. Added spans are those that lie in no
 base span of their kind; one may reach beyond a base span.
@@ -107,14 +108,37 @@ _SPELLED = re.compile(rf"\b(?:plus[ ,-]+)?{_W}(?:[ ,-]+(?:(?:dot|point)[ ,-]+)?{
 _SPELLED_HINT = re.compile(rf"\b{_W}[ ,-]+(?:(?:dot|point)[ ,-]+)?{_W}\b", re.I)
 _ATOM = re.compile(rf"\b(plus|dot|point|{_W})\b", re.I)
 
-#: Endings that an address spelled in bare words must have.
-ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|eu|uk|de|fr|es|it|nl|ch|at|be|pl|ru|br|jp|cn|in|ca|au"
-#: "name [at] host [dot] tld": bracketed signs anywhere; bare words only
-#: with an "at", a "dot" and a known ending between single words.
+#: Digit words and digits mixed, signs spelled or not; one word at least
+#: must be spelled.
+_PART = rf"(?:{_W}\b|[0-9]++)"
+_MIXED = re.compile(rf"(?:\bplus[ ,-]++|\+[ ]?)?\b{_PART}(?:(?:\.|[ ,()-]++(?:(?:dot|point)[ ,-]++)?){_PART})+\b", re.I)
+_MIXED_HINT = re.compile(rf"\b(?:plus|dot|point|{_W})\b", re.I)
+_MIXED_ATOM = re.compile(rf"(\b(?:plus|dot|point|{_W})\b)|[0-9]+|[+.]", re.I)
+
+#: Endings that an address with a bare "at" must have, and
+#: those a real "@" takes first: country codes and common others.
+ENDINGS = frozenset("""com org net edu gov mil int info biz name pro aero coop museum mobi travel jobs cat tel asia post arpa
+dev app xyz online site website shop store blog cloud tech email page agency digital network systems solutions
+ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bl bm bn bo bq br bs bt bw by bz
+ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr
+ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it
+je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mf mg mh mk ml mm mn mo mp mq
+mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs
+ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split())
+#: Endings that are words too: no ending after a word that no host is named.
+_WORDS_TOO = frozenset("am as by do is me my no so to us".split())
+_NO_HOST = frozenset("a an the this that these those each every my your his her its our their".split())
+#: "name [at] host [dot] tld": bracketed signs anywhere.
 _BRACKET = re.compile(r"[ \t]{0,3}(?:\[ ?(at|dot) ?\]|\( ?(at|dot) ?\)|\{ ?(at|dot) ?\}|<(at|dot)>)[ \t]{0,3}", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}([ ]at[ ])[A-Za-z0-9-]{1,63}"
-                   rf"((?:[ ]dot[ ][A-Za-z0-9-]{{1,63}})*[ ]dot[ ](?:{ENDINGS}))\b", re.I)
-_BARE_DOT = re.compile(r"[ ]dot[ ]", re.I)
+#: Bare words and real signs mixed, from each at sign forwards and backwards.
+_AT = re.compile(r"@|\s{1,3}at\s{1,3}", re.I)
+_DOT = r"\s{1,3}dot\s{1,3}"
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)+", re.I)
+_FIRST = re.compile(r"[A-Za-z0-9-]+")
+_LABEL = re.compile(rf"(\.|{_DOT})([A-Za-z0-9-]+)", re.I)
+_DOT_WORD = re.compile(_DOT, re.I)
+_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]++(?:\s{1,3}tod\s{1,3}[A-Za-z0-9._%+-]++)*", re.I)
 
 
 class Mapped:
@@ -164,7 +188,7 @@ def _homoglyph_edits(t: str) -> list[tuple[int, int, str]]:
             + [(m.start(), m.end(), "") for m in _HIDDEN.finditer(t)])
 
 
-def _word_edits(t: str) -> list[tuple[int, int, str]]:
+def _spelled_edits(t: str) -> list[tuple[int, int, str]]:
     edits = []
     if _SPELLED_HINT.search(t):
         for m in _SPELLED.finditer(t):
@@ -175,30 +199,117 @@ def _word_edits(t: str) -> list[tuple[int, int, str]]:
                 new = "+" if w == "plus" else "." if w in ("dot", "point") else DIGIT_WORDS[w]
                 edits.append((a.start() if last is None else last, a.end(), new))
                 last = a.end()
-    for m in _BRACKET.finditer(t):
-        edits.append((m.start(), m.end(), "@" if (m[1] or m[2] or m[3] or m[4]).lower() == "at" else "."))
-    for m in _BARE.finditer(t):
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(t, m.start(2), m.end(2))]
+    return edits
+
+
+def _mixed_edits(t: str) -> list[tuple[int, int, str]]:
+    """Digits told one by one are joined; other gaps become one sign."""
+    edits = []
+    if not _MIXED_HINT.search(t):
+        return edits
+    for m in _MIXED.finditer(t):
+        atoms = list(_MIXED_ATOM.finditer(t, m.start(), m.end()))
+        if not any(a[1] for a in atoms):
+            continue
+        end, was = m.start(), "sign"                    # what ends there
+        for a in atoms:
+            w = a[0].lower()
+            new = {"plus": "+", "dot": ".", "point": "."}.get(w) or DIGIT_WORDS.get(w, w)
+            kind = "sign" if new in "+." else "word" if a[1] else "digit" if len(w) == 1 else "digits"
+            gap = t[end:a.start()]
+            if "sign" in (was, kind) or {was, kind} in ({"word"}, {"word", "digit"}):
+                sep = ""
+            else:
+                sep = gap if gap in " -" else " "
+            if sep + new != gap + a[0]:
+                edits.append((end, a.end(), sep + new))
+            end, was = a.end(), kind
+    return edits
+
+
+def _host_end(t: str, host: re.Match, real: bool) -> int:
+    """Where the host after an at sign ends; 0 if it is none."""
+    end, label = 0, _FIRST.match(t, host.start())[0]
+    first = last = label
+    dotted = False                                      # a real dot
+    for x in _LABEL.finditer(t, host.start() + len(label), host.end()):
+        word = x[2].split("-")[0]
+        known = word.lower() in ENDINGS
+        if not real:
+            known &= not (word.lower() in _WORDS_TOO and last.lower() in _NO_HOST)
+            known &= not (x[1] == "." and word.istitle() and not last.istitle())    # the next sentence
+        if known:
+            end = x.end()
+        dotted |= x[1] == "."
+        last = x[2]
+    if real and not end and not dotted and last.isalpha() and len(last) > 1 and not _AT.match(t, host.end()):
+        end = host.end()
+    return 0 if not real and first.lower() == "www" else end
+
+
+def _bare_edits(t: str) -> list[tuple[int, int, str]]:
+    """Every stretch between two at signs is looked at once each way."""
+    edits, after = [], 0
+    for a in _AT.finditer(t):
+        before, after = after, a.end()
+        real = a[0] == "@"
+        if not (h := _HOST.match(t, after)):
+            continue
+        end = _host_end(t, h, real)
+        if not end and real and (d := _DOMAIN.match(t, after)):
+            end = d.end()                               # its name may be disguised
+        if not end or not (m := _LOCAL_BACK.match(t[before:a.start()][::-1])):
+            continue
+        if not real:
+            edits.append((a.start(), a.end(), "@"))
+        for lo, hi in ((a.start() - m.end(), a.start()), (after, end)):
+            edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(t, lo, hi)]
     return edits
 
 
 def added_spans(t: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers of the normalised text that lie in no base span of
-    their kind, in source offsets."""
-    first = _homoglyph_edits(t)
-    one = rewrite(t, first) if first else Mapped(t)
-    second = _word_edits(one.text)
-    if not first and not second:
+    their kind, in source offsets. Digit words are read by themselves and
+    together with digits."""
+    chain = [Mapped(t)]
+    for edit in (_homoglyph_edits, lambda x: [
+            (m.start(), m.end(), "@" if (m[1] or m[2] or m[3] or m[4]).lower() == "at" else ".") for m in _BRACKET.finditer(x)]):
+        if edits := edit(chain[-1].text):
+            chain.append(rewrite(chain[-1].text, edits))
+    now = chain[-1].text
+    bare, mixed = _bare_edits(now), _mixed_edits(now)
+    spelled = _spelled_edits(now) if mixed else []      # needs words that the mixed form takes too
+    ways = [bare + spelled] + ([bare + mixed] if mixed and mixed != spelled else [])
+    if len(chain) == 1 and not any(ways):
         return []
-    two = rewrite(one.text, second) if second else Mapped(one.text)
-    found = []
-    taken = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in KINDS}
-    for kind, s, e in identifiers(two.text):
-        s, e = one.source(*two.source(s, e))
-        if e > s and not any(a <= s and e <= b for a, b in taken[kind]):
-            found.append((kind, s, e))
-    return found
+    found = set()
+    for edits in ways:
+        last = rewrite(now, edits) if edits else Mapped(now)
+        for kind, s, e in identifiers(last.text):
+            for m in (last, *reversed(chain)):
+                s, e = m.source(s, e)
+            if e > s:
+                found.add((kind, s, e))
+    out = []
+    for k in KINDS:
+        taken = _outermost([(s, e) for kind, s, e in base if kind == k])
+        out += [(k, s, e) for s, e in _outermost([(s, e) for kind, s, e in found if kind == k]) if not _within(taken, s, e)]
+    return out
+
+
+def _outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other, by start (and so by end)."""
+    out, reach = [], -1
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if e > reach:
+            out.append((s, e))
+            reach = e
+    return out
+
+
+def _within(taken: list[tuple[int, int]], s: int, e: int) -> bool:
+    i = bisect_right(taken, (s, 1 << 62)) - 1
+    return i >= 0 and e <= taken[i][1]
 
 
 def find(t: str | None) -> tuple[list, list]:

@@ -234,6 +234,28 @@ def test_single_digit_parts_spelled_alone(address):
     assert pii.find(text) == ([], [("ip", 14, 14 + len(address))])
 
 
+@pytest.mark.parametrize("kind,found", [
+    ("email", "ann@example dot com"), ("email", "ann at example.com"), ("email", "ann [at] example dot com"),
+    ("email", "ann at example dot se"), ("email", "john dot smith at example dot com"), ("email", "john dot smith@example.com"),
+    ("email", "ann  at  example dot co.uk"), ("email", "ann@example dot museum"), ("email", "ann at example [dot] org"),
+    ("phone", "plus four four 20 7946 0958"), ("phone", "+four four (0)20 7946 0958"),
+    ("ip", "one nine two dot 168 dot one dot 7"), ("ip", "192 dot 168 dot 1 dot 7"), ("ip", "one nine 2.168 [dot] 1 point seven"),
+])
+def test_disguises_are_mixed(kind, found):
+    text = f"now: {found}, please"
+    assert (kind, 5, 5 + len(found)) in pii.find(text)[1]
+
+
+def test_mixed_disguises_leave_prose():
+    for text in ("He looked at me.Then two dots at the dot is 5 or 6.", "Sold at 3.50 or 4 point five, one 10 and two 2019 12.",
+                 "see it at www.example.com now", "write ann@example.com dot matrix", "at the dot to the left"):
+        assert pii.find(text)[1] == [], text
+    spelled = "room 5 one nine two dot one six eight dot one dot seven"
+    assert pii.find(spelled)[1] == [("ip", 7, len(spelled))]
+    for piece in ("a dot ", "a at ", "a@b dot ", "one 5 ", "1 ", "5 - - ", "one.", "a at b dot c at ", "a\n at "):
+        assert isinstance(pii.find(piece * 100_000), tuple)             # linear, or it would not end
+
+
 def test_plain_prose_gains_nothing():
     assert pii.find("Look at the dot on the map at noon. One of two, three.") == ([], [])
     assert pii.find(None) == ([], []) and pii.find("") == ([], [])
