@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import stored
+
 
 def add_constant(df: DataFrame, **cols) -> DataFrame:
     """B-1 / B-2: constant (or typed NULL: pass ``(None, "string")``)."""
@@ -52,40 +54,43 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[st
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def ordinal(df: DataFrame, order: str, parts: tuple[str, ...] = (), width: int = 4096,
-            name: str = "position") -> DataFrame:
-    """1-based position of each row within ``parts`` by the unique integer
-    column ``order`` -- a ``row_number`` that never puts a whole partition
-    (or the whole table) into one task.
-
-    Rows are bucketed by ``order // width``; a bucket holds at most
-    ``width`` rows because the key is a unique integer. A ``row_number``
-    runs inside each bucket, and the bucket sizes (its maximum, taken from
-    the ranked stream, so the input is shuffled once) become offsets in two
-    levels: buckets are grouped ``width`` at a time into super-buckets,
-    offsets of super-buckets come from a window over their (small) count
-    table and offsets of buckets from a window inside their super-bucket.
-    A row's position is the sum of both offsets and its number. Also
-    returns ``_total`` rows per part.
-    """
-    k = df.withColumn("_ob", F.floor(F.col(order) / F.lit(width)))
-    ranked = k.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts, "_ob").orderBy(order)))
-    counts = (ranked.groupBy(*parts, "_ob").agg(F.max("_rn").alias("_oc"))
-                    .withColumn("_sb", F.floor(F.col("_ob") / F.lit(width))))
-    before = Window.unboundedPreceding
-    sb = counts.groupBy(*parts, "_sb").agg(F.sum("_oc").alias("_sc"))
-    sb = sb.select(*parts, "_sb",
-                   F.coalesce(F.sum("_sc").over(Window.partitionBy(*parts).orderBy("_sb").rowsBetween(before, -1)),
-                              F.lit(0)).alias("_soff"),
-                   F.sum("_sc").over(Window.partitionBy(*parts)).alias("_total"))
-    boff = counts.select(*parts, "_sb", "_ob", F.coalesce(
-        F.sum("_oc").over(Window.partitionBy(*parts, "_sb").orderBy("_ob").rowsBetween(before, -1)),
-        F.lit(0)).alias("_boff"))
-    offs = boff.join(sb, [*parts, "_sb"]).select(*parts, "_ob", (F.col("_soff") + F.col("_boff")).alias("_off"),
-                                                 "_total")
-    return (ranked.join(offs, [*parts, "_ob"])
-                  .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
-                  .drop("_ob", "_rn", "_off"))
+def ordinal(df: DataFrame, order: str | list[str], parts: tuple[str, ...] = (), width: int | None = None,
+            name: str = "position", tie: Column | None = None) -> DataFrame:
+    """1-based position of each row within ``parts`` by ``order`` (columns
+    of any sortable type, nulls first), and ``_total`` rows per part: a
+    ``row_number`` that never puts a whole part, or the whole table, into
+    one task.
+
+    One shuffle deals the rows to range slices of (parts, order), cut by
+    Spark's sample, so sparse keys, strings and large parts give even
+    slices. A sorted slice numbers its rows as it is written to the shared
+    folder; what comes before a slice of a part is a running sum over one
+    count per (part, slice). Null parts are a part of their own. Rows equal
+    in ``order`` stay in one slice in any order, unless ``tie`` tells them
+    apart (``monotonically_increasing_id()`` if ``df`` is a stored table,
+    whose rows have the same number when they are read again). ``width``:
+    rows wanted in a slice (counts ``df`` first); None leaves the number of
+    slices to the session's shuffle partitions."""
+    keys = [order] if isinstance(order, str) else list(order)
+    by = [F.col(c).asc_nulls_first() for c in (*parts, *keys)]
+    if tie is not None:
+        df = df.withColumn("_ord_tie", tie)
+        by.append(F.col("_ord_tie").asc())
+    slices = [] if width is None else [max(1, -(-df.count() // width))]
+    run = df.repartitionByRange(*slices, *by).sortWithinPartitions(*by).drop("_ord_tie")
+    run = stored(run.withColumn("_ord_at", F.monotonically_increasing_id()), "ordinal")
+    run = run.withColumn("_ord_slice", F.shiftright("_ord_at", 33))     # its slice; the rest numbers its rows
+    counts = run.groupBy(*parts, "_ord_slice").agg(F.min("_ord_at").alias("_ord_first"), F.count(F.lit(1)).alias("_ord_n"))
+    part = Window.partitionBy(*parts)
+    before = part.orderBy("_ord_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*[F.col(c).alias(f"_ord_{c}") for c in parts], F.col("_ord_slice").alias("_ord_s"),
+                         (F.coalesce(F.sum("_ord_n").over(before), F.lit(0)) - F.col("_ord_first")).alias("_ord_off"),
+                         F.sum("_ord_n").over(part).alias("_total"))
+    same = F.col("_ord_slice") == F.col("_ord_s")
+    for c in parts:
+        same &= F.col(c).eqNullSafe(F.col(f"_ord_{c}"))
+    return (run.join(offs, same).withColumn(name, (F.col("_ord_at") + F.col("_ord_off") + 1).cast("long"))
+               .select(*[c for c in df.columns if c not in ("_ord_tie", name)], "_total", name))
 
 
 def ntile_parts(df: DataFrame, order: str, n: int, name: str = "part") -> DataFrame:

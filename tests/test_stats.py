@@ -30,9 +30,9 @@ def test_group_quantiles_exact(spark, levels):
 def test_ordinal_and_ntile(spark):
     ids = list(range(0, 3000, 3)) + [10_000_001, 10_000_002] + list(range(50_000, 70_000, 7))
     df = spark.createDataFrame([(i, i % 2) for i in ids], "id long, part int")
-    pos = {r.id: r.position for r in SH.ordinal(df, "id", width=8).collect()}
+    pos = {r.id: r.position for r in SH.ordinal(df, "id", width=400).collect()}
     assert [pos[i] for i in sorted(ids)] == list(range(1, len(ids) + 1))
-    per = {(r.part, r.id): r.position for r in SH.ordinal(df, "id", parts=("part",), width=8).collect()}
+    per = {(r.part, r.id): r.position for r in SH.ordinal(df, "id", parts=("part",), width=400).collect()}
     for p in (0, 1):
         mine = sorted(i for i in ids if i % 2 == p)
         assert [per[(p, i)] for i in mine] == list(range(1, len(mine) + 1))
@@ -41,6 +41,34 @@ def test_ordinal_and_ntile(spark):
     assert [parts[i] for i in sorted(ids)] == list(want)
 
 
+def test_positions_of_any_key(spark):
+    """Sparse 64-bit numbers, strings, two order columns, null parts and a
+    part with most rows."""
+    rng = np.random.default_rng(8)
+    big = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 400)]
+    part = [None if i % 7 == 0 else "hot" if i % 5 else "b" for i in range(400)]
+    rows = [(b, f"k{b:x}", p, i % 3) for i, (b, p) in enumerate(zip(big, part))]
+    df = spark.createDataFrame(rows, "n long, s string, part string, m int")
+    for col, at in (("n", 0), ("s", 1)):
+        want = {r[at]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: r[at]))}
+        assert {r[col]: r.position for r in SH.ordinal(df, col).collect()} == want
+    got = SH.ordinal(df, ["m", "n"], parts=("part",)).collect()
+    for p in ("hot", "b", None):
+        mine = sorted((r[3], r[0]) for r in rows if r[2] == p)
+        assert [(r.m, r.n) for r in sorted((g for g in got if g.part == p), key=lambda g: g.position)] == mine
+        assert {g._total for g in got if g.part == p} == {len(mine)}
+        assert sorted(g.position for g in got if g.part == p) == list(range(1, len(mine) + 1))
+    assert SH.ordinal(df.limit(0), "n").count() == 0
+
+
+def test_positions_with_ties(spark):
+    """Equal keys get one position each; a tie column deals them to slices."""
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id"))
+    for tie in (None, F.col("id")):
+        got = SH.ordinal(df, "k", tie=tie, width=100)
+        assert sorted(r.position for r in got.collect()) == list(range(1, 1001))
+
+
 def test_histogram_matches_numpy(spark):
     df, g, v = _frame(spark)
     h = ST.histogram(df, ["g"], "v").collect()
