@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import (langid, mixing, ngram_join, packing, pii, spotsigs, suffix_dedup, token_rollup, topk, warc)
+from parley.llm import (langid, merkle, mixing, ngram_join, packing, pii, ring, runs, spotsigs, suffix_dedup, token_rollup, topk,
+                        warc)
 from parley.llm.registry import ORACLES, QUERIES, query
 from parley.session import fresh_path, read_table
 
@@ -191,4 +192,74 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+@query("op11_ring_shards")
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards whose row counts are at most one apart (law ``rows``)."""
+    got = ring.assign(read_table(spark, sf_dir, "documents"), 40)
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
+_MERKLE = """
+WITH RECURSIVE
+v AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, text,
+         [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS known,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+u AS (
+  SELECT doc_id, s, crc, array_to_string(list_transform(known, lambda x:
+           CASE WHEN x IS NULL THEN '-' ELSE octet_length(encode(x)) || ':' || x END), '') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+         coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-') AS less FROM v),
+d AS (
+  SELECT doc_id, s, sha256(head || body) AS leaf, CASE WHEN crc % 2 = 0 THEN sha256(head || less) ELSE sha256(head || body) END
+    AS claimed FROM u),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY s) AS n, row_number() OVER () AS rid FROM d),
+nodes AS (
+  SELECT s, 0 AS lvl, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT s, lvl + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1
+  GROUP BY s, lvl, idx // 3),
+subroots AS (SELECT s, h, row_number() OVER (ORDER BY s) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, idx, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, idx // 3),
+every AS (SELECT s, lvl, idx, n, h FROM nodes UNION ALL SELECT 'top', lvl, idx, n, h FROM tops),
+sib AS (
+  SELECT a.s, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+  FROM every a JOIN every b ON a.s = b.s AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1
+  GROUP BY a.s, a.lvl, a.idx),
+up AS (
+  SELECT rid, s, 0 AS lvl, idx, claimed AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT rid, s, lvl + 1, idx // 3, sha256(l || h || r), proof || l || r FROM up JOIN sib USING (s, lvl, idx)),
+mid AS (SELECT rid, s, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM up GROUP BY rid, s),
+over AS (
+  SELECT m.rid, 'top' AS s, 0 AS lvl, t.idx, m.h, m.proof FROM mid m JOIN subroots t ON m.s = t.s
+  UNION ALL
+  SELECT rid, s, lvl + 1, idx // 3, sha256(l || h || r), proof || l || r FROM over JOIN sib USING (s, lvl, idx)),
+fin AS (SELECT rid, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM over GROUP BY rid)
+SELECT a.doc_id, a.leaf, t.h AS subroot, o.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
+FROM leaves a JOIN subroots t ON a.s = t.s JOIN fin f ON a.rid = f.rid JOIN (SELECT h FROM tops WHERE n = 1) o ON true
+"""
+
+
+@query("op13_merkle_manifest", oracle=_MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = merkle.verified(read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 __all__ = ["ORACLES", "QUERIES"]
