@@ -6,6 +6,12 @@ Definitions (written contract; see README):
   (reference); P=|H&R|/|H|, R=|H&R|/|R| (0 for an empty side),
   F=2PR/(P+R+1e-8). NULL when either text is NULL or has no words.
 * ROUGE-L: L = LCS of the same word lists; P=L/|hyp|, R=L/|ref|, F as above.
+  ``union``: the summary level. Sentences are the pieces between dots; for
+  each reference and generated sentence one LCS is read off from the ends
+  (equal last words belong to it; else the reference's last word goes if
+  without it the LCS is longer than without the other's, else the other's).
+  L = distinct words of all these, P=L/distinct generated words, R=L/distinct
+  reference words.
 * ROUGE with clipped counts: lower case, [^a-z0-9] separates tokens,
   optional stems; overlap = sum of min(count_h, count_r) per n-gram. NULL
   when either text is NULL or has no tokens; METEOR likewise.
@@ -92,25 +98,74 @@ def _lcs(a, b) -> int:
     return len(b) - bin(v).count("1")
 
 
-def _lcs_positions(a, b) -> set:
-    """Positions in ``b`` of one LCS of a and b (for the union form)."""
-    m, n = len(a), len(b)
-    t = np.zeros((m + 1, n + 1), dtype=np.int32)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            t[i, j] = t[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1, j], t[i, j - 1])
-    out, i, j = set(), m, n
-    while i > 0 and j > 0:
-        if a[i - 1] == b[j - 1]:
-            out.add(j - 1)
-            i, j = i - 1, j - 1
-        elif t[i - 1, j] >= t[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+#: Bits of LCS rows that a trace keeps: rows in between are computed again.
+TRACE_BITS = 1 << 26
+
+
+def lcs_words(ref: list, hyp: list) -> set:
+    """Words of the LCS that is read off from the ends of both lists.
+
+    Row i has bit j set where the LCS of i reference words grows with the
+    generated word j, which is all a trace asks for. Of a long pair only
+    every k-th row is kept and the k rows above it are computed again when
+    the trace gets there, so memory grows with the square root of the
+    rows."""
+    if not ref or not hyp:
+        return set()
+    masks: dict = {}
+    for j, w in enumerate(hyp):
+        masks[w] = masks.get(w, 0) | (1 << j)
+    n, full = len(hyp), (1 << len(hyp)) - 1
+
+    def rows(v: int, lo: int, hi: int) -> list[int]:
+        """Rows lo .. hi, from row lo."""
+        out = [v]
+        for w in ref[lo:hi]:
+            u = v & masks.get(w, 0)
+            v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
+
+    step = len(ref) if len(ref) * n <= TRACE_BITS else max(1, int(len(ref) ** 0.5))
+    kept = [full]
+    for lo in range(0, max(0, len(ref) - step), step):
+        kept.append(rows(kept[-1], lo, lo + step)[-1])
+    out, j = set(), n
+    for block in range(len(kept) - 1, -1, -1):
+        lo = block * step
+        hi = min(lo + step, len(ref))
+        if not j or hi <= lo:
+            continue
+        mine = rows(kept[block], lo, hi)
+        i = hi
+        while i > lo and j:
+            if ref[i - 1] == hyp[j - 1]:
+                out.add(ref[i - 1])
+                i, j = i - 1, j - 1
+            elif mine[i - lo] >> (j - 1) & 1:       # the last word adds nothing: leave it
+                j -= 1
+            else:
+                i -= 1
     return out
 
 
+def union_lcs_words(hyp: list[list], ref: list[list]) -> int:
+    """Distinct words of the LCSs of all pairs of sentences. A pair whose
+    common words are all there already can add none and is passed over."""
+    at: dict = {}
+    for k, s in enumerate(hyp):
+        for w in set(s):
+            at.setdefault(w, []).append(k)
+    found: set = set()
+    for s in ref:
+        open_ = {w for w in s if w in at} - found
+        for k in sorted({k for w in open_ for k in at[w]}):
+            if not open_.isdisjoint(hyp[k]):
+                found |= lcs_words(s, hyp[k])
+                open_ -= found
+    return len(found)
+
+
 @pandas_udf(T.IntegerType())
 def lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
     """Arrow-batched LCS of two array<string> columns."""
@@ -119,36 +174,29 @@ def lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
 
 @pandas_udf(T.IntegerType())
 def union_lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
-    """Summary-level union LCS: for each reference sentence, the union of
-    its LCS positions against every generated sentence; summed."""
-    def one(hs, rs):
-        if hs is None or rs is None:
-            return 0
-        total = 0
-        for rsent in rs:
-            hit: set = set()
-            for hsent in hs:
-                hit |= _lcs_positions(list(hsent), list(rsent))
-            total += len(hit)
-        return total
+    """Arrow-batched ``union_lcs_words`` of two columns of sentences."""
+    def one(a, b):
+        return 0 if a is None or b is None else union_lcs_words([list(x) for x in a], [list(x) for x in b])
     return pd.Series([one(a, b) for a, b in zip(h, r)], dtype="int32")
 
 
 def _sentences(c: Column) -> Column:
+    """Word lists of the pieces between dots; white space alone is one empty word."""
     from parley.functions.text import words
     pieces = F.filter(F.split(c, "\\.", -1), lambda s: F.length(s) > 0)
-    return F.transform(pieces, lambda s: words(s))
+    return F.transform(F.transform(pieces, words), lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
 
 
 def rouge_l(df: DataFrame, hyp: str, ref: str, union: bool = False) -> DataFrame:
-    """Adds rouge_l (J-2). The LCS is the one Python step (Arrow batches);
-    tokenisation and the F formula stay native."""
+    """Adds rouge_l (J-2), with ``union`` at summary level. The LCS is the
+    one Python step (Arrow batches); tokenisation and the F formula stay
+    native."""
     w = _with_words(df, hyp, ref)
     if union:
-        lcs = union_lcs_length(_sentences(F.col(hyp)), _sentences(F.col(ref)))
+        w = w.withColumn("_lcs", union_lcs_length(_sentences(F.col(hyp)), _sentences(F.col(ref))))
+        w = w.withColumns({"_hw": F.array_distinct("_hw"), "_rw": F.array_distinct("_rw")})
     else:
-        lcs = lcs_length(F.col("_hw"), F.col("_rw"))
-    w = w.withColumn("_lcs", lcs)
+        w = w.withColumn("_lcs", lcs_length(F.col("_hw"), F.col("_rw")))
     p, r = _ratio(F.col("_lcs"), F.size("_hw")), _ratio(F.col("_lcs"), F.size("_rw"))
     out = F.when(_null_if(hyp, ref), F.lit(None).cast("double")).otherwise(_f(p, r))
     return w.withColumn("rouge_l", out).drop("_hw", "_rw", "_lcs")
@@ -343,12 +391,13 @@ def bert_score(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
 def score_summaries(pairs: DataFrame, key: list[str], hyp: str = "generated_summary",
                     ref: str = "actual_summary", token_vectors: DataFrame | None = None,
                     stems: DataFrame | Callable[[Column], Column] | None = None,
-                    synonyms: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
+                    synonyms: DataFrame | Callable[[Column], Column] | None = None,
+                    union: bool = False) -> DataFrame:
     """J-6: every score of every (dialogue, model) pair in one table:
-    rouge_1, rouge_2, rouge_l, meteor (all row-local), and
+    rouge_1, rouge_2, rouge_l (``union``: at summary level), meteor (all row-local), and
     bert_precision / bert_recall / bert_f1 when ``token_vectors`` (pair_id =
     the pair's key, side, token_no, vector) are given, else NULL."""
-    scored = rouge_l(rouge_n(pairs, hyp, ref), hyp, ref)
+    scored = rouge_l(rouge_n(pairs, hyp, ref), hyp, ref, union)
     if isinstance(stems, DataFrame) or isinstance(synonyms, DataFrame):
         out = scored.join(meteor(pairs, key, hyp, ref, stems=stems, synonyms=synonyms), key, "left")
     else:

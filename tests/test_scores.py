@@ -169,3 +169,71 @@ def test_bertscore_vs_numpy(spark):
         assert got[pair].bert_precision == pytest.approx(p, abs=1e-12)
         assert got[pair].bert_recall == pytest.approx(r, abs=1e-12)
         assert got[pair].bert_f1 == pytest.approx(2 * p * r / (p + r), abs=1e-12)
+
+
+def sentences(t):
+    return [[w for w in re.split(r"[ \t\n\r\f]+", p) if w] or [""] for p in t.split(".") if p]
+
+
+def lcs_words_rule(x, y):
+    """The LCS of x (reference) and y read off the whole table from its end."""
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, j in itertools.product(range(1, len(x) + 1), range(1, len(y) + 1)):
+        t[i][j] = t[i - 1][j - 1] + 1 if x[i - 1] == y[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    out, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.add(x[i - 1])
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] > t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def rouge_union_rule(h, r):
+    union = set()
+    for x, y in itertools.product(sentences(r), sentences(h)):
+        union |= lcs_words_rule(x, y)
+    p, rc = len(union) / len(set(rwords(h))), len(union) / len(set(rwords(r)))
+    return 2.0 * ((p * rc) / (p + rc + 1e-8))
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 0])
+def test_lcs_words_follow_the_trace(monkeypatch, bits):
+    """With all rows kept, and with the square root of them."""
+    import random
+    monkeypatch.setattr(S, "TRACE_BITS", bits)
+    rng = random.Random(4)
+    for _ in range(400):
+        k = rng.choice([2, 4, 9])
+        x, y = ([rng.randrange(k) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert S.lcs_words(x, y) == lcs_words_rule(x, y)
+
+
+def test_rouge_l_union(spark):
+    import random
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abcdef") + rng.choice([" ", " ", ". ", ".", "  "]) for _ in range(rng.randint(1, 60)))
+    texts = [*PAIRS, ("a b a", "a a b"), ("a a b", "a b a"), ("x. . y", "y.x. "), *[(text(), text()) for _ in range(60)]]
+    df = spark.createDataFrame([*[(i, h, r) for i, (h, r) in enumerate(texts)], (900, None, "a"), (901, "a", None), (902, "", "a"), (903, "...", "a")],
+                               "id long, hyp string, ref string")
+    got = {r.id: r.rouge_l for r in S.rouge_l(df, "hyp", "ref", union=True).collect()}
+    for i, (h, r) in enumerate(texts):
+        assert got[i] == pytest.approx(rouge_union_rule(h, r), abs=1e-12)
+    assert got[len(PAIRS)] == pytest.approx(1.0, abs=1e-7)
+    assert [got[i] for i in (900, 901, 902, 903)] == [None] * 4
+
+
+def test_lcs_of_long_sentences_keeps_few_rows():
+    """A dialogue of one sentence: 20,000 words on both sides."""
+    import tracemalloc
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 3000, 20000).tolist()
+    y = [w for i, w in enumerate(x) if i % 5]
+    tracemalloc.start()
+    words = S.lcs_words(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == set(y) and peak < 20 << 20
