@@ -19,8 +19,7 @@ Definitions (written contract; see README):
   synonym (rules or tables given as input); within a stage the k-th occurrence from
   the end in the hypothesis pairs with the k-th from the end in the
   reference; chunks are runs adjacent in both texts.
-* BERTScore: P = mean over candidate tokens of the best cosine against the
-  reference tokens, R the converse, F1 harmonic; no idf, no rescaling.
+* BERTScore: see ``parley.operators.bertscore``.
 """
 
 from __future__ import annotations
@@ -36,6 +35,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from parley.functions.text import meteor_tokens, ngrams, rouge_words, score_tokens
+from parley.operators.bertscore import SCORES as BERT_SCORES
+from parley.operators.bertscore import bert_score, score_texts
 from parley.operators.shaping import SALTS
 from parley.schemas import METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA
 
@@ -329,86 +330,27 @@ def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
     return w.select(*key, F.when((F.col("_hl") > 0) & (F.col("_rl") > 0), score).alias("meteor"))
 
 
-# -- BERTScore -----------------------------------------------------------------
-
-BLOCK = 256
-
-
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def _block_best(a: pd.Series, b: pd.Series) -> pd.Series:
-    """For each vector of block ``a``, best cosine against block ``b``."""
-    out = []
-    for va, vb in zip(a, b):
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in va])
-        y = np.stack([np.asarray(v, dtype=np.float64) for v in vb])
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        out.append((x @ y.T).max(axis=1))
-    return pd.Series(out)
-
-
-def bert_score(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
-    """BERTScore P/R/F1 per pair (J-5) from (pair_id, side, token_no, vector).
-
-    Exact greedy matching without emitting token pairs: each side is cut
-    into hash blocks of about ``block`` vectors (the number of blocks comes
-    from the side's token count, so no window holds a whole pair),
-    candidate blocks meet reference blocks of the same pair, and one Arrow
-    batch computes the block's best cosines with a matrix product. A hot
-    pair becomes many block tasks; per-token maxima are then reduced over
-    blocks with a grouped max.
-    """
-    sizes = tokens.groupBy("pair_id", "side").agg(F.count("*").alias("_n"))
-    nblk = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block)))
-    t = (tokens.join(sizes, ["pair_id", "side"])
-               .withColumn("blk", F.pmod(F.xxhash64("token_no"), nblk)))
-    blocks = (t.groupBy("pair_id", "side", "blk")
-              .agg(F.array_sort(F.collect_list(F.struct("token_no", "vector"))).alias("toks")))
-    c = blocks.where(F.col("side") == "cand").select("pair_id", F.col("blk").alias("cb"), F.col("toks").alias("ct"))
-    r = blocks.where(F.col("side") == "ref").select("pair_id", F.col("blk").alias("rb"), F.col("toks").alias("rt"))
-    bp = c.join(r, "pair_id")
-
-    def best(src_col, other_col, side):
-        s = bp.select(
-            "pair_id", F.lit(side).alias("side"),
-            F.transform(F.col(src_col), lambda x: x["token_no"]).alias("ids"),
-            _block_best(F.transform(F.col(src_col), lambda x: x["vector"]),
-                        F.transform(F.col(other_col), lambda x: x["vector"])).alias("best"))
-        z = s.select("pair_id", "side", F.explode(F.arrays_zip("ids", "best")).alias("z"))
-        return (z.groupBy("pair_id", "side", F.col("z.ids").alias("token_no"))
-                 .agg(F.max("z.best").alias("best")))
-
-    per_tok = best("ct", "rt", "cand").unionByName(best("rt", "ct", "ref"))
-    side_avg = per_tok.groupBy("pair_id").agg(
-        F.avg(F.when(F.col("side") == "cand", F.col("best"))).alias("bert_precision"),
-        F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("bert_recall"))
-    p, r = F.col("bert_precision"), F.col("bert_recall")
-    f1 = F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
-    # a pair with one side only keeps its row, with NULL scores
-    return sizes.select("pair_id").distinct().join(side_avg.withColumn("bert_f1", f1), "pair_id", "left")
-
-
 def score_summaries(pairs: DataFrame, key: list[str], hyp: str = "generated_summary",
                     ref: str = "actual_summary", token_vectors: DataFrame | None = None,
                     stems: DataFrame | Callable[[Column], Column] | None = None,
                     synonyms: DataFrame | Callable[[Column], Column] | None = None,
-                    union: bool = False) -> DataFrame:
+                    union: bool = False, make_embedder: Callable | None = None) -> DataFrame:
     """J-6: every score of every (dialogue, model) pair in one table:
-    rouge_1, rouge_2, rouge_l (``union``: at summary level), meteor (all row-local), and
-    bert_precision / bert_recall / bert_f1 when ``token_vectors`` (pair_id =
-    the pair's key, side, token_no, vector) are given, else NULL."""
+    rouge_1, rouge_2, rouge_l (``union``: at summary level), meteor (all
+    row-local), and bert_precision / bert_recall / bert_f1 from the texts
+    with ``make_embedder``, or from ``token_vectors`` (the key's columns, or
+    pair_id with the key, side, token_no, vector); else NULL."""
     scored = rouge_l(rouge_n(pairs, hyp, ref), hyp, ref, union)
     if isinstance(stems, DataFrame) or isinstance(synonyms, DataFrame):
         out = scored.join(meteor(pairs, key, hyp, ref, stems=stems, synonyms=synonyms), key, "left")
     else:
         out = meteor(scored, scored.columns, hyp, ref, stems=stems, synonyms=synonyms)
+    if make_embedder is not None:
+        return out.join(score_texts(pairs, key, hyp, ref, make_embedder), key, "left")
     if token_vectors is not None:
-        b = bert_score(token_vectors)
-        if len(key) == 1:
-            b = b.withColumnRenamed("pair_id", key[0])
-        else:
-            b = b.select(*[F.col("pair_id")[k].alias(k) for k in key],
-                         "bert_precision", "bert_recall", "bert_f1")
-        return out.join(b, key, "left")
-    return out.withColumns({c: F.lit(None).cast("double")
-                            for c in ("bert_precision", "bert_recall", "bert_f1")})
+        if "pair_id" in token_vectors.columns:
+            one = F.col("pair_id") if len(key) == 1 else F.col("pair_id").getField
+            token_vectors = token_vectors.select(*([one.alias(key[0])] if len(key) == 1 else [one(k).alias(k) for k in key]),
+                                                 "side", "token_no", "vector")
+        return out.join(bert_score(token_vectors, key=key), key, "left")
+    return out.withColumns({c: F.lit(None).cast("double") for c in BERT_SCORES})
