@@ -229,23 +229,19 @@ def q_run_metrics(spark, sf):
 
 
 
-@query("a9_append_summaries", with_views("""
-SELECT s.dialogue_id, s.model_id, s.generated_summary, round(s.rouge_1, 6) AS rouge_1,
-       round(s.rouge_2, 6) AS rouge_2, round(s.rouge_l, 6) AS rouge_l, round(m.meteor, 6) AS meteor,
-       CAST(NULL AS DOUBLE) AS bert_f1, round(s.memory_summary_usage, 6) AS memory_summary_usage,
-       round(s.time_summary_taken, 6) AS time_summary_taken, true AS has_key
-FROM summaries s JOIN meteor_scores m ON s.dialogue_id = m.dialogue_id AND s.model_id = m.model_id""",
-                                         "summaries", "meteor_scores"))
+_SUMMARY_SCORES = ("rouge_1", "rouge_2", "rouge_l", "meteor", "bert_precision", "bert_recall", "bert_f1",
+                   "memory_summary_usage", "time_summary_taken")
+
+
+@query("a9_append_summaries", with_views("SELECT dialogue_id, model_id, generated_summary, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in _SUMMARY_SCORES) + ", true AS has_key FROM all_scores", "all_scores"))
 def q_append_summaries(spark, sf):
     """Scored summaries (all score columns) appended to the summaries
     table through the column check, read back."""
-    from parley.operators import scores as S
-    scored = S.score_summaries(X.summary_pairs(spark, sf), KEY).drop("actual_summary")
+    scored = X.scored(spark, sf).drop("actual_summary")
     base = fresh_path(spark, "tables")
     SK.append_table(scored, "summaries", base)
     from parley.schemas import SUMMARIES
     t = spark.read.schema(SUMMARIES).parquet(f"{base}/summaries")
-    return t.select(*KEY, "generated_summary", *[r6(c).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l", "meteor")],
-                    "bert_f1", r6("memory_summary_usage").alias("memory_summary_usage"),
-                    r6("time_summary_taken").alias("time_summary_taken"),
+    return t.select(*KEY, "generated_summary", *[r6(c).alias(c) for c in _SUMMARY_SCORES],
                     F.col("summary_id").isNotNull().alias("has_key"))

@@ -204,11 +204,17 @@ def q_describe_subset(spark, sf):
     return out.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+ALL_SCORES = [*SCORES, "meteor", "bert_precision", "bert_recall", "bert_f1"]
+
+
 @query("e8_median_per_model", with_views(f"""
-SELECT model_id, metric, round(quantile_cont(score, 0.5), 6) AS median FROM {_LONG}
-GROUP BY model_id, metric""", "summaries"))
+SELECT model_id, metric, round(quantile_cont(score, 0.5), 6) AS median
+FROM (UNPIVOT (SELECT dialogue_id, model_id, {", ".join(ALL_SCORES)} FROM all_scores) ON {", ".join(ALL_SCORES)}
+      INTO NAME metric VALUE score)
+GROUP BY model_id, metric""", "all_scores"))
 def q_medians(spark, sf):
-    long = ST.long_scores(X.summaries(spark, sf), ["dialogue_id", "model_id"], SCORES)
+    """Median of every score and cost per model."""
+    long = ST.long_scores(X.scored(spark, sf), ["dialogue_id", "model_id"], ALL_SCORES)
     q = ST.group_quantiles(long, ["model_id", "metric"], "score", {"median": 0.5})
     return q.select("model_id", "metric", r6("median").alias("median"))
 

@@ -75,21 +75,13 @@ _LOAD_LAYOUT = ["dialogue_id", "model_id", "generated_summary", "rouge_1", "roug
                 "bert_precision", "bert_recall", "bert_f1", "meteor", "memory_summary_usage", "time_summary_taken"]
 
 
-@query("b5_load_layout", with_views("""
-SELECT s.dialogue_id, s.model_id, s.generated_summary, round(s.rouge_1, 6) AS rouge_1, round(s.rouge_2, 6) AS rouge_2,
-       round(s.rouge_l, 6) AS rouge_l, CAST(NULL AS DOUBLE) AS bert_precision, CAST(NULL AS DOUBLE) AS bert_recall,
-       CAST(NULL AS DOUBLE) AS bert_f1, round(m.meteor, 6) AS meteor,
-       round(s.memory_summary_usage, 6) AS memory_summary_usage, round(s.time_summary_taken, 6) AS time_summary_taken
-FROM summaries s JOIN meteor_scores m ON s.dialogue_id = m.dialogue_id AND s.model_id = m.model_id""",
-                                    "summaries", "meteor_scores"))
+@query("b5_load_layout", with_views("SELECT " + ", ".join(
+    c if c in ("dialogue_id", "model_id", "generated_summary") else f"round({c}, 6) AS {c}" for c in _LOAD_LAYOUT)
+    + " FROM all_scores", "all_scores"))
 def q_load_layout(spark, sf):
-    """The 12-column load layout of scored summaries (BERTScore columns
-    stay NULL without token embeddings of the summaries)."""
-    s = X.summaries(spark, sf)
-    j = SH.add_constant(S.meteor(s, s.columns, "generated_summary", "actual_summary"), bert_precision=(None, "double"), bert_recall=(None, "double"),
-                        bert_f1=(None, "double"))
-    return j.select(*[r6(c).alias(c) if c in ("rouge_1", "rouge_2", "rouge_l", "meteor", "memory_summary_usage",
-                                              "time_summary_taken") else F.col(c) for c in _LOAD_LAYOUT])
+    """The 12-column load layout of scored summaries."""
+    return X.scored(spark, sf).select(*[c if c in ("dialogue_id", "model_id", "generated_summary") else r6(c).alias(c)
+                                        for c in _LOAD_LAYOUT])
 
 
 @query("b6_drop_trailing", with_views("""

@@ -165,6 +165,13 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
                    "generated_summary", "actual_summary")
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary pairs with all seven scores."""
+    from parley.operators.bertscore import HashEmbedder
+    from parley.operators.scores import score_summaries
+    return score_summaries(summary_pairs(spark, sf_dir), ["dialogue_id", "model_id"], make_embedder=HashEmbedder)
+
+
 def chunks(spark: SparkSession, sf_dir: str, max_length: int = 1024) -> DataFrame:
     """One row per chunk of each dialogue (I-2)."""
     d = dialogues(spark, sf_dir).select("dialogue_id", "dialogue_text")
