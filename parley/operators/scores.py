@@ -13,12 +13,15 @@ Definitions (written contract; see README):
   L = distinct words of all these, P=L/distinct generated words, R=L/distinct
   reference words.
 * ROUGE with clipped counts: lower case, [^a-z0-9] separates tokens,
-  optional stems; overlap = sum of min(count_h, count_r) per n-gram. NULL
-  when either text is NULL or has no tokens; METEOR likewise.
+  optional stems; overlap = sum of min(count_h, count_r) per n-gram; "L":
+  overlap = LCS of the tokens. NULL when either text is NULL or has no
+  tokens; METEOR likewise.
 * METEOR: lower-case word/punctuation tokens; stages exact -> stem ->
   synonym (rules or tables given as input); within a stage the k-th occurrence from
   the end in the hypothesis pairs with the k-th from the end in the
-  reference; chunks are runs adjacent in both texts.
+  reference; chunks are runs adjacent in both texts. With a lexicon (word,
+  group; a word may be in many groups) two forms match if they share one:
+  the hypothesis is walked from its end and takes the last free match.
 * BERTScore: see ``parley.operators.bertscore``.
 """
 
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from parley.functions.stem import PorterStems
 from parley.functions.text import meteor_tokens, ngrams, rouge_words, score_tokens
 from parley.operators.bertscore import SCORES as BERT_SCORES
 from parley.operators.bertscore import bert_score, score_texts
@@ -203,15 +207,17 @@ def rouge_l(df: DataFrame, hyp: str, ref: str, union: bool = False) -> DataFrame
     return w.withColumn("rouge_l", out).drop("_hw", "_rw", "_lcs")
 
 
-def _overlaps(orders: tuple[int, ...]):
-    """Arrow UDF: sum of min(count_h, count_r) over the n-grams, per order."""
+def _overlaps(orders: tuple):
+    """Arrow UDF: sum of min(count_h, count_r) over the n-grams, per order;
+    for "L" the LCS."""
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def overlaps(h: pd.Series, r: pd.Series) -> pd.Series:
         def one(a, b):
             if a is None or b is None:
                 return None
             a, b = list(a), list(b)
-            return [sum((Counter(zip(*[a[k:] for k in range(n)])) & Counter(zip(*[b[k:] for k in range(n)]))).values())
+            return [_lcs(a, b) if n == "L" else
+                    sum((Counter(zip(*[a[k:] for k in range(n)])) & Counter(zip(*[b[k:] for k in range(n)]))).values())
                     for n in orders]
         return pd.Series([one(a, b) for a, b in zip(h, r)], dtype=object)
     return overlaps
@@ -222,9 +228,11 @@ def _mapped(base: DataFrame, key: list[str], table: DataFrame | Callable[[Column
     """Adds token arrays (``cols``: input array -> new array) with every token
     replaced by its form, or kept where it has none.
 
-    ``table`` is a rule (Column -> Column), applied in the row, or a table
-    with one form per word. A table is joined by (word, salt): its rows are
+    ``table`` is a rule (Column -> Column) or a stemmer of token arrays,
+    applied in the row, or a table with one form per word. A table is joined by (word, salt): its rows are
     repeated per salt, so a frequent word is never one task's work."""
+    if hasattr(table, "on_tokens"):
+        return base.withColumns({b: table.on_tokens(F.col(a)) for a, b in cols.items()})
     if callable(table):
         return base.withColumns({b: F.transform(F.col(a), table) for a, b in cols.items()})
     words = table.select(F.col(src).alias("token"), F.col(dst).alias("_to"),
@@ -244,15 +252,16 @@ def _mapped(base: DataFrame, key: list[str], table: DataFrame | Callable[[Column
 
 
 def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,),
-                  stems: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
-    """ROUGE-N with clipped counts (J-3) for every order in ``orders``:
-    columns ``rouge<n>_clipped``.
+                  stems: DataFrame | Callable[[Column], Column] | PorterStems | None = None) -> DataFrame:
+    """ROUGE-N with clipped counts (J-3) for every order in ``orders``, and
+    ROUGE-L of the same tokens for "L": columns ``rouge<n>_clipped``.
 
     Both token lists of a pair are in its row; one Arrow UDF counts the
     overlaps of all orders, so nothing is shuffled. ``stems`` maps tokens
-    before n-grams form: a rule on columns, or a table (word, stem). NULL
-    where a text is NULL or has no tokens."""
-    orders = (orders,) if isinstance(orders, int) else tuple(orders)
+    before n-grams form: a rule on columns, ``PorterStems`` (its
+    ``longer_than`` is 3 in the package whose scores these are), or a table
+    (word, stem). NULL where a text is NULL or has no tokens."""
+    orders = (orders,) if isinstance(orders, (int, str)) else tuple(orders)
     base = df.select(*key, score_tokens(F.col(hyp)).alias("_ht"), score_tokens(F.col(ref)).alias("_rt"))
     h, r = "_ht", "_rt"
     if stems is not None:
@@ -262,65 +271,117 @@ def rouge_clipped(df: DataFrame, key: list[str], hyp: str, ref: str, orders=(1,)
                     _overlaps(orders)(F.col(h), F.col(r)).alias("_o"))
     out = {}
     for i, n in enumerate(orders):
-        p = _ratio(F.col("_o")[i], F.greatest(F.col("_hl") - n + 1, F.lit(0)))
-        rc = _ratio(F.col("_o")[i], F.greatest(F.col("_rl") - n + 1, F.lit(0)))
+        less = 0 if n == "L" else n - 1
+        p = _ratio(F.col("_o")[i], F.greatest(F.col("_hl") - less, F.lit(0)))
+        rc = _ratio(F.col("_o")[i], F.greatest(F.col("_rl") - less, F.lit(0)))
         f = F.when(p + rc == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * rc / (p + rc))
         out[f"rouge{n}_clipped"] = F.when((F.col("_hl") > 0) & (F.col("_rl") > 0), f)
     return w.select(*key, *[c.alias(name) for name, c in out.items()])
 
 
-def _matches_chunks(forms) -> list[int]:
+def _take_equal(hfree, rfree, h, r, match: dict[int, int]) -> tuple[list, list]:
+    """Walks the hypothesis from its end; each form takes the last free
+    reference token of the same form. Returns what is left."""
+    at: dict = {}
+    for j in rfree:
+        at.setdefault(r[j], []).append(j)
+    rest = []
+    for i in hfree:
+        free = at.get(h[i])
+        if free:
+            match[i] = free.pop()
+        else:
+            rest.append(i)
+    return rest, sorted(j for free in at.values() for j in free)
+
+
+def _take_grouped(hfree, rfree, h, r, groups: dict[str, list], match: dict[int, int]) -> None:
+    """The same, where forms that share a group match."""
+    at: dict = {}
+    for j in rfree:
+        for g in groups.get(r[j], ()):
+            at.setdefault(g, []).append(j)
+    taken: set[int] = set()
+    for i in hfree:
+        best = -1
+        for g in groups.get(h[i], ()):
+            free = at.get(g)
+            while free and free[-1] in taken:
+                free.pop()
+            if free:
+                best = max(best, free[-1])
+        if best >= 0:
+            taken.add(best)
+            match[i] = best
+
+
+def _matches_chunks(forms, groups: dict[str, list] | None = None) -> list[int]:
     """[matches, chunks] of one pair; ``forms`` holds the (hypothesis,
-    reference) forms of each stage. The hypothesis is walked from its end
-    and takes the last free reference token of the same form."""
+    reference) forms of each stage, ``groups`` those of the last one."""
     hfree, rfree = range(len(forms[0][0]) - 1, -1, -1), range(len(forms[0][1]))
     match: dict[int, int] = {}
     for h, r in forms:
-        at: dict = {}
-        for j in rfree:
-            at.setdefault(r[j], []).append(j)
-        rest = []
-        for i in hfree:
-            free = at.get(h[i])
-            if free:
-                match[i] = free.pop()
-            else:
-                rest.append(i)
-        hfree, rfree = rest, sorted(j for free in at.values() for j in free)
+        hfree, rfree = _take_equal(hfree, rfree, h, r, match)
+    if groups:
+        _take_grouped(hfree, rfree, *forms[-1], groups, match)
     chunks = sum(1 for i, j in match.items() if match.get(i - 1) != j - 1)
     return [len(match), chunks]
 
 
 @pandas_udf(T.ArrayType(T.IntegerType()))
 def _meteor_counts(forms: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Columns: the hypothesis's and the reference's forms, stage by stage."""
-    for cols in forms:
+    """Columns: the pair's lexicon entries (words and their groups), then the
+    hypothesis's and the reference's forms, stage by stage."""
+    for words, groups, *cols in forms:
         out = []
-        for row in zip(*cols):
+        for w, g, *row in zip(words, groups, *cols):
             if any(x is None for x in row):
                 out.append(None)
             else:
-                out.append(_matches_chunks([(row[k], row[k + 1]) for k in range(0, len(row), 2)]))
+                known = {} if w is None else {x: list(y) for x, y in zip(w, g)}
+                out.append(_matches_chunks([(row[k], row[k + 1]) for k in range(0, len(row), 2)], known))
         yield pd.Series(out, dtype=object)
 
 
+def _lexicon_entries(base: DataFrame, key: list[str], lexicon: DataFrame, h: str, r: str) -> DataFrame:
+    """Adds ``_lw`` and ``_lg``: the pair's forms that the lexicon has, and
+    the groups of each.
+
+    The lexicon becomes one row per word with its set of groups, repeated
+    per salt; the distinct forms of a pair take the salt of its key, so a
+    form in most pairs is dealt over tasks."""
+    sets = lexicon.groupBy(F.col("word").alias("token")).agg(F.collect_set("group").alias("_g")) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    forms = F.array_distinct(F.concat(F.col(h), F.col(r)))
+    toks = base.select(*key, F.explode(forms).alias("token")).withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    found = toks.join(sets, ["token", "_salt"]).groupBy(*key).agg(F.collect_list(F.struct("token", "_g")).alias("_l"))
+    return base.join(found.select(*key, F.col("_l.token").alias("_lw"), F.col("_l._g").alias("_lg")), key, "left")
+
+
 def meteor(df: DataFrame, key: list[str], hyp: str, ref: str,
-           stems: DataFrame | Callable[[Column], Column] | None = None,
-           synonyms: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
+           stems: DataFrame | Callable[[Column], Column] | PorterStems | None = None,
+           synonyms: DataFrame | Callable[[Column], Column] | None = None,
+           lexicon: DataFrame | None = None) -> DataFrame:
     """METEOR per pair (J-4): columns ``key`` and ``meteor``.
 
     Both token lists of a pair are in its row; one Arrow UDF pairs them
     stage by stage (exact, stems, synonyms of stems) and counts matches and
     chunks, so nothing is shuffled unless a stage is given as a table.
-    NULL where a text is NULL or has no tokens."""
+    ``synonyms`` gives one form per stem; ``lexicon`` (word, group) any
+    number of groups per stem. NULL where a text is NULL or has no tokens."""
     base = df.select(*key, meteor_tokens(F.col(hyp)).alias("_h0"), meteor_tokens(F.col(ref)).alias("_r0"))
     at = 0
     for table, dst in ((stems, "stem"), (synonyms, "synonym")):
         if table is not None:
             base = _mapped(base, key, table, "word", dst, {f"_h{at}": f"_h{at + 1}", f"_r{at}": f"_r{at + 1}"})
             at += 1
+    if lexicon is not None:
+        base = _lexicon_entries(base, key, lexicon, f"_h{at}", f"_r{at}")
+        entries = [F.col("_lw"), F.col("_lg")]
+    else:
+        entries = [F.lit(None).cast("array<string>"), F.lit(None).cast("array<array<string>>")]
     w = base.select(*key, F.size("_h0").alias("_hl"), F.size("_r0").alias("_rl"),
-                    _meteor_counts(*[F.col(f"_{side}{k}") for k in range(at + 1) for side in "hr"]).alias("_mc"))
+                    _meteor_counts(*entries, *[F.col(f"_{side}{k}") for k in range(at + 1) for side in "hr"]).alias("_mc"))
     m = F.col("_mc")[0].cast("double")
     p, rc = m / F.col("_hl"), m / F.col("_rl")
     a = F.lit(METEOR_ALPHA)

@@ -137,22 +137,25 @@ def _rouge_n_sql(n: int) -> str:
 # its places in the reference; v + (v & mask) carries over the limbs.
 LIMB = 120
 
-_view("ref_masks", ("summary_words",), f"""
+_SUM = "(v[j] + (v[j] & m[j]) + s.c)"
+_FULL = f"((1::HUGEINT << {LIMB}) - 1)"
+
+
+def lcs_views(source: str, masks: str, lengths: str) -> None:
+    """LCS lengths of hw and rw of ``source`` (rw is the same for all models)."""
+    _view(masks, (source,), f"""
 SELECT n.dialogue_id, n.w, list(coalesce(b.mask, 0::HUGEINT) ORDER BY n.limb) AS mask
 FROM (SELECT dialogue_id, w, unnest(range(0, (any_value(n) + {LIMB - 1}) // {LIMB})) AS limb
-      FROM (SELECT dialogue_id, len(rw) AS n, unnest(rw) AS w FROM summary_words WHERE model_id = '{MODEL_IDS[0]}')
+      FROM (SELECT dialogue_id, len(rw) AS n, unnest(rw) AS w FROM {source} WHERE model_id = '{MODEL_IDS[0]}')
       GROUP BY dialogue_id, w) n
 LEFT JOIN (SELECT dialogue_id, w, p // {LIMB} AS limb, bit_or(1::HUGEINT << CAST(p % {LIMB} AS INTEGER)) AS mask
-           FROM (SELECT dialogue_id, unnest(rw) AS w, unnest(range(0, len(rw))) AS p FROM summary_words
+           FROM (SELECT dialogue_id, unnest(rw) AS w, unnest(range(0, len(rw))) AS p FROM {source}
                  WHERE model_id = '{MODEL_IDS[0]}')
            GROUP BY ALL) b
 ON n.dialogue_id = b.dialogue_id AND n.w = b.w AND n.limb = b.limb
 GROUP BY n.dialogue_id, n.w""")
 
-_SUM = "(v[j] + (v[j] & m[j]) + s.c)"
-_FULL = f"((1::HUGEINT << {LIMB}) - 1)"
-
-_view("lcs_lengths", ("summary_words", "ref_masks"), f"""
+    _view(lengths, (source, masks), f"""
 SELECT dialogue_id, model_id,
        n - CAST(list_sum(list_transform(range(1, len(v) + 1), lambda j:
            bit_count(v[j] & CASE WHEN j * {LIMB} <= n THEN {_FULL}
@@ -164,10 +167,13 @@ FROM (SELECT dialogue_id, model_id, n, list_reduce(ms, lambda v, m:
         list_transform(range(0, (n + {LIMB - 1}) // {LIMB}), lambda q: {_FULL})) AS v
       FROM (SELECT h.dialogue_id, h.model_id, any_value(h.n) AS n, list(k.mask ORDER BY h.p) AS ms
             FROM (SELECT dialogue_id, model_id, len(rw) AS n, unnest(hw) AS w, unnest(range(0, len(hw))) AS p
-                  FROM summary_words) h
-            JOIN ref_masks k ON h.dialogue_id = k.dialogue_id AND h.w = k.w
+                  FROM {source}) h
+            JOIN {masks} k ON h.dialogue_id = k.dialogue_id AND h.w = k.w
             GROUP BY h.dialogue_id, h.model_id))""")
 
+
+lcs_views("summary_words", "ref_masks", "lcs_lengths")
+
 _view("rouge_n", ("summary_words",), f"""
 SELECT *, {_rouge_n_sql(1)} AS rouge_1, {_rouge_n_sql(2)} AS rouge_2
 FROM (SELECT *, len(g1) AS h1, len(q1) AS r1, len(g1) + len(q1) - len(list_distinct(g1 || q1)) AS o1,

@@ -172,6 +172,18 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_summaries(summary_pairs(spark, sf_dir), ["dialogue_id", "model_id"], make_embedder=HashEmbedder)
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of like words, made from the corpus's vocabulary: a stem of
+    five signs or more is in the group of its first four and of its last
+    four. Stands in for a thesaurus (word, group)."""
+    from parley.functions.stem import porter_column
+    from parley.functions.text import meteor_tokens
+    words_ = dialogues(spark, sf_dir).select(F.explode(F.array_distinct(meteor_tokens("actual_summary"))).alias("w")).distinct()
+    stems = words_.select(porter_column(F.col("w")).alias("word")).where(F.length("word") >= 5).distinct()
+    groups = F.array(F.concat(F.lit("a"), F.left("word", F.lit(4))), F.concat(F.lit("z"), F.right("word", F.lit(4))))
+    return stems.select("word", F.explode(groups).alias("group"))
+
+
 def chunks(spark: SparkSession, sf_dir: str, max_length: int = 1024) -> DataFrame:
     """One row per chunk of each dialogue (I-2)."""
     d = dialogues(spark, sf_dir).select("dialogue_id", "dialogue_text")
