@@ -65,7 +65,8 @@ def test_entry_and_registry(spark):
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     from parley.plans import ORACLES, QUERIES
-    assert set(QUERIES) <= set(qs) and set(QUERIES) == set(ORACLES)
+    # too slow in SQL on whole tables; test_scores.py holds it against brute force
+    assert set(QUERIES) <= set(qs) and set(QUERIES) == set(ORACLES) | {"j2_rouge_l_union"}
 
 
 def test_placeholder_label_distribution(spark):
