@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import chunking as CH
 from parley.operators import classification as C
+from parley.operators import generate as G
 from parley.operators.quality import check_constraints
 from parley.functions.parse import extract_sentiment
 from parley.functions.text import words
@@ -18,6 +19,7 @@ from parley.session import fresh_path
 from parley.sources import files as FI
 from parley.sources import fixtures as X
 from parley.sources import sinks as SK
+from parley.sources.ranges import RangeRun, RangeTable
 
 KEY = ["dialogue_id", "model_id"]
 
@@ -204,6 +206,45 @@ def q_upsert(spark, sf):
     return SK.upsert_labels(d, new).select("dialogue_id", "actual_sentiment")
 
 
+@query("a14_upsert_in_place", with_views("""
+SELECT d.dialogue_id, d.dataset, d.topic, coalesce(s.generated_sentiment, d.actual_sentiment) AS actual_sentiment
+FROM dialogues d LEFT JOIN (SELECT s.dialogue_id, s.generated_sentiment FROM sentiments s
+                            JOIN dialogues d2 ON s.dialogue_id = d2.dialogue_id
+                            WHERE s.model_id = 'mistral 7b' AND d2.dataset = 'test') s
+  ON d.dialogue_id = s.dialogue_id""", "dialogues", "sentiments"))
+def q_upsert_in_place(spark, sf):
+    """The same labels written into a stored table of 20 ranges; the upsert
+    is run again, which writes nothing."""
+    d = X.dialogues(spark, sf).select("dialogue_id", "dataset", "topic", "actual_sentiment")
+    new = (X.sentiments(spark, sf).where(F.col("model_id") == "mistral 7b")
+           .join(d.where(F.col("dataset") == "test").select("dialogue_id"), "dialogue_id", "left_semi")
+           .select("dialogue_id", F.col("generated_sentiment").alias("actual_sentiment")))
+    table = RangeTable(spark, fresh_path(spark, "dialogues"))
+    table.create(d, "dialogue_id", 20)
+    for _ in range(2):
+        table.upsert(new, "dialogue_id", ["actual_sentiment"])
+    return table.read()
+
+
+@query("a7_resumable_ranges", with_views(f"""
+SELECT dialogue_id, CAST(ntile(5) OVER (ORDER BY dialogue_id) - 1 AS INTEGER) AS batch_id,
+       CASE (length(dialogue_text) + {len(G.TEACHER_PROMPT) - 2}) % 3
+            WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS output
+FROM dialogues""", "dialogues"))
+def q_resumable(spark, sf):
+    """Generation over five key ranges, stopped after two and gone on with
+    by a second run, which takes up the first one's log."""
+    d = X.dialogues(spark, sf).select("dialogue_id", "dialogue_text")
+    path = fresh_path(spark, "generated")
+
+    def work(part):
+        return G.generate(G.render_prompt(part, template=G.TEACHER_PROMPT), G.LengthTeacher()).select("dialogue_id", "output")
+    RangeRun(spark, path).run(d, "dialogue_id", work, 5, at_most=2)
+    again = RangeRun(spark, path)
+    again.run(d, "dialogue_id", work, 5)
+    return again.result().select("dialogue_id", "batch_id", "output")
+
+
 @query("a15_register_models", with_views("""
 SELECT model_id FROM (VALUES """ + ", ".join(f"('{m}')" for m in MODEL_IDS + ("mpt 7b",)) + """) t(model_id)
 WHERE model_id NOT IN (SELECT DISTINCT model_id FROM sentiments)""", "sentiments"))

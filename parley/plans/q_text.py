@@ -244,6 +244,31 @@ def q_teacher(spark, sf):
     return upsert_labels(d, lab).select("dialogue_id", "actual_sentiment")
 
 
+@query("i5_labels_in_parts", with_views(f"""
+SELECT d.dialogue_id, coalesce(t.label, d.actual_sentiment) AS actual_sentiment, t.batch_id
+FROM dialogues d LEFT JOIN (
+  SELECT dialogue_id, CAST(ntile(13) OVER (ORDER BY dialogue_id) - 1 AS INTEGER) AS batch_id,
+         CASE (length(dialogue_text) + {len(G.TEACHER_PROMPT) - 2}) % 3
+              WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS label
+  FROM dialogues WHERE len({words('dialogue_text')}) < 512) t
+ON d.dialogue_id = t.dialogue_id""", "dialogues"))
+def q_labels_in_parts(spark, sf):
+    """Teacher labels in 13 resumable parts, recombined and written back
+    over the existing labels."""
+    from parley.functions.text import word_count
+    from parley.schemas import TEACHER_MAX_WORDS
+    from parley.session import fresh_path
+    from parley.sources.ranges import RangeRun
+    from parley.sources.sinks import upsert_labels
+    d = X.dialogues(spark, sf)
+    fit = d.where(word_count("dialogue_text") < TEACHER_MAX_WORDS).select("dialogue_id", "dialogue_text")
+    run = RangeRun(spark, fresh_path(spark, "labelled"))
+    run.run(fit, "dialogue_id", lambda part: G.teacher_label(part, G.LengthTeacher()), 13)
+    lab = run.result()
+    out = upsert_labels(d.select("dialogue_id", "actual_sentiment"), lab)
+    return out.join(lab.select("dialogue_id", "batch_id"), "dialogue_id", "left")
+
+
 @query("i10_run_cost", with_views("""
 SELECT model_id,
        round(arg_min(mem_before, dialogue_id), 6) AS first_mem_before,

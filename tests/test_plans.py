@@ -6,7 +6,8 @@ SF = "/root/testdata/sf0.001"
 # queries that write files while they are built are covered elsewhere
 WRITES = {"a1_read_dialogue_csv", "a5_scan_table", "a6_read_results_csv", "a7_append_batches", "a8_write_csv",
           "a9_append_table", "a9_append_summaries", "a11_recreate_table", "a12_bulk_load", "a16_run_metrics",
-          "k1_annotate_stream", "k1_requests_stream"}
+          "k1_annotate_stream", "k1_requests_stream", "a7_resumable_ranges",
+          "a14_upsert_in_place", "i5_labels_in_parts"}
 # must be fully JVM-side (no Python evaluation nodes)
 NATIVE = ["e11_sentiment_metrics", "e12_confusion_matrix", "e13_class_metrics", "i7_extract_sentiment",
           "i2_split_dialogue", "j1_rouge_n", "e5_duplicate_dialogues",
