@@ -10,80 +10,71 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import normalise_text, space_words
 from parley.operators.shaping import join_groups
-from parley.session import cut_lineage
+from parley.session import stored
 from parley.schemas import IQR_FACTOR, KDE_CUT, KDE_POINTS, READERS, READING_WPM
 
 
 # -- exact quantiles -----------------------------------------------------------
 
-def _value_at_rank(vc: DataFrame, keys: list[str], ranks: DataFrame, buckets: int,
-                   levels: int) -> DataFrame:
-    """Value of 0-based rank ``_r`` per group: (keys, _r, _v).
-
-    ``vc`` holds distinct values with counts (keys, v, c). Each level cuts
-    the candidate values of a (group, rank) into ``buckets`` ranges from
-    approximate boundaries (a mergeable sketch, so no task holds a group),
-    counts per range, and keeps only the range holding the wanted rank.
-    After ``levels`` levels a window per (group, rank) finds the exact value
-    among about distinct / buckets**levels candidates.
-    """
-    gk = list(keys) + ["_r"]
-    cand = join_groups(vc, ranks, keys, ["v"]).withColumn("_rel", F.col("_r"))
-    fr = [i / buckets for i in range(1, buckets)]
-    for _ in range(levels):
-        bounds = cand.groupBy(*gk).agg(F.percentile_approx("v", fr, 10000).alias("_bnd"))
-        cb = join_groups(cand, bounds, gk, ["v"]).withColumn(
-            "_b", F.size(F.filter(F.col("_bnd"), lambda x: x < F.col("v")))).drop("_bnd")
-        bstat = cb.groupBy(*gk, "_b").agg(F.sum("c").alias("_bc"), F.first("_rel").alias("_rel"))
-        w = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        bstat = bstat.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-        target = bstat.where((F.col("_before") <= F.col("_rel")) &
-                             (F.col("_rel") < F.col("_before") + F.col("_bc")))
-        cand = (cb.drop("_rel").join(target.select(*gk, "_b", "_before", "_rel"), gk + ["_b"])
-                  .withColumn("_rel", F.col("_rel") - F.col("_before")).drop("_b", "_before"))
-    w2 = Window.partitionBy(*gk).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cand.withColumn("_cum", F.sum("c").over(w2))
-    hit = run.where((F.col("_cum") - F.col("c") <= F.col("_rel")) & (F.col("_rel") < F.col("_cum")))
-    return hit.select(*gk, F.col("v").alias("_v"))
-
-
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, v, c): distinct non-NULL, non-NaN values per group with their
-    counts, computed in one pass and written to the shared checkpoint
-    folder, so later branches neither recompute the input nor carry its
-    plan."""
+def value_counts(df: DataFrame, keys: list[str], value: str, slices: int | None = None) -> DataFrame:
+    """(keys, v, c, _slice): distinct non-NULL, non-NaN values per group
+    with their counts, computed in one pass and stored by ranges of (keys,
+    v), so later branches neither recompute the input nor carry its plan.
+    ``_slice`` numbers the ranges upwards."""
     v = df.select(*keys, F.col(value).cast("double").alias("v"))
     v = v.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return cut_lineage(v.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+    return _sliced(v.groupBy(*keys, "v").agg(F.count("*").alias("c")), keys, slices)
+
+
+def _sliced(vc: DataFrame, keys: list[str], slices: int | None = None) -> DataFrame:
+    by = [*keys, "v"]
+    run = vc.repartitionByRange(*([slices] if slices else []), *by).sortWithinPartitions(*by)
+    return stored(run.withColumn("_slice", F.spark_partition_id()), "value-counts")
+
+
+def _values_at(vc: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """Values of 0-based ranks (keys, _r): (keys, _r, _v).
+
+    A group's slices are in order, so running sums over one count per
+    (group, slice) tell which slice holds a rank; all ranks are then picked
+    in the same pass over the slices that hold one."""
+    sums = vc.groupBy(*keys, "_slice").agg(F.sum("c").alias("_sc"))
+    sums = sums.withColumn("_upto", F.sum("_sc").over(Window.partitionBy(*keys).orderBy("_slice")))
+    first = F.col("_upto") - F.col("_sc")
+    held = (ranks.join(sums, keys).where((first <= F.col("_r")) & (F.col("_r") < F.col("_upto")))
+            .groupBy(*keys, "_slice").agg(F.collect_list(F.struct("_r", (F.col("_r") - first).alias("at"))).alias("_want")))
+    run = vc.join(held, [*keys, "_slice"]).withColumn("_cum", F.sum("c").over(Window.partitionBy(*keys, "_slice").orderBy("v")))
+    here = F.filter("_want", lambda x: (F.col("_cum") - F.col("c") <= x["at"]) & (x["at"] < F.col("_cum")))
+    return run.select(*keys, "v", F.explode(here).alias("_x")).select(*keys, F.col("_x._r").alias("_r"), F.col("v").alias("_v"))
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    buckets: int = 256, levels: int = 1, counts: DataFrame | None = None) -> DataFrame:
+                    buckets: int | None = None, levels: int = 1, counts: DataFrame | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order
     statistics (numpy 'linear', Spark ``percentile``, DuckDB
     ``quantile_cont``): one row per group, one column per name in
     ``probs``. NULL and NaN values are ignored.
 
-    Values are first reduced to (group, value, count) (``value_counts``;
-    pass ``counts`` to reuse one); ``_value_at_rank`` then finds the order
-    statistics, at every size alike: a task holds at most about one
-    ``buckets ** levels``-th of a group's distinct values.
+    Values are first reduced to (group, value, count) in range slices
+    (``value_counts``; pass ``counts`` to reuse one); the order statistics
+    of all groups are then picked in one pass (``_values_at``). A task holds
+    one slice: ``buckets ** levels`` of them are made, or as many as the
+    session's shuffle partitions.
     """
-    vc = counts if counts is not None else value_counts(df, keys, value)
+    slices = buckets ** levels if buckets else None
+    vc = value_counts(df, keys, value, slices) if counts is None else counts
+    if "_slice" not in vc.columns:
+        vc = _sliced(vc, keys, slices)
     per = vc.groupBy(*keys).agg(F.sum("c").alias("_n"))
-    parr = F.array(*[F.lit(float(p)) for p in probs.values()])
-    t = per.select(*keys, "_n", F.posexplode(parr).alias("_pi", "_p"))
-    pos = F.col("_p") * (F.col("_n") - 1)
-    t = t.select(*keys, "_pi", F.floor(pos).cast("long").alias("_lo"),
-                 F.ceil(pos).cast("long").alias("_hi"), (pos - F.floor(pos)).alias("_frac"))
-    ranks = t.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = _value_at_rank(vc, keys, ranks, buckets, levels)
-    lo = vals.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = vals.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    q = (t.join(lo, keys + ["_lo"]).join(hi, keys + ["_hi"])
-          .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
-                                  for i, name in enumerate(probs)])
+    at = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in probs.items()}
+    ends = F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)])
+    ranks = per.select(*keys, F.explode(F.array_distinct(ends)).alias("_r"))
+    found = _values_at(vc, keys, ranks).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_vals"))
+    out = {}
+    for name, x in at.items():
+        lo, hi = (F.element_at("_vals", f(x).cast("long")) for f in (F.floor, F.ceil))
+        out[name] = lo + (x - F.floor(x)) * (hi - lo)
+    return per.join(found, keys).select(*keys, *[c.alias(name) for name, c in out.items()])
 
 
 def moments(vc: DataFrame, keys: list[str]) -> DataFrame:
