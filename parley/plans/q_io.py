@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parley.operators import chunking as CH
 from parley.operators import classification as C
 from parley.operators import generate as G
-from parley.operators.quality import check_constraints
+from parley.operators.quality import check_constraints, check_declared
 from parley.functions.parse import extract_sentiment
 from parley.functions.text import words
 from parley.plans.oracle_views import with_views
@@ -190,6 +190,67 @@ def q_constraints(spark, sf):
     return check_constraints(d.unionByName(conv), s, m)
 
 
+def _declared_sql() -> str:
+    """The five tables with planted faults, and one count per rule."""
+    from parley.schemas import DECLARED, LABEL_DOMAINS
+    key = {t: c for t, c, rule, _ in DECLARED if rule == "primary_key"}
+    counts = []
+    for t, c, rule, v in DECLARED + LABEL_DOMAINS:
+        broken = {"not_null": f"{c} IS NULL", "max_length": f"length({c}) > {v}", "primary_key": f"{c} IS NULL",
+                  "domain": f"{c} IS NOT NULL AND {c} NOT IN ('negative', 'neutral', 'positive')",
+                  "foreign_key": f"{c} IS NOT NULL AND {c} NOT IN (SELECT {key.get(v)} FROM t_{v} WHERE {key.get(v)} IS NOT NULL)"}[rule]
+        name = f"not_null:{c}" if rule == "primary_key" else f"foreign_key:{c}->{v}" if rule == "foreign_key" else f"{rule}:{c}"
+        counts.append(f"SELECT '{t}' AS table_name, '{name}' AS \"check\", CAST(count(*) AS BIGINT) AS n_violations FROM t_{t} WHERE {broken}")
+        if rule == "primary_key":
+            counts.append(f"SELECT '{t}', 'primary_key:{c}', CAST(count({c}) - count(DISTINCT {c}) AS BIGINT) FROM t_{t}")
+    return """
+WITH t_dialogues AS (
+  SELECT CASE WHEN dialogue_id % 83 = 5 THEN dialogue_id - 1 ELSE dialogue_id END AS dialogue_id,
+         CASE WHEN dialogue_id % 97 = 0 THEN dataset || '-with-a-long-name' ELSE dataset END AS dataset, dialogue_text,
+         CASE WHEN dialogue_id % 89 <> 0 THEN actual_summary END AS actual_summary, actual_sentiment FROM dialogues),
+t_summaries AS (
+  SELECT CASE WHEN dialogue_id % 101 <> 0 THEN dialogue_id * 8 + model_no END AS summary_id,
+         CASE WHEN dialogue_id % 71 = 0 THEN -1 - dialogue_id WHEN dialogue_id % 71 <> 1 THEN dialogue_id END AS dialogue_id,
+         CASE WHEN (dialogue_id + model_no) % 113 = 0 THEN 'unknown ' || repeat('x', 60) ELSE model_id END AS model_id
+  FROM raw_outputs),
+t_sentiments AS (
+  SELECT dialogue_id * 8 AS sentiment_id, dialogue_id, model_id,
+         CASE WHEN dialogue_id % 61 = 0 THEN 'very ' || generated_sentiment ELSE generated_sentiment END AS generated_sentiment
+  FROM sentiments),
+t_models AS (SELECT model_id FROM models UNION ALL SELECT 'mistral 7b'),
+t_sentiment_evaluation AS (
+  SELECT CAST(length(model_id) AS BIGINT) AS evaluation_id, CASE WHEN n > 0 THEN model_id || '!' ELSE model_id END AS model_id
+  FROM (SELECT model_id, count(*) FILTER (WHERE dialogue_id IS NULL) AS n FROM sentiments GROUP BY model_id))
+""" + "\nUNION ALL ".join(counts)
+
+
+@query("a13_declared_constraints", with_views(_declared_sql(), "dialogues", "raw_outputs", "sentiments", "models"))
+def q_declared(spark, sf):
+    """Every declared rule of all five tables, with planted faults: repeated,
+    missing and unknown keys, texts over their length, labels outside the
+    domain. The models are a registry: a literal set."""
+    did = F.col("dialogue_id")
+    d = X.dialogues(spark, sf)
+    td = d.select(F.when(did % 83 == 5, did - 1).otherwise(did).alias("dialogue_id"),
+                  F.when(did % 97 == 0, F.concat("dataset", F.lit("-with-a-long-name"))).otherwise(F.col("dataset")).alias("dataset"),
+                  "dialogue_text", F.when(did % 89 != 0, F.col("actual_summary")).alias("actual_summary"), "actual_sentiment")
+    ts = X.raw_outputs(spark, sf).select(
+        F.when(did % 101 != 0, did * 8 + F.col("model_no")).alias("summary_id"),
+        F.when(did % 71 == 0, -1 - did).when(did % 71 != 1, did).alias("dialogue_id"),
+        F.when((did + F.col("model_no")) % 113 == 0, F.concat(F.lit("unknown "), F.repeat(F.lit("x"), 60)))
+        .otherwise(F.col("model_id")).alias("model_id"))
+    sent = X.sentiments(spark, sf)
+    tn = sent.select((did * 8).alias("sentiment_id"), "dialogue_id", "model_id",
+                     F.when(did % 61 == 0, F.concat(F.lit("very "), F.col("generated_sentiment")))
+                     .otherwise(F.col("generated_sentiment")).alias("generated_sentiment"))
+    tm = spark.createDataFrame([(m,) for m in (*MODEL_IDS, MODEL_IDS[0])], "model_id string")
+    te = sent.groupBy("model_id").agg(F.count_if(did.isNull()).alias("n")).select(
+        F.length("model_id").cast("long").alias("evaluation_id"),
+        F.when(F.col("n") > 0, F.concat("model_id", F.lit("!"))).otherwise(F.col("model_id")).alias("model_id"))
+    return check_declared({"dialogues": td, "models": tm, "summaries": ts, "sentiments": tn, "sentiment_evaluation": te},
+                          registries={"models": MODEL_IDS})
+
+
 @query("a14_upsert_labels", with_views("""
 SELECT d.dialogue_id, coalesce(s.generated_sentiment, d.actual_sentiment) AS actual_sentiment
 FROM dialogues d LEFT JOIN (SELECT s.dialogue_id, s.generated_sentiment FROM sentiments s

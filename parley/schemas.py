@@ -142,3 +142,29 @@ RESULT_CSV = T.StructType([
     T.StructField("time_taken", T.DoubleType(), True),
     T.StructField("memory_usage", T.DoubleType(), True),
 ])
+
+# Constraints of the five tables, as declared: (table, column, rule, value).
+DECLARED = (
+    ("dialogues", "dialogue_id", "primary_key", None),
+    ("dialogues", "dataset", "not_null", None),
+    ("dialogues", "dataset", "max_length", 10),
+    ("dialogues", "dialogue_text", "not_null", None),
+    ("dialogues", "actual_summary", "not_null", None),
+    ("dialogues", "actual_sentiment", "max_length", 8),
+    ("models", "model_id", "primary_key", None),
+    ("models", "model_id", "max_length", 50),
+    ("summaries", "summary_id", "primary_key", None),
+    ("summaries", "dialogue_id", "foreign_key", "dialogues"),
+    ("summaries", "model_id", "foreign_key", "models"),
+    ("summaries", "model_id", "max_length", 50),
+    ("sentiments", "sentiment_id", "primary_key", None),
+    ("sentiments", "dialogue_id", "foreign_key", "dialogues"),
+    ("sentiments", "model_id", "foreign_key", "models"),
+    ("sentiments", "model_id", "max_length", 50),
+    ("sentiments", "generated_sentiment", "max_length", 8),
+    ("sentiment_evaluation", "evaluation_id", "primary_key", None),
+    ("sentiment_evaluation", "model_id", "foreign_key", "models"),
+    ("sentiment_evaluation", "model_id", "max_length", 50),
+)
+# Rules that the tables do not declare but the pipeline relies on.
+LABEL_DOMAINS = (("dialogues", "actual_sentiment", "domain", LABELS), ("sentiments", "generated_sentiment", "domain", LABELS))
