@@ -16,12 +16,14 @@ is the path of a vocabulary file that every executor can read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +32,121 @@ from parley.llm import textvec as tv
 END = 1
 #: Words whose ids a Python worker keeps; beyond it starts anew.
 CACHE_WORDS = 600_000
-_cache: dict[str, tuple] = {}
+_cache: dict[str, Encoder] = {}
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
 
-def encoder(path: str):
-    """text -> bytes of little-endian 32-bit ids. No token of these
+#: Words that are normalised and split as one text.
+CALL_WORDS = 512
+
+
+class Encoder:
+    """Texts to ids. No token of these
     vocabularies holds white space, so runs between ASCII white space are
-    encoded by themselves and remembered, within a bound."""
-    if path not in _cache:
+    encoded by themselves and remembered, within a bound.
+
+    New words of a batch of documents go through the vocabulary's own
+    stages: its normaliser and its splitter, many words as one text, then
+    its model, once per distinct piece. For words of visible ASCII signs
+    the first two amount to lower case and the splitter's pattern, if the
+    vocabulary is of that kind. Words that hold an added token are encoded
+    as they are."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _cache[path] = (Tokenizer.from_file(path), {})
-    tok, known = _cache[path]
+        self.tok = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pattern = _ascii_pattern(json.loads(self.tok.to_str()))
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        new = [w for w in set(words) if w not in known]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, one after the other, and where each
+        text's begin (and the last end); a null counts as empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+            self.pieces.clear()
+        new = [w for w in words if w not in self.known]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-    return encode
+            self._learn(new)
+        ids = [self.known[w] for w in words]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return out, bounds
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = np.array([t.id for t in self.tok.model.tokenize(piece)], "<u4").tobytes()
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        rest, whole, known = words, [], self.known
+        text = " ".join(words)
+        if any(x in text for x in self.added):
+            whole = [w for w in words if any(x in w for x in self.added)]
+            rest = sorted(set(words).difference(whole))
+        if self.pattern:
+            piece, find = self._piece, self.pattern.findall
+            for w in rest:
+                if w.isascii() and w.isprintable():
+                    known[w] = b"".join(map(piece, find(w.lower())))
+            rest = [w for w in rest if w not in known]
+        for k in range(0, len(rest), CALL_WORDS):
+            part = rest[k:k + CALL_WORDS]
+            text = " ".join(part)
+            if self.tok.normalizer is not None:
+                text = self.tok.normalizer.normalize_str(text)
+            normal = text.split(" ")
+            if len(normal) != len(part) or self.tok.pre_tokenizer is None:
+                whole += part                                   # other white space within a word
+                continue
+            own: list[list[bytes]] = [[] for _ in part]
+            ends = np.cumsum([len(t) + 1 for t in normal])
+            found = self.tok.pre_tokenizer.pre_tokenize_str(text)
+            for i, (piece, _) in zip(np.searchsorted(ends, [at[0] for _, at in found], "right").tolist(), found):
+                own[i].append(self._piece(piece))
+            for w, ids in zip(part, own):
+                known[w] = b"".join(ids)
+        for w, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def _ascii_pattern(config: dict):
+    """The splitter's pattern, if normalising leaves visible ASCII signs but
+    for their case, and nothing else splits or maps them; else None."""
+    stages = lambda c, many: [] if c is None else c[many] if c["type"] == "Sequence" else [c]
+    normal = stages(config["normalizer"], "normalizers")
+    split = stages(config["pre_tokenizer"], "pretokenizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"}) for n in normal)
+    if not plain or not any(n["type"] == "Lowercase" for n in normal) or [x["type"] for x in split] != ["Split", "ByteLevel"]:
+        return None
+    first, second = split
+    if (first["behavior"], first["invert"], "Regex" in first["pattern"]) != ("Removed", True, True):
+        return None
+    if second["add_prefix_space"] or second["use_regex"]:
+        return None
+    import regex
+    return regex.compile(first["pattern"]["Regex"])
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary."""
+    if path not in _cache:
+        _cache[path] = Encoder(path)
+    return _cache[path]
 
 
 class LevelPacker:
@@ -175,8 +265,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = Tru
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for window in packer.add(doc, encode(text.as_py() or "") + end):
+            ids, at = encode(b.column(1))
+            for doc, s, e in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                for window in packer.add(doc, ids[s:e].tobytes() + end):
                     put(window)
                 if len(rows) >= 2000:
                     yield out()
