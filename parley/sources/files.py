@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.schemas import DIALOGUE_CSV, RESULT_CSV, RESULT_STYLE_2, SPLIT_ALIASES
+from parley.sources.splitcsv import read_csv
 
 # CSV options that round-trip long texts with newlines, quotes and edge
 # whitespace.
@@ -17,9 +18,10 @@ CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
 def read_dialogue_csv(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
     """A-1: labelled split (id, dialogue, summary, topic, sentiment) or an
     unlabelled one (no sentiment column -> NULL). Schema is given, never
-    inferred (inference scans the data twice)."""
+    inferred (inference scans the data twice). Large files are read by
+    splits, although their texts hold line ends and quotes."""
     schema = DIALOGUE_CSV if labelled else T.StructType(DIALOGUE_CSV.fields[:4])
-    df = spark.read.options(**CSV_READ).schema(schema).csv(path)
+    df = read_csv(spark, path, schema, CSV_READ)
     if not labelled:
         df = df.withColumn("sentiment", F.lit(None).cast("string"))
     return df
@@ -43,8 +45,11 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     """A-6: a model result file in either header style, normalised to
-    (dialogue_id, summary, time_taken, memory_usage)."""
-    raw = spark.read.options(**CSV_READ).option("inferSchema", "false").csv(path)
+    (dialogue_id, summary, time_taken, memory_usage). The header gives the
+    names; the file itself is read by splits."""
+    names = spark.read.options(**CSV_READ).option("inferSchema", "false").csv(path).columns
+    raw = read_csv(spark, path, T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]), CSV_READ) \
+        .toDF(*names)
     renamed = raw.withColumnsRenamed({k: v for k, v in RESULT_STYLE_2.items() if k in raw.columns})
     return renamed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_CSV.fields])
 
