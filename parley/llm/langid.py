@@ -224,7 +224,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, lang and whatever else) without the
     rows whose language is not told. The rejected rows' keys are written
     first, so Spark knows their size when it plans the join."""
-    key = F.xxhash64("doc_id", "source", "text")
-    rows = from_documents(docs).withColumn("key", F.xxhash64("row_id", "host", "text"))
-    rejected = stored(identify(rows, fit_text_model(docs), ("key",)).where("rejected").select("key").distinct(), "rejected")
-    return docs.join(rejected, key == rejected["key"], "left_anti")
+    def key(*parts):                        # 128 bits of the columns as ``from_documents`` has them
+        return {"key_a": F.xxhash64(F.lit(1), *parts), "key_b": F.xxhash64(F.lit(2), *parts)}
+
+    rows = from_documents(docs).withColumns(key("row_id", "host", "text"))
+    found = identify(rows, fit_text_model(docs), ("key_a", "key_b")).where("rejected")
+    rejected = stored(found.select("key_a", "key_b").distinct(), "rejected")
+    own = key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return docs.join(rejected, (own["key_a"] == rejected["key_a"]) & (own["key_b"] == rejected["key_b"]), "left_anti")

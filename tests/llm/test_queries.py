@@ -381,6 +381,11 @@ def test_language_stage_keeps_clean_rows(spark, odd):
     assert out.columns == odd.columns
     ids = {r.doc_id for r in out.collect()}
     assert not ids & {300, 301, 302} and 308 in ids and len(ids) > 60
+    # ids that are not long, and columns of the key's names, change nothing
+    for kind in ("int", "string"):
+        other = odd.where("lang is not null or text is null or text = ''").withColumn("doc_id", F.col("doc_id").cast(kind)) \
+            .withColumnRenamed("bucket", "key_a")
+        assert {None if r.doc_id is None else int(r.doc_id) for r in langid.keep_identified(other).collect()} == ids
 
 
 def test_language_query(spark):
