@@ -31,7 +31,7 @@ from parley.llm import textvec as tv
 
 END = 1
 #: Words whose ids a Python worker keeps; beyond it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _cache: dict[str, Encoder] = {}
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
