@@ -83,6 +83,14 @@ def extract_summary(c, variant: str = "first_line") -> Column:
     raise ValueError(f"unknown summary variant {variant!r}")
 
 
+def strip_prompt(c, prompt) -> Column:
+    """Raw output without the prompt that it repeats at its start, so that
+    a marker inside the dialogue is not taken for the answer's; unchanged
+    where it does not start with the prompt."""
+    c, prompt = _c(c), _c(prompt)
+    return F.when(c.startswith(prompt), F.substring(c, F.length(prompt) + 1, F.lit(1 << 30))).otherwise(c)
+
+
 def length_bounds(c) -> Column:
     """Struct(max_length, min_length) of the pre-study summariser:
     max = max(30, int(0.5 * words)), min = min(5, int(0.2 * words))."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import fill_template
-from parley.schemas import (GENERATION_BATCH, SENTIMENT_PROMPT, SUMMARY_PROMPTS,
+from parley.schemas import (GENERATION_BATCH, SENTIMENT_PROMPT, SENTIMENT_PROMPTS, SUMMARY_PROMPTS,
                             TEACHER_MAX_WORDS)
 
 # Teacher labelling prompt (fixed value).
@@ -160,6 +160,8 @@ def run_cost(df: DataFrame, run: str = "model_id", order: str = "dialogue_id") -
         F.avg("load_delta").alias("load_delta_mean"))
 
 
-def sentiment_prompts(df: DataFrame, text: str = "dialogue_text") -> DataFrame:
-    return render_prompt(df, text=text, template=SENTIMENT_PROMPT)
-
+def sentiment_prompts(df: DataFrame, text: str = "dialogue_text", out: str = "prompt") -> DataFrame:
+    """One sentiment prompt per row, by the template of its ``model_id``:
+    a literal map of the models that have their own, else the common one."""
+    own = F.create_map(*[F.lit(x) for pair in SENTIMENT_PROMPTS.items() for x in pair])
+    return df.withColumn(out, fill_template(F.coalesce(F.element_at(own, F.col("model_id")), F.lit(SENTIMENT_PROMPT)), text))

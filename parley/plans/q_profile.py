@@ -155,6 +155,21 @@ def q_duplicate_summary(spark, sf):
     return ST.duplicate_summary(ST.duplicate_groups(X.dialogues(spark, sf), "dialogue_id", "dialogue_text"))
 
 
+_SUMMARY_KEY = NORM.replace("dialogue_text", "generated_summary")
+
+
+@query("e5_duplicate_summaries", with_views(f"""
+SELECT p.dialogue_id, p.model_id, CAST(g.n AS BIGINT) AS n_copies
+FROM (SELECT dialogue_id, model_id, {_SUMMARY_KEY} AS k FROM summary_pairs WHERE generated_summary IS NOT NULL) p
+JOIN (SELECT {_SUMMARY_KEY} AS k, count(*) AS n FROM summary_pairs WHERE generated_summary IS NOT NULL
+      GROUP BY k HAVING count(*) > 1) g ON p.k = g.k""", "summary_pairs"))
+def q_duplicate_summaries(spark, sf):
+    """Summaries whose normalised text occurs more than once, over all models."""
+    p = X.summary_pairs(spark, sf).where("generated_summary is not null") \
+        .select(F.struct("dialogue_id", "model_id").alias("k"), "generated_summary")
+    return ST.duplicate_groups(p, "k", "generated_summary").select("k.*", "n_copies")
+
+
 @query("e6_reading_stats", with_views("""
 SELECT CAST(ceil(avg(w)) AS BIGINT) AS mean_words, CAST(ceil(quantile_cont(w, 0.5)) AS BIGINT) AS median_words,
        CAST(sum(w) AS BIGINT) AS total_words,
@@ -190,6 +205,19 @@ def q_describe(spark, sf):
                     *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+@query("e7_describe_all", with_views(f"""
+SELECT metric, CAST(count(score) AS BIGINT) AS count, round(avg(score), 6) AS mean,
+       round(stddev_samp(score), 6) AS std, round(min(score), 6) AS min,
+       round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50,
+       round(quantile_cont(score, 0.75), 6) AS q75, round(max(score), 6) AS max
+FROM {_LONG} GROUP BY metric""", "summaries"))
+def q_describe_all(spark, sf):
+    """describe() of the whole table: every score over all models."""
+    long = ST.long_scores(X.summaries(spark, sf), ["dialogue_id", "model_id"], SCORES)
+    d = ST.describe(long, ["metric"], "score")
+    return d.select("metric", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
 @query("e7_describe_subset", with_views("""
 SELECT CAST(count(n_chars) AS BIGINT) AS count, round(avg(n_chars), 6) AS mean,
        round(stddev_samp(n_chars), 6) AS std, round(min(n_chars), 6) AS min,
@@ -291,6 +319,20 @@ def q_histogram(spark, sf):
     return h.select("dataset", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
 
 
+_SCORE_HIST = _HIST.replace("dataset", "series").replace(
+    "SELECT series, length(dialogue_text) / 4.0 AS x FROM dialogues",
+    f"SELECT model_id || '/' || metric AS series, score AS x FROM {_LONG} WHERE metric LIKE 'rouge%' AND score IS NOT NULL")
+
+
+@query("f1_score_histogram", with_views(_SCORE_HIST, "summaries"))
+def q_score_histogram(spark, sf):
+    """Histogram of each ROUGE score of each model."""
+    long = ST.long_scores(X.summaries(spark, sf), ["dialogue_id", "model_id"], ["rouge_1", "rouge_2", "rouge_l"])
+    x = long.select(F.concat_ws("/", "model_id", "metric").alias("series"), "score")
+    h = ST.histogram(x, ["series"], "score")
+    return h.select("series", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
+
+
 @query("f2_kde", with_views(kde_sql("sentiments", ["model_id"], "memory_sentiment_usage"), "sentiments"))
 def q_kde(spark, sf):
     """Memory-usage density per model (200-point grid, Scott bandwidth)."""

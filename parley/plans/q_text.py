@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as TX
-from parley.functions.parse import extract_summary, length_bounds
+from parley.functions.parse import extract_summary, length_bounds, strip_prompt
 from parley.operators import chunking as CH
 from parley.operators import generate as G
 from parley.plans.oracle_views import VIEWS, _view, chunk_list, strip, with_views, words  # noqa: F401
 from parley.plans.registry import query
-from parley.schemas import SUMMARY_PROMPTS
+from parley.schemas import SENTIMENT_PROMPT, SENTIMENT_PROMPT_ZEPHYR, SUMMARY_PROMPTS
 from parley.sources import fixtures as X
 
 
@@ -115,6 +115,22 @@ def q_prompts(spark, sf):
     return G.render_prompt(ch, text="chunk_text").select("dialogue_id", "chunk_no", "model_id", "prompt")
 
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("i3_sentiment_prompts", with_views(f"""
+SELECT d.dialogue_id, m.model_id,
+       replace(CASE m.model_id WHEN 'zephyr 7b beta' THEN {_sql_text(SENTIMENT_PROMPT_ZEPHYR)} ELSE {_sql_text(SENTIMENT_PROMPT)} END,
+               '{{}}', d.dialogue_text) AS prompt
+FROM dialogues d CROSS JOIN models m""", "dialogues", "models"))
+def q_sentiment_prompts(spark, sf):
+    """Every model's sentiment prompt of every dialogue; one model has a
+    template of its own."""
+    d = X.per_model(X.dialogues(spark, sf).select("dialogue_id", "dialogue_text"))
+    return G.sentiment_prompts(d).select("dialogue_id", "model_id", "prompt")
+
+
 _view("raw_summaries", ("chunk_prompts",), f"""
 SELECT dialogue_id, chunk_no, model_id, parse_variant,
        prompt || ' ' || array_to_string({words('chunk_text')}, ' ') || chr(10) || 'Note: end.' AS output
@@ -141,6 +157,34 @@ def q_extract_summary(spark, sf):
     return raw.select("dialogue_id", "chunk_no", "model_id", s.alias("summary"))
 
 
+@query("i6_extract_summary_fallback", with_views(f"""
+SELECT dialogue_id, CASE WHEN strpos(output, 'Summary: ') > 0
+                         THEN {strip("substring(output, strpos(output, 'Summary: ') + 9)")} ELSE output END AS summary
+FROM (SELECT dialogue_id, CASE WHEN dialogue_id % 3 = 0 THEN dialogue_text
+                               WHEN dialogue_id % 3 = 1 THEN dialogue_text || ' Summary:' || actual_summary
+                               ELSE dialogue_text || ' Summary: ' || actual_summary || chr(10) END AS output FROM dialogues)""",
+                                               "dialogues"))
+def q_extract_fallback(spark, sf):
+    """Fallback variant: the rest after ``Summary: ``, else the whole output."""
+    d, k = X.dialogues(spark, sf), F.col("dialogue_id") % 3
+    out = F.when(k == 0, F.col("dialogue_text")).when(k == 1, F.concat("dialogue_text", F.lit(" Summary:"), "actual_summary")) \
+        .otherwise(F.concat("dialogue_text", F.lit(" Summary: "), "actual_summary", F.lit("\n")))
+    return d.select("dialogue_id", extract_summary(out, "fallback").alias("summary"))
+
+
+@query("i6_strip_prompt", with_views(f"""
+SELECT dialogue_id, CAST(chunk_no AS BIGINT) AS chunk_no, model_id,
+       {strip("' ' || array_to_string(" + words('chunk_text') + ", ' ') || chr(10) || 'Summary: end.'")} AS answer
+FROM chunk_prompts""", "chunk_prompts"))
+def q_strip_prompt(spark, sf):
+    """Answers without the prompt that the output repeats: markers inside
+    the dialogue or the prompt do not count."""
+    ch = X.per_model(CH.split_dialogue(X.dialogues(spark, sf)))
+    raw = G.render_prompt(ch, text="chunk_text").withColumn(
+        "output", F.concat(F.col("prompt"), F.lit(" "), F.array_join(TX.words("chunk_text"), " "), F.lit("\nSummary: end.")))
+    return raw.select("dialogue_id", "chunk_no", "model_id", TX.strip_ws(strip_prompt("output", "prompt")).alias("answer"))
+
+
 @query("i6_extract_summary_service", with_views(r"""
 SELECT dialogue_id, trim(regexp_extract(output, '(?s)Summarization:[ \t\n\r\f]*\n\n(.*)', 1),
                          ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS summary

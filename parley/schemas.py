@@ -45,6 +45,8 @@ SENTIMENT_PROMPT_ZEPHYR = (
     "-1 for negative, 0 for neutral, and 1 for positive. Do not provide any additional "
     " text or explanation. \n\n{}\n\nSentiment:\n"
 )
+# Models with a sentiment prompt of their own.
+SENTIMENT_PROMPTS = {"zephyr 7b beta": SENTIMENT_PROMPT_ZEPHYR}
 # Chunking and batching defaults of the summary jobs.
 MAX_DIALOGUE_CHARS = 1024
 GENERATION_BATCH = 25

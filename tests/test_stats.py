@@ -115,3 +115,11 @@ def test_duplicates(spark):
     assert d == {1: 3, 2: 3, 3: 3}
     s = ST.duplicate_summary(ST.duplicate_groups(df, "id", "t")).first()
     assert (s.duplicate_texts, s.excess_rows) == (1, 2)
+
+
+def test_duplicates_of_composite_keys_and_long_texts(spark):
+    """Keys of any type; equal up to white space; nulls are one text."""
+    rows = [(1, "a", "x  y"), (2, "b", " x y\n"), (3, "c", "X y"), (4, "d", "z" * 100_000), (5, "e", "z" * 100_000), (6, "f", "z" * 99_999)]
+    df = spark.createDataFrame(rows, "i int, m string, t string").select(F.struct("i", "m").alias("k"), "t")
+    got = {tuple(r.k): r.n_copies for r in ST.duplicate_groups(df, "k", "t").collect()}
+    assert got == {(1, "a"): 2, (2, "b"): 2, (4, "d"): 2, (5, "e"): 2}

@@ -109,3 +109,16 @@ def test_rouge_words(spark):
             "x.\n.y z": ["x", "", "y", "z"], "one two. three": ["one", "two", "three"]}
     df = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: list(r.w) for r in df.select("t", rouge_words(F.col("t")).alias("w")).collect()} == want
+
+
+def test_strip_prompt_and_sentiment_prompts(spark):
+    from parley.functions.parse import extract_summary, strip_prompt
+    from parley.operators.generate import sentiment_prompts
+    from parley.schemas import SENTIMENT_PROMPT, SENTIMENT_PROMPT_ZEPHYR
+    rows = [("say Summary: no\nSummary:", "say Summary: no\nSummary: yes"), ("p", "q"), ("p", None), ("", "x"), ("long prompt", "long")]
+    df = spark.createDataFrame(rows, "prompt string, output string")
+    assert [r[0] for r in df.select(strip_prompt("output", "prompt")).collect()] == [" yes", "q", None, "x", "long"]
+    assert df.select(extract_summary("output", "rest").alias("s")).first().s == "no\nSummary: yes"     # the dialogue's marker
+    d = spark.createDataFrame([("mistral 7b", "100 % {}"), ("zephyr 7b beta", "t"), ("other", "t")], "model_id string, dialogue_text string")
+    got = [r.prompt for r in sentiment_prompts(d).collect()]
+    assert got == [SENTIMENT_PROMPT.replace("{}", "100 % {}"), SENTIMENT_PROMPT_ZEPHYR.replace("{}", "t"), SENTIMENT_PROMPT.replace("{}", "t")]
