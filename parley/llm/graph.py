@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from parley.llm import textvec as tv
 from parley.session import stored
 
 
@@ -66,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     given = edges.select("u", "v").where("u is not null and v is not null and u <> v")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
-    e = stored(given.mapInArrow(_forest, types).distinct(), "edges")
+    e = stored(given.mapInArrow(tv.tidy(_forest), types).distinct(), "edges")
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
