@@ -102,7 +102,7 @@ SELECT dialogue_id, model_id FROM summary_pairs WHERE generated_summary IS NULL
                                        "summary_pairs"))
 def q_missing(spark, sf):
     s = X.summary_pairs(spark, sf)
-    return s.where(F.col("generated_summary").isNull() | (F.col("generated_summary") == "")) \
+    return s.where(F.coalesce("generated_summary", F.lit("")) == "") \
             .select("dialogue_id", "model_id")
 
 

@@ -152,7 +152,7 @@ SELECT dialogue_id, model_id, round(rouge_1, 6) AS rouge_1, round(memory_summary
 def q_scores_usage(spark, sf):
     p = X.summary_pairs(spark, sf)
     sc = S.rouge_n(p.select(*KEY, "generated_summary", "actual_summary"), "generated_summary",
-                   "actual_summary", orders=(1,)).select(*KEY, "rouge_1")
+                   "actual_summary", orders=(1,), native=False).select(*KEY, "rouge_1")
     usage = p.select(*KEY, "memory_summary_usage", "time_summary_taken")
     j = sc.join(usage, KEY)
     return j.select(*KEY, r6("rouge_1").alias("rouge_1"), r6("memory_summary_usage").alias("memory_summary_usage"),
