@@ -46,3 +46,36 @@ def test_stream_reads_a_table_in_many_files(spark):
 def test_missing_output_makes_each_summary_once(spark):
     import __spark_entry__ as E
     assert _plan(E.queries()["c4_missing_output"](spark, SF)).count("slice(") <= 3
+
+
+def test_appended_batches_make_no_folder_each(spark):
+    df = spark.range(400).select(F.col("id").alias("k"), F.lit("m").alias("model_id"), (F.col("id") % 200).alias("batch_id"))
+    path = fresh_path(spark, "appended")
+    SK.append_batches(df.where("k < 100"), path, ["k"])
+    SK.append_batches(df, path, ["k"])
+    back = spark.read.parquet(path)
+    assert sorted(r.k for r in back.collect()) == list(range(400)) and back.schema["batch_id"].dataType.simpleString() == "bigint"
+    assert len(glob.glob(f"{path.removeprefix('file:')}/**/*.parquet", recursive=True)) <= 16
+
+
+@pytest.mark.parametrize("name", ["e15_reassemble_chunks", "d2_reference_generated_join"])
+def test_chunks_of_every_model_are_not_shuffled(spark, name):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()[name](spark, SF))
+    assert "Exchange hashpartitioning(dialogue_id" not in plan.split("Generate explode")[0].replace("REPARTITION", "")
+
+
+def test_best_cosines_of_repeated_vectors():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-5, 6, (40, 4)) * 2.0 + 1
+    c, r = v[rng.integers(0, 30, 300)], v[rng.integers(10, 40, 200)]
+    cos = (c / np.linalg.norm(c, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
+    got = B.best_cosines(c, r)
+    assert np.allclose(got[0], cos.max(1)) and np.allclose(got[1], cos.max(0))
+    assert B.best_cosines(c, r, most=10) is None and B.best_cosines(c, r, most=20 * 40) is not None
+
+
+def test_long_pair_with_few_distinct_words_is_scored_in_its_row(spark):
+    df = spark.createDataFrame([(1, "a b c " * 900, "a b d " * 900)], "id long, h string, r string")
+    one, two = (B.score_texts(df, ["id"], "h", "r", in_row=n).first() for n in (600, 10_000))
+    assert abs(one.bert_f1 - two.bert_f1) < 1e-9
