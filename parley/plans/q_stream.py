@@ -29,7 +29,7 @@ def q_annotate_stream(spark, sf):
     per micro-batch; the written table is the result."""
     schema = read_table(spark, sf, "documents").schema
     stream = (spark.readStream.schema(schema)            # the table is one file or a folder of files
-              .option("maxFilesPerTrigger", 1).parquet(f"{sf}/documents.parquet"))
+              .option("maxFilesPerTrigger", 1).parquet(f"{sf}/documents[.]parquet"))
     out, ckpt = fresh_path(spark, "annotated"), fresh_path(spark, "annotate-ckpt")
     q = annotate_stream(stream, ServiceEcho(), out, ckpt, text="text", key="doc_id")
     q.awaitTermination()
