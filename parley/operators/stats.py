@@ -212,9 +212,11 @@ def duplicate_groups(df: DataFrame, key: str, text: str, strict: bool = False) -
     """E-5: rows whose normalised text occurs more than once:
     (key, n_copies). Texts are told apart by 128 bits, two hashes with
     different seeds (two different ones meet in some 10^-17 of tables with
-    10^11 texts), so only keys and hashes are shuffled, never a text."""
+    10^11 texts), so only keys and hashes are shuffled, never a text; they
+    are stored, so each text is made and hashed once."""
     norm = normalise_text(F.col(text), strict=strict)
     h = df.select(key, norm.alias("_t")).select(key, F.xxhash64(F.lit(1), "_t").alias("_a"), F.xxhash64(F.lit(2), "_t").alias("_b"))
+    h = stored(h, "text-digests")
     multi = h.groupBy("_a", "_b").agg(F.count("*").alias("n_copies")).where(F.col("n_copies") > 1)
     return h.join(multi, ["_a", "_b"]).select(key, F.col("n_copies").cast("long").alias("n_copies"))
 
