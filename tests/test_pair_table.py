@@ -86,3 +86,21 @@ def test_clipped_overlaps():
         for n in (1, 2):
             x, y = (Counter(zip(*[t[k:] for k in range(n)])) for t in (a, b))
             assert S._overlap(a, b, n, of_b) == sum((x & y).values())
+
+
+def test_lexicon_meets_only_what_earlier_stages_leave(spark):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["j4_meteor_synonyms"](spark, SF))
+    assert "regexp_extract_all(lower(generated_summary" not in plan and "_hf" in plan
+
+
+def test_runs_of_matches_come_back():
+    rng = random.Random(7)
+    for _ in range(300):
+        h, r = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        forms = [(h, r), ([x.replace("b", "a") for x in h], [x.replace("b", "a") for x in r])]
+        groups = {"c": ["x"], "d": ["x", "y"], "e": ["y"]}
+        match, hfree, rfree = S._matched(forms)
+        S._take_grouped(hfree, rfree, *forms[-1], groups, match)
+        n, m, *rest = S._rest_of(forms)
+        assert (n, m) == (len(h), len(r)) and S._grouped_chunks(groups, *rest) == S._chunks(match)
