@@ -15,6 +15,14 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (u, v), one for each of ``pairs`` of a row of ``df``. A union
+    would have the whole plan of ``df`` once for each: a round of
+    ``components`` then had 16 scans, and the driver held and planned them."""
+    each = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return df.select(F.explode(each).alias("_x")).select("_x.u", "_x.v")
+
+
 #: Nodes of the forest that a task keeps at once.
 FOREST_NODES = 200_000
 
@@ -70,17 +78,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(given.mapInArrow(tv.tidy(_forest), types).distinct(), "edges")
     state = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(e, ("u", "v"), ("v", "u"))
         large = (both.join(_least(both), "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = down.join(_least(down), "u")
-        small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        small = _pairs(down.join(_least(down), "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
         seen = Observation()
         e = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
         new = (seen.get["n"], seen.get["sum"])
         if new == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-                e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+            return _pairs(e, ("u", "v"), ("v", "v")).distinct().toDF("node", "label")
         state = new

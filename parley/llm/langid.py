@@ -21,7 +21,6 @@ empty table gives no rows; with no labelled row every text is ``und``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,11 +70,12 @@ class TextModel:
         self.langs, self.table = langs, table
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str]) -> TextModel:
+    def fit(cls, texts: list[str] | pa.ChunkedArray, labels: list[str]) -> TextModel:
         langs = sorted(set(labels) - {UND})
         counts = np.full((len(langs) + 1, FEATURES), 0.5)
+        col = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         for i, lang in enumerate(langs):
-            for _, _, data, off in tv.pieces(pa.array([t for t, x in zip(texts, labels) if x == lang], pa.string())):
+            for _, _, data, off in tv.pieces(col.filter(pa.array([x == lang for x in labels], pa.bool_())), PIECE_BYTES):
                 counts[i] += np.bincount(trigrams(data, off)[0], minlength=FEATURES)
         counts[-1] = 1.0
         return cls([*langs, UND], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32).copy())
@@ -100,12 +100,21 @@ class TextModel:
 
 def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> TextModel:
     """Fit on at most FIT_ROWS labelled rows: ids are chosen first (two
-    numbers a row), then only their texts are read."""
+    numbers a row), then only their texts are read. The last id chosen
+    tells the others, so the plan holds no list of them."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = [r[0] for r in rows.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS).collect()
-           if r[0] is not None]
-    got = rows.where(F.col(id_col).isin(ids)).select(text, lang).limit(2 * FIT_ROWS).toPandas()
-    return TextModel.fit(got[text].tolist(), got[lang].tolist())
+    at, own = F.xxhash64(id_col), F.col(id_col)
+    last = rows.select(at.alias("at"), own.alias("id")).orderBy("at", "id").limit(FIT_ROWS).collect()[-1:]
+    if not last:
+        return TextModel.fit([], [])
+    chosen = at < F.lit(last[0]["at"])
+    if last[0]["id"] is not None:           # null ids come first and are not chosen
+        chosen = chosen | ((at == F.lit(last[0]["at"])) & (own <= F.lit(last[0]["id"])))
+    got = rows.where(own.isNotNull() & chosen).select(text, lang).limit(2 * FIT_ROWS).toArrow()
+    model = TextModel.fit(got.column(0), got.column(1).to_pylist())
+    del got
+    tv.release()
+    return model
 
 
 def visible_text(html: Column) -> Column:

@@ -247,10 +247,11 @@ for _a, _b in ((3, 3), (3, 1), (0, 2), (0, 1)):
 def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     """node, hashes, task, role for every task a set belongs to. A group
     that fits is a task; of a larger one, each block of a size class meets
-    every block of its class and of the next, so sets of like size meet."""
+    every block of its class and of the next, so sets of like size meet.
+    The groups and their classes are stored: each is read several times."""
     x = cand.select("node", "size").join(groups, "node")
-    x = x.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(100.0 / (percent - 0.1)))).cast("int"))
-    per_class = x.groupBy("label", "cls").agg(F.sum("size").alias("w"), F.count("*").alias("members"))
+    x = stored(x.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(100.0 / (percent - 0.1)))).cast("int")), "groups")
+    per_class = stored(x.groupBy("label", "cls").agg(F.sum("size").alias("w"), F.count("*").alias("members")), "size-classes")
     whole = per_class.groupBy("label").agg(F.sum("w").alias("total"), F.sum("members").alias("all"))
     per_class = per_class.withColumn("s", F.ceil(F.col("w") / F.lit(task_shingles / 2)).cast("int")).select("label", "cls", "s")
     up = per_class.select("label", (F.col("cls") - 1).alias("cls"), F.col("s").alias("s_up"))

@@ -52,6 +52,38 @@ def test_components(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_component_rounds_have_small_plans(spark, monkeypatch):
+    """A round once read its edges 16 times, in a plan that the driver held."""
+    reads, store = [], graph.stored
+
+    def counted(df, stem):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return store(df, stem)
+    monkeypatch.setattr(graph, "stored", counted)
+    graph.components(spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6)], "u long, v long"))
+    assert len(reads) >= 3 and max(reads[1:]) == 4
+
+
+def test_language_model_is_fitted_without_a_list_of_ids(spark, monkeypatch):
+    from parley.llm import langid
+    monkeypatch.setattr(langid, "FIT_ROWS", 5)
+    docs = spark.createDataFrame([(i % 9 if i % 10 else None, f"text {i} of words", "de" if i % 2 else "en") for i in range(40)],
+                                 "doc_id long, text string, lang string")
+    seen, fit = [], langid.TextModel.fit.__func__
+
+    def noted(cls, texts, labels):
+        seen.append((texts, labels))
+        return fit(cls, texts, labels)
+    monkeypatch.setattr(langid.TextModel, "fit", classmethod(noted))
+    langid.fit_text_model(docs)
+    texts, labels = seen[0]
+    assert not isinstance(texts, list)
+    order = docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").limit(5).collect()
+    ids = {r.doc_id for r in order} - {None}
+    want = [r.text for r in docs.collect() if r.doc_id in ids]
+    assert set(texts.to_pylist()) <= set(want) and len(texts) == min(10, len(want)) == len(labels)
+
+
 # --- suffix arrays ----------------------------------------------------------
 
 @pytest.mark.parametrize("signs", [1, 2, 3, 30])
