@@ -5,13 +5,18 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles
 one. To bring the rest together:
 
 1. With the hashes of a set in rising order and f = n - ceil(t n), two
-   linked sets share one of their first f + 1 hashes, and about l of their
-   first f + l. Keys are the first f + l (l = f / 2); a set of whose keys
-   fewer than l - 1 occur in another document has no partner and goes.
-2. Sets left over that share one of their first f + 1 keys are candidates;
-   candidate groups are the components of that graph. A group larger than
-   ``TASK_SHINGLES`` is dealt to tasks by pairs of (size class, salt), so
-   every two sets of like size still meet.
+   linked sets share about l of their first f + l. Keys are these (l = f / 2);
+   a set of whose keys fewer than l - 1 occur in another document has no
+   partner and goes.
+2. Of the keys that two sets share, the rarest is none of the l - 2 most
+   frequent of either, as l - 1 are shared: sets left over that share one of
+   their other keys are candidates, and candidate groups are the components
+   of that graph. Passages that many documents hold join nothing so.
+   Chance keys may still chain sets: in a group larger than
+   ``TASK_SHINGLES`` the same is done again with all hashes of its sets, of
+   which two linked ones share ceil(t n). What is larger still, sets that
+   are alike indeed, is dealt to tasks by pairs of (size class, salt), so
+   every two sets of like size meet.
 3. In a task, a signature tree: leaves are sets, a node holds the OR of
    its leaves' bitmaps, their size range and largest slack (shingles that
    share a bit). A dual traversal from the root drops node pairs whose
@@ -47,6 +52,8 @@ U64 = np.uint64
 #: Shingles of the sets that one task holds, about.
 TASK_SHINGLES = 2_000_000
 LEAF, FAN = 8, 8
+#: Shingles of a part of a large group, and keys of a bucket, when it is split.
+PART_SHINGLES, BUCKET_KEYS = 1 << 15, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +107,7 @@ def set_names(h: np.ndarray, r: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
 
 
 def prefix_lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys sent, keys of which one must be shared, shared ones needed)."""
+    """(keys sent, first keys of which one is shared, shared ones needed)."""
     f = n - (percent * n + 99) // 100
     need = np.maximum(1, f // 2)
     return np.minimum(n, f + need), np.minimum(n, f + 1), np.maximum(1, need - 1)
@@ -190,17 +197,17 @@ def signature_links(sets: list[np.ndarray], percent: int, role: np.ndarray | Non
 
 def _candidates(table: DataFrame, n_words: int, percent: int, buckets: int) -> DataFrame:
     """Sets that may have a partner: node (128-bit name as text), size,
-    hashes (binary), keys shared among their first f + 1."""
+    hashes (binary), rarest of the keys sent that another one has sent."""
     copies = (ex.rows(table, "n_shingles", "set_a", "set_b").where("n_shingles > 0").groupBy("set_a", "set_b")
               .agg(F.min(F.struct(F.col("piece"), F.col("row"))).alias("kept")))
     firsts = copies.select(F.col("kept.piece").alias("piece"), F.col("kept.row").alias("row"))
-    kept = firsts.groupBy("piece").agg(F.sort_array(F.collect_list("row")).alias("rows"))   # rows of one piece
-    answers = ex.shared_keys(table, _prefix_keys(n_words, percent), buckets)
+    kept = stored(firsts.groupBy("piece").agg(F.collect_list("row").alias("rows")), "firsts")   # rows of one piece
+    answers = ex.shared_keys(table, _prefix_keys(n_words, percent), buckets, kept, only=True)
     right = (answers.select("piece", "bucket", "vals", F.lit(None).cast("array<int>").alias("rows"))
              .unionByName(kept.select("piece", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("vals"), "rows")))
 
     def pick(left: pa.Table, rt: pa.Table) -> pa.Table:
-        shared, _ = ex.open_answers(rt, buckets)
+        shared, held = ex.open_answers(rt, buckets)
         firsts = {r for x in rt.column("rows").to_pylist() if x for r in x}
         out = {"set_a": [], "set_b": [], "size": [], "hashes": [], "keys": []}
         batch = ex.open_piece(left)
@@ -210,19 +217,18 @@ def _candidates(table: DataFrame, n_words: int, percent: int, buckets: int) -> D
             h, r = shingle_sets(data, off, n_words)
             n, a, b = set_names(h, r, rows)
             start = np.cumsum(n) - n
-            sent, one, need = prefix_lengths(n, percent)
-            hit, _ = ex.member(shared, ex.fold(h, buckets))
+            sent, _, need = prefix_lengths(n, percent)
+            hit, at = ex.member(shared, ex.fold(h, buckets))
             place = np.arange(len(h)) - start[r]
             hits = np.bincount(r[hit & (place < sent[r])], minlength=rows)
             for i in np.flatnonzero((n > 0) & (hits >= need)):
                 x = h[start[i]:start[i] + n[i]]
-                k = x[:one[i]][hit[start[i]:start[i] + one[i]]]
-                if len(k):
-                    out["set_a"].append(int(a[i]))
-                    out["set_b"].append(int(b[i]))
-                    out["size"].append(int(n[i]))
-                    out["hashes"].append(x.tobytes())
-                    out["keys"].append(k.view(np.int64).tolist())
+                k = np.flatnonzero(hit[start[i]:start[i] + sent[i]])
+                out["set_a"].append(int(a[i]))
+                out["set_b"].append(int(b[i]))
+                out["size"].append(int(n[i]))
+                out["hashes"].append(x.tobytes())
+                out["keys"].append(_rarest(x[k], held[at[start[i] + k]], need[i]).view(np.int64).tolist())
         return pa.table({"set_a": pa.array(out["set_a"], pa.int64()), "set_b": pa.array(out["set_b"], pa.int64()),
                          "size": pa.array(out["size"], pa.int64()), "hashes": pa.array(out["hashes"], pa.binary()),
                          "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
@@ -246,11 +252,10 @@ for _a, _b in ((3, 3), (3, 1), (0, 2), (0, 1)):
 
 def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     """node, hashes, task, role for every task a set belongs to. A group
-    that fits is a task; of a larger one, each block of a size class meets
-    every block of its class and of the next, so sets of like size meet.
-    The groups and their classes are stored: each is read several times."""
-    x = cand.select("node", "size").join(groups, "node")
-    x = stored(x.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(100.0 / (percent - 0.1)))).cast("int")), "groups")
+    (node, size, label) that fits is a task; of a larger one, each block of
+    a size class meets every block of its class and of the next, so sets of
+    like size meet. The classes are stored: they are read several times."""
+    x = groups.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(100.0 / (percent - 0.1)))).cast("int"))
     per_class = stored(x.groupBy("label", "cls").agg(F.sum("size").alias("w"), F.count("*").alias("members")), "size-classes")
     whole = per_class.groupBy("label").agg(F.sum("w").alias("total"), F.sum("members").alias("all"))
     per_class = per_class.withColumn("s", F.ceil(F.col("w") / F.lit(task_shingles / 2)).cast("int")).select("label", "cls", "s")
@@ -279,13 +284,70 @@ def _deal(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int)
     return dealt.join(cand.select("node", "hashes"), "node")
 
 
+def _groups(keys: DataFrame) -> DataFrame:
+    """(node, label): components of the sets (node, keys) that share a key."""
+    by_key = keys.select(F.explode("keys").alias("key"), "node")
+    hub = by_key.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
+    return components(by_key.join(hub.select("key", "hub"), "key").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+
+
+def _rarest(keys: np.ndarray, held: np.ndarray, need: int) -> np.ndarray:
+    """Keys without the ``need`` - 1 most frequent (``held`` pieces hold each)."""
+    return keys[np.lexsort((keys, held))[:len(keys) - need + 1]]
+
+
+def _split(cand: DataFrame, groups: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """(node, size, label) of the groups: those larger than a task fall
+    apart into the components of the sets that share one of their rarest
+    keys among all hashes, counted within the group."""
+    x = stored(cand.select("node", "size").join(groups, "node"), "groups")
+    large = stored(x.groupBy("label").agg(F.sum("size").alias("w")).where(F.col("w") > task_shingles), "large")
+    total = large.agg(F.sum("w")).first()[0]
+    if not total:
+        return x
+    buckets = max(12, math.ceil(total / BUCKET_KEYS))
+    part = F.pmod(F.xxhash64("node"), F.lit(max(1, total // PART_SHINGLES))).alias("piece")
+    held_by = x.join(large, "label", "left_semi").join(cand.select("node", "hashes"), "node")
+    parts = stored(held_by.select(part, F.struct("node", "label", "hashes").alias("x"))
+                   .groupBy("piece").agg(F.collect_list("x").alias("sets")), "parts")
+
+    def opened(sets: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(nodes, keys, row of each) of one part; a group has keys of its own."""
+        found = [np.frombuffer(h, U64) ^ tv.mix(np.array([int(g[:16], 16)], U64))
+                 for g, h in zip(sets.field("label").to_pylist(), sets.field("hashes").to_pylist())]
+        return sets.field("node"), np.concatenate(found), np.repeat(np.arange(len(found)), [len(k) for k in found])
+
+    def send(batches):
+        for b in batches:
+            for piece, sets in zip(b.column(0).to_pylist(), b.column(1)):
+                yield from ex.sent(piece, *opened(sets.values)[1:], buckets)
+
+    def pick(left: pa.Table, rt: pa.Table) -> pa.Table:
+        nodes, found = [], []
+        if left.num_rows:
+            shared, held = ex.open_answers(rt, buckets)
+            node, keys, row = opened(left.column("sets")[0].values)
+            hit, at = ex.member(shared, ex.fold(keys, buckets))
+            n, start = _bounds(row, len(node))
+            for i, name in enumerate(node.to_pylist()):
+                own = np.arange(start[i], start[i] + n[i])[hit[start[i]:start[i] + n[i]]]
+                need = -(-percent * int(n[i]) // 100)
+                if len(own) >= need:
+                    nodes.append(name)
+                    found.append(_rarest(keys[own], held[at[own]], need).view(np.int64))
+        return pa.table({"node": pa.array(nodes, pa.string()), "keys": pa.array(found, pa.list_(pa.int64()))})
+
+    answers = ex.answers(parts.select("piece", "sets").mapInArrow(tv.tidy(send), ex.SENT))
+    rarest = stored(parts.groupBy("piece").cogroup(answers.groupBy("piece"))
+                    .applyInArrow(pick, "node string, keys array<long>"), "rarest")
+    again = x.drop("label").join(_groups(rarest), "node")
+    return stored(x.join(large, "label", "left_anti").unionByName(again), "groups")
+
+
 def links(table: DataFrame, n_words: int, percent: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """(u, v) node names of spanning links between different sets."""
     cand = _candidates(table, n_words, percent, ex.bucket_count(table))
-    by_key = cand.select(F.explode("keys").alias("key"), "node")
-    hub = by_key.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
-    edges = by_key.join(hub.select("key", "hub"), "key").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = components(edges)
+    groups = _split(cand, _groups(cand), percent, task_shingles)
     dealt = _deal(cand, groups, percent, task_shingles)
 
     def traverse(t: pa.Table) -> pa.Table:
