@@ -1,7 +1,9 @@
 """Steps that once shuffled every row twice, or did the same work for each model."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from parley.operators import bertscore as B
 from parley.session import fresh_path
 from parley.sources import sinks as SK
 
@@ -30,3 +32,30 @@ def test_resumed_append_leaves_rows_where_they_are(spark, monkeypatch):
              .groupBy("model_id", "batch_id").agg(F.count("file").alias("n")))
     assert files.agg(F.max("n")).first()[0] == 1
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_reference_of_many_models_is_embedded_once(spark):
+    class Counting(B.HashEmbedder):
+        def __call__(self, texts):
+            refs = [tuple(x) for x in texts if x[0] == "ref"]
+            assert len(refs) == len(set(refs))
+            return super().__call__(texts)
+
+    rows = [(d, m, f"ref w{d} b c {m} d", f"ref w{d} b c d") for d in range(5) for m in range(7)]
+    df = spark.createDataFrame(rows, "id long, m int, h string, r string").coalesce(1)
+    df = df.withColumn("h", F.expr("substr(h, 5)"))
+    got = {(r.id, r.m): r for r in B.score_texts(df, ["id", "m"], "h", "r", Counting).collect()}
+    vec = B.HashEmbedder()
+    for d, m, h, r in rows:
+        c, f = (np.array([vec.vector(t) for t in x.split()], float) for x in (h[4:], r))
+        cos = (c / np.linalg.norm(c, axis=1, keepdims=True)) @ (f / np.linalg.norm(f, axis=1, keepdims=True)).T
+        assert abs(got[(d, m)].bert_precision - cos.max(1).mean()) < 1e-9 and abs(got[(d, m)].bert_recall - cos.max(0).mean()) < 1e-9
+
+
+def test_unlike_vectors_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(B, "_FACTORS", np.zeros(4, np.uint64))
+    rng = np.random.default_rng(5)
+    c, r = rng.normal(size=(20, 4)), rng.normal(size=(30, 4))
+    cos = (c / np.linalg.norm(c, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
+    got = B.best_cosines(c, r)
+    assert np.allclose(got[0], cos.max(1)) and np.allclose(got[1], cos.max(0))
