@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from parley.functions.stem import FinalS
 from parley.operators import bertscore as B
+from parley.operators import scores as S
 from parley.session import fresh_path
 from parley.sources import sinks as SK
 
@@ -59,3 +61,27 @@ def test_unlike_vectors_of_one_hash_stay_apart(monkeypatch):
     cos = (c / np.linalg.norm(c, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
     got = B.best_cosines(c, r)
     assert np.allclose(got[0], cos.max(1)) and np.allclose(got[1], cos.max(0))
+
+
+def test_lexicon_is_asked_once_for_rows_of_one_batch(spark, monkeypatch):
+    asked = []
+    stored = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, stem: asked.append(stored(df, stem)) or asked[-1])
+    words = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, m, words("h", 20), words("r", 20)) for m in range(50)] + [(2, 0, None, "r1"), (None, 0, "h1 x", "r1 x"), (3, 0, "", "a")]
+    df = spark.createDataFrame(rows, "id long, m int, h string, r string").coalesce(1)
+    lexicon = spark.createDataFrame([(f"{x}{k}", f"g{k}") for x in "hr" for k in range(0, 20, 2)], "word string, group string")
+    got = {(r.id, r.m): r.meteor for r in S.meteor(df, ["id", "m"], "h", "r", lexicon=lexicon).collect()}
+    assert len(got) == len(rows) and got[(2, 0)] is None and got[(3, 0)] is None
+    assert len({got[(1, m)] for m in range(50)}) == 1 and 0 < got[(1, 0)] < 0.5
+    assert asked[0].select(F.explode("_v")).count() == 40            # not 50 times
+
+
+def test_final_s_in_bytes_is_that_on_columns(spark):
+    df = spark.createDataFrame([(1, "Cats, dogs ss s\x0bs És", "cat dog s. és"), (2, "", "a"), (3, None, "a"), (4, "as", "as")],
+                               "id long, h string, r string")
+    rule = lambda t: F.regexp_replace(t, "s\\z", "")
+    for score in (S.meteor, S.rouge_clipped):
+        a, b = (sorted(map(tuple, score(df, ["id"], "h", "r", stems=x).collect())) for x in (rule, FinalS()))
+        assert a == b
+    assert "regexp_replace" not in S.meteor(df, ["id"], "h", "r", stems=FinalS())._jdf.queryExecution().executedPlan().toString()
